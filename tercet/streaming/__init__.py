@@ -1,0 +1 @@
+"""tercet streaming."""
