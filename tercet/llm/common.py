@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
 from tercet.session import ship_library
 
 #: Rows per Arrow batch: documents can be long, and a batch must fit a small Python worker.
@@ -83,7 +85,7 @@ def sorted_positions(df: DataFrame, order: list[Column], name: str, parts: int |
     """
     spark = df.sparkSession
     ranged = df.repartitionByRange(parts or partitions(spark), *order).sortWithinPartitions(*order)
-    schema = ranged.schema.add("_pid", "int", False).add("_row", "long", False)
+    schema = StructType([*ranged.schema.fields, StructField("_pid", IntegerType(), False), StructField("_row", LongType(), False)])
 
     def number(batches):
         from pyspark import TaskContext

@@ -6,10 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tercet.llm import chat, mixing
+from tercet.llm.chat import op6_chat
+from tercet.llm.mixing import op9_mixing
 from tercet.llm.packing import op1_packing
+from tercet.llm.quality import op4_quality
+from tercet.llm.resharding import op7_resharding
+from tercet.llm.token_records import op2_token_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_token_records": op2_token_records,
+    "op4_quality": op4_quality,
+    "op6_chat": op6_chat,
+    "op7_resharding": op7_resharding,
+    "op9_mixing": op9_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_chat": chat.ORACLE,
+    "op9_mixing": mixing.ORACLE,
+}
