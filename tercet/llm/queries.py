@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tercet.llm import chat, mixing
 from tercet.llm.chat import op6_chat
 from tercet.llm.mixing import op9_mixing
+from tercet.llm.neighbours import op8_neighbours
+from tercet.llm.ngram_join import op3_ngram_join
 from tercet.llm.packing import op1_packing
 from tercet.llm.quality import op4_quality
 from tercet.llm.resharding import op7_resharding
@@ -17,9 +19,11 @@ from tercet.llm.token_records import op2_token_records
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_token_records": op2_token_records,
+    "op3_ngram_join": op3_ngram_join,
     "op4_quality": op4_quality,
     "op6_chat": op6_chat,
     "op7_resharding": op7_resharding,
+    "op8_neighbours": op8_neighbours,
     "op9_mixing": op9_mixing,
 }
 
