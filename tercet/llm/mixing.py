@@ -28,6 +28,8 @@ SEED = "tercet-9"
 MAX_EPOCHS = 2
 #: Rows that a bucket holds on average, at most.
 BUCKET_ROWS = 2048
+#: Chosen ids that may be broadcast to fetch their documents; beyond it they are shuffled.
+MAX_IDS = 1_000_000
 LEAF = ["domain", "lang", "source"]
 
 #: Target weights; names that are not listed weigh 1.
@@ -122,6 +124,13 @@ def counted(docs: DataFrame, *more: Column) -> DataFrame:
     )
 
 
+def mixed_documents(docs: DataFrame, percent: int = 90, max_epochs: int = 1, weights: dict | None = None) -> DataFrame:
+    """The documents that the mixture chooses, once for every epoch that holds them, with their own columns."""
+    chosen = written(mixed(written(counted(docs), "counted"), percent, max_epochs, weights=weights).select(F.col("doc_id").alias("__id"), "epoch"), "chosen")
+    few = chosen.count() <= MAX_IDS
+    return docs.join(F.broadcast(chosen) if few else chosen, F.col("doc_id").eqNullSafe(F.col("__id"))).select(*docs.columns)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = written(counted(table(spark, sf_dir, "documents")), "counted")
     return mixed(docs)

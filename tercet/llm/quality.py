@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tercet.llm.common import small_batches, table, written
+from tercet.llm.common import release_memory, small_batches, table, written
 from tercet.llm.textkernel import Words, blocks, mix, segment_hash
 
 MIN_WORDS = 50
@@ -96,7 +96,7 @@ def block_counts(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
 def text_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and the counts of COUNTS for every document."""
     small_batches(docs.sparkSession)
-    shape = docs.select(*keep).schema
+    shape = docs.select(*keep).schema if keep else []
     names = [part.split()[0] for part in COUNTS.split(", ")]
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in shape] + [COUNTS])
 
@@ -106,6 +106,7 @@ def text_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
             parts = [block_counts(data, off) for _, _, data, off in blocks(column)]
             counted = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(c.astype(np.int64)) for c in counted]], names=[*keep, *names])
+        release_memory()
 
     return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(count, out)
 
@@ -166,24 +167,39 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tu
     return prior, weights
 
 
-def judged(counts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Add votes' posterior, base_failed and kept to a table with the columns of COUNTS."""
-    voting = rules()
-    voted = counts.withColumns({f"vote_{k}": v.cast("int") for k, v in voting.items()})
-    names = [f"vote_{k}" for k in voting]
-    seen = voted.groupBy(*names).count().collect()
-    if seen:
-        prior, weights = fit_votes(np.array([[r[n] for n in names] for r in seen]), np.array([r["count"] for r in seen], float))
-    else:
-        prior, weights = 0.0, np.zeros((len(names), 3))
+def voted(counts: DataFrame) -> DataFrame:
+    return counts.withColumns({f"vote_{k}": v.cast("int") for k, v in rules().items()})
+
+
+def fit(counts: DataFrame) -> tuple[float, np.ndarray]:
+    """Prior and weights from a table with the columns of COUNTS; only counted patterns reach the driver."""
+    names = [f"vote_{k}" for k in rules()]
+    seen = voted(counts).groupBy(*names).count().collect()
+    if not seen:
+        return 0.0, np.zeros((len(names), 3))
+    return fit_votes(np.array([[r[n] for n in names] for r in seen]), np.array([r["count"] for r in seen], float))
+
+
+def judged(counts: DataFrame, model: tuple[float, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
+    """Add posterior, base_failed and kept to a table with the columns of COUNTS."""
+    prior, weights = model
     odds = F.lit(float(prior))
-    for k, n in enumerate(names):
-        odds = odds + F.when(F.col(n) == -1, float(weights[k, 0])).when(F.col(n) == 1, float(weights[k, 2])).otherwise(float(weights[k, 1]))
+    for k, rule in enumerate(rules()):
+        vote = F.col(f"vote_{rule}")
+        odds = odds + F.when(vote == -1, float(weights[k, 0])).when(vote == 1, float(weights[k, 2])).otherwise(float(weights[k, 1]))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    posterior = 1 / (1 + F.exp(-odds))
-    return voted.withColumn("posterior", posterior).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("posterior") >= threshold))
+    with_odds = voted(counts).withColumn("posterior", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed)
+    return with_odds.withColumn("kept", ~failed & (F.col("posterior") >= threshold))
+
+
+def kept_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that pass, with their own columns: one pass to fit the rules, one to apply them."""
+    model = fit(text_counts(docs, []))
+    prefixed = docs.select(*[F.col(c).alias(f"doc__{c}") for c in docs.columns], "text")
+    passed = judged(text_counts(prefixed, [f"doc__{c}" for c in docs.columns]), model, threshold).filter("kept")
+    return passed.select(*[F.col(f"doc__{c}").alias(c) for c in docs.columns])
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = written(text_counts(table(spark, sf_dir, "documents"), ["doc_id"]), "quality")
-    return judged(counts).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+    return judged(counts, fit(counts)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")

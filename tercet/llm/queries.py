@@ -14,6 +14,7 @@ from tercet.llm.ngram_join import op3_ngram_join
 from tercet.llm.packing import op1_packing
 from tercet.llm.quality import op4_quality
 from tercet.llm.resharding import op7_resharding
+from tercet.llm.secrets import op5_secrets
 from tercet.llm.token_records import op2_token_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_records": op2_token_records,
     "op3_ngram_join": op3_ngram_join,
     "op4_quality": op4_quality,
+    "op5_secrets": op5_secrets,
     "op6_chat": op6_chat,
     "op7_resharding": op7_resharding,
     "op8_neighbours": op8_neighbours,
