@@ -14,11 +14,13 @@ from tercet.llm.ngram_join import op3_ngram_join
 from tercet.llm.packing import op1_packing
 from tercet.llm.quality import op4_quality
 from tercet.llm.resharding import op7_resharding
+from tercet.llm.scoring import op10_scoring
 from tercet.llm.secrets import op5_secrets
 from tercet.llm.token_records import op2_token_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op10_scoring": op10_scoring,
     "op2_token_records": op2_token_records,
     "op3_ngram_join": op3_ngram_join,
     "op4_quality": op4_quality,
