@@ -19,7 +19,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from tercet.session import ship_library
 
 #: Rows per Arrow batch: documents can be long, and a batch must fit a small Python worker.
-ARROW_ROWS = 512
+ARROW_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder once and read it back."""
+#: Rows that a file of a small intermediate table holds, at least.
+ROWS_PER_FILE = 100_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cut lineage: write ``df`` to the shared folder once and read it back.
+
+    With its number of ``rows``, a small table goes to few files.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(2, min(partitions(spark), rows // ROWS_PER_FILE)))
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tercet.llm.common import forget, looked_up, partitions, small_batches, table, written
+from tercet.llm.common import forget, looked_up, partitions, release_memory, small_batches, table, written
 from tercet.llm.subwords import default_vocabulary, encoder
 
 CAPACITY = 1024
 END_ID = 2
 #: Classes (capacity/(k+1), capacity/k]; what is smaller goes last, together.
 CLASSES = 3
+#: Documents and gaps that a task sweeps, at least.
+ROWS_PER_SWEEP = 20_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -57,39 +59,43 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pieces, PIECES)
 
 
-def _levels(rows: DataFrame) -> DataFrame:
+def _levels(rows: DataFrame, n: int) -> DataFrame:
     """Range-sort gaps (kind 0) and documents (kind 1) and give each its level."""
     order = [F.col("size").desc(), F.col("kind"), F.col("id")]
-    ranged = rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    parts = max(2, min(partitions(rows.sparkSession), n // ROWS_PER_SWEEP))
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id())
 
     def level(batches):
-        from pyspark import TaskContext
-
-        pid, at, held = TaskContext.get().partitionId(), 0, 0
+        last, at, held = -1, 0, 0
         for batch in batches:
-            is_document = batch.column("kind").to_numpy()
-            steps = np.cumsum(1 - 2 * is_document.astype(np.int64)) + held
-            n = len(steps)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.full(n, pid, np.int32)), pa.array(np.arange(at, at + n)), pa.array(steps + is_document)],
-                names=["kind", "size", "id", "pid", "row", "level"],
-            )
-            at, held = at + n, int(steps[-1]) if n else held
-
-    return written(ranged.mapInArrow(level, "kind int, size int, id long, pid int, row long, level long"), "levels")
-
-
-def sweep(items: DataFrame, gaps: DataFrame) -> DataFrame:
+            pids, is_document = batch.column("pid").to_numpy(), batch.column("kind").to_numpy().astype(np.int64)
+            row, height = np.empty(len(pids), np.int64), np.empty(len(pids), np.int64)
+            edges = np.flatnonzero(np.diff(pids, prepend=-1, append=-1)) if len(pids) else []
+            for low, high in zip(edges[:-1], edges[1:], strict=True):  # a task may hold several partitions, each in one run
+                if pids[low] != last:
+                    last, at, held = pids[low], 0, 0
+                steps = np.cumsum(1 - 2 * is_document[low:high]) + held
+                row[low:high] = np.arange(at, at + high - low)
+                height[low:high] = steps + is_document[low:high]
+                at, held = at + high - low, int(steps[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(row), pa.array(height)], names=["kind", "size", "id", "pid", "row", "level"])
+
+    few = ranged.coalesce(parts)
+    return written(few.mapInArrow(level, "kind int, size int, id long, pid int, row long, level long"), "levels", n)
+
+
+def sweep(items: DataFrame, gaps: DataFrame, n: int) -> DataFrame:
     """One round: (kind, size, id, gap, gap_free, taken) with the gap of each placed document and what each gap gave."""
     rows = items.select(F.lit(1).alias("kind"), F.col("size").cast("int").alias("size"), "id").unionByName(
         gaps.select(F.lit(0).alias("kind"), F.col("size").cast("int").alias("size"), "id")
     )
-    leveled = _levels(rows)
-    ended = leveled.groupBy("pid").agg(F.sum(F.when(F.col("kind") == 0, 1).otherwise(-1)).alias("net")).collect()
+    leveled = _levels(rows, n)
+    ended = leveled.groupBy("pid").agg(F.sum(F.when(F.col("kind") == 0, 1).otherwise(-1)).alias("net")).coalesce(1).collect()
     base, total = {}, 0
     for r in sorted(ended):
         base[r.pid] = total
@@ -101,7 +107,7 @@ def sweep(items: DataFrame, gaps: DataFrame) -> DataFrame:
         F.when((F.col("kind") == 1) & (F.lag("kind").over(w) == 0), F.lag("size").over(w)).alias("gap_free"),
         F.when((F.col("kind") == 0) & (F.lead("kind").over(w) == 1), F.lead("size").over(w)).alias("taken"),
     )
-    out = written(found, "sweep")
+    out = written(found, "sweep", n)
     forget(leveled)
     return out
 
@@ -122,7 +128,8 @@ class _State:
 
     def round(self, items: DataFrame, least: int) -> tuple[DataFrame, int, int]:
         """Sweep; returns the items left, how many, and how many found a place."""
-        done = sweep(items, self.gaps.filter(F.col("size") >= least))
+        open_gaps = self.gaps.filter(F.col("size") >= least)
+        done = sweep(items, open_gaps, items.count() + open_gaps.count())
         self.placed.append(done.filter("gap is not null").select("id", F.col("gap").alias("sequence_id"), (F.lit(self.capacity) - F.col("gap_free")).cast("long").alias("offset")))
         self.gaps = done.filter("kind = 0").select((F.col("size") - F.coalesce("taken", F.lit(0))).cast("int").alias("size"), "id")
         left = done.filter("kind = 1 and gap is null").select("size", "id")

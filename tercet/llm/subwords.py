@@ -15,7 +15,7 @@ import pyarrow as pa
 from tercet.llm.textkernel import blocks, mix, segment_hash
 
 #: Chunks that a worker remembers; beyond it, it starts afresh. Bounds memory, not results.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_500_000
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -39,7 +39,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint16 if len(self.byte_length) <= 1 << 16 else np.uint32), 0
 
     def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
@@ -67,8 +67,8 @@ class Encoder:
         self.flat[self.used : self.used + len(ids)] = ids
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
-        self.begin = np.insert(self.begin, at, begin + self.used)
-        self.size = np.insert(self.size, at, sizes)
+        self.begin = np.insert(self.begin, at, (begin + self.used).astype(np.int32))
+        self.size = np.insert(self.size, at, sizes.astype(np.int32))
         self.used += len(ids)
 
     def encode_block(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +98,7 @@ class Encoder:
             self._learn(distinct[unknown], [raw[starts[j] : ends[j]] for j in first[unknown]])
             at = np.searchsorted(self.keys, distinct)
         slots = at[which]
-        sizes, begins = self.size[slots].astype(np.int64), self.begin[slots]
+        sizes, begins = self.size[slots].astype(np.int64), self.begin[slots].astype(np.int64)
         total = np.cumsum(sizes)
         where = np.repeat(begins - (total - sizes), sizes)
         where += np.arange(len(where))

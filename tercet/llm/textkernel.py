@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that the kernels look at in one go; a longer document is one go of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, 9, 10, 11, 12, 13]] = True
