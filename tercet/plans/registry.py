@@ -550,7 +550,17 @@ def _(spark, d):
 
 EX = V.EXPERIMENT
 _H, _L = "(-0.1::DOUBLE - risk/10)", "(0.1::DOUBLE + risk/10)"
-H, LOW = -0.1 - F.col("risk") / 10, 0.1 + F.col("risk") / 10
+
+
+def high() -> Column:
+    """Log risk ratio of the high arm; made on call, as a column needs a session."""
+    return -0.1 - F.col("risk") / 10
+
+
+def low() -> Column:
+    return 0.1 + F.col("risk") / 10
+
+
 _RULES = {
     "null_quote_id": "quote_id IS NULL", "null_customer_id": "customer_id IS NULL", "null_timestamp": "quote_timestamp IS NULL", "bad_eligible": "NOT coalesce(eligible IN (0, 1), false)", "bad_purchase": "NOT coalesce(purchase IN (0, 1), false)",
     "unknown_arm": "NOT coalesce(upper(trim(arm)) IN ('H', 'C', 'L'), false)", "propensity_not_positive": "least(pi_H, pi_C, pi_L) <= 0", "propensity_sum": "abs(pi_H + pi_C + pi_L - 1) > 1e-6", "missing_contribution": "contribution_H IS NULL OR contribution_C IS NULL OR contribution_L IS NULL", "bad_premium": "NOT coalesce(base_premium > 0, false)",
@@ -587,14 +597,14 @@ _FLIP = f"fl AS (SELECT *, pi_H*exp({_H}) AS a, pi_C AS b, pi_L*exp({_L}) AS c F
 @query("bayes_flip", f"WITH {EX}, {_FLIP} SELECT quote_id, {r('a/(a+b+c)', 'r_h')}, {r('b/(a+b+c)', 'r_c')}, {r('c/(a+b+c)', 'r_l')}, {r(f'exp({_H})', 'rr_h')}, {r(f'exp({_L})', 'rr_l')} FROM fl")
 def _(spark, d):
     e = T.experiment(spark, d)
-    flip = ex.flipped(H, LOW)
+    flip = ex.flipped(high(), low())
     back = ex.risk_ratios(flip)
     return e.select("quote_id", flip[0].alias("r_h"), flip[1].alias("r_c"), flip[2].alias("r_l"), back[0].alias("rr_h"), back[2].alias("rr_l"))
 
 
 @query("log_rr_elasticities", f"WITH {EX} SELECT quote_id, {r(f'-least({_H} + 0.15::DOUBLE, 0)/ln(1.1::DOUBLE)', 'eps_up')}, {r(f'-greatest({_L}, 0)/ln(0.9::DOUBLE)', 'eps_down')} FROM ex")
 def _(spark, d):
-    up, down = ex.elasticities(*ex.projected(H + 0.15, LOW))
+    up, down = ex.elasticities(*ex.projected(high() + 0.15, low()))
     return T.experiment(spark, d).select("quote_id", up.alias("eps_up"), down.alias("eps_down"))
 
 
@@ -606,12 +616,12 @@ def _nll(arm: str, rr: str) -> str:
 @query("pairwise_nll", f"WITH {EX}, a AS ({_nll('H', _H)} UNION ALL {_nll('L', _L)}) SELECT pair, {n('n_buyers', 'n_buyers')}, {r('nll', 'nll')} FROM a")
 def _(spark, d):
     e = T.experiment(spark, d)
-    return ex.pairwise_nll(e, "H", H).unionByName(ex.pairwise_nll(e, "L", LOW))
+    return ex.pairwise_nll(e, "H", high()).unionByName(ex.pairwise_nll(e, "L", low()))
 
 
 @query("equal_contrast_nll", f"WITH {EX}, a AS ({_nll('H', _H)} UNION ALL {_nll('L', _L)}) SELECT {r('avg(nll)', 'equal_contrast_nll')}, {n('sum(n_buyers)', 'n_rows')} FROM a")
 def _(spark, d):
-    return ex.equal_contrast_nll(T.experiment(spark, d), H, LOW)
+    return ex.equal_contrast_nll(T.experiment(spark, d), high(), low())
 
 
 _GLOBAL = "gl AS (SELECT ln(count(*) FILTER (WHERE arm = 'H')/count(*) FILTER (WHERE arm = 'C')) - ln(0.2::DOUBLE/0.6::DOUBLE) AS h, ln(count(*) FILTER (WHERE arm = 'L')/count(*) FILTER (WHERE arm = 'C')) - ln(0.2::DOUBLE/0.6::DOUBLE) AS l FROM ex WHERE purchase = 1)"
@@ -624,13 +634,13 @@ def _(spark, d):
 
 @query("information_gain", f"WITH {EX}, {_GLOBAL}, a AS ({_nll('H', _H)} UNION ALL {_nll('L', _L)}), b AS ({_nll('H', '(SELECT h FROM gl)')} UNION ALL {_nll('L', '(SELECT l FROM gl)')}) SELECT pair, {r('(b.nll - a.nll)*1000', 'millinats', 4)} FROM a JOIN b USING (pair)")
 def _(spark, d):
-    return ex.information_gain(T.experiment(spark, d), H, LOW).withColumn("millinats", F.round("millinats", 4))
+    return ex.information_gain(T.experiment(spark, d), high(), low()).withColumn("millinats", F.round("millinats", 4))
 
 
 @query("grouped_calibration", f"""WITH {EX}, b AS (SELECT *, {_H} AS s, row_number() OVER (ORDER BY {_H}, quote_id) AS rn, count(*) OVER () AS nn FROM ex WHERE purchase = 1 AND arm IN ('H', 'C')), g AS (SELECT *, CAST(greatest(ceil((rn - 1)*10.0::DOUBLE/(nn - 1)) - 1, 0) AS BIGINT) AS cell FROM b)
 SELECT cell, {n('count(*)', 'n')}, {r('avg(s)', 'predicted')}, {r("ln(count(*) FILTER (WHERE arm = 'H')/count(*) FILTER (WHERE arm = 'C')) - ln(0.2::DOUBLE/0.6::DOUBLE)", 'observed')} FROM g GROUP BY 1""")
 def _(spark, d):
-    return ex.grouped_calibration(T.experiment(spark, d), "H", H, 10)
+    return ex.grouped_calibration(T.experiment(spark, d), "H", high(), 10)
 
 
 _CHOICE = f"CASE WHEN exp({_H})*contribution_H >= contribution_C AND exp({_H})*contribution_H >= exp({_L})*contribution_L THEN 'H' WHEN contribution_C >= exp({_L})*contribution_L THEN 'C' ELSE 'L' END"
@@ -639,7 +649,7 @@ _CHOICE = f"CASE WHEN exp({_H})*contribution_H >= contribution_C AND exp({_H})*c
 @query("ips_snips", f"""WITH {EX}, w AS (SELECT CASE WHEN arm = {_CHOICE} THEN 1/CASE arm WHEN 'H' THEN pi_H WHEN 'C' THEN pi_C ELSE pi_L END ELSE 0 END AS w, purchase*CASE arm WHEN 'H' THEN contribution_H WHEN 'C' THEN contribution_C ELSE contribution_L END AS rw FROM ex)
 SELECT {r('sum(w*rw)/count(*)', 'ips')}, {r('sum(w*rw)/sum(w)', 'snips')}, {r('avg(CAST(w > 0 AS DOUBLE))', 'match_rate')}, {r('sum(w)*sum(w)/sum(w*w)', 'ess')} FROM w""")
 def _(spark, d):
-    return ex.policy_ips(T.experiment(spark, d), ex.choose_arm([F.exp(H), F.lit(1.0), F.exp(LOW)]))
+    return ex.policy_ips(T.experiment(spark, d), ex.choose_arm([F.exp(high()), F.lit(1.0), F.exp(low())]))
 
 
 @query("cluster_error", f"WITH {EX}, s AS (SELECT customer_id, sum(purchase*contribution_C) AS s, count(*) AS k FROM ex GROUP BY 1), m AS (SELECT sum(s)/sum(k) AS m FROM s) SELECT {n('count(*)', 'n_clusters')}, {r('any_value(m)', 'mean')}, {r('sqrt(sum((s - m*k)*(s - m*k)))/sum(k)', 'cluster_se')} FROM s, m")
