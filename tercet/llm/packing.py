@@ -119,21 +119,22 @@ class _State:
         self.capacity = capacity
         self.placed: list[DataFrame] = []
         self.gaps: DataFrame | None = None
+        self.n_gaps = 0
 
-    def open(self, items: DataFrame) -> None:
-        """Every item begins a sequence that carries its id."""
+    def open(self, items: DataFrame, n: int) -> None:
+        """Every one of the ``n`` items begins a sequence that carries its id."""
         self.placed.append(items.select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
         fresh = items.select((F.lit(self.capacity) - F.col("size")).cast("int").alias("size"), "id").filter("size > 0")
         self.gaps = fresh if self.gaps is None else self.gaps.unionByName(fresh)
+        self.n_gaps += n
 
-    def round(self, items: DataFrame, least: int) -> tuple[DataFrame, int, int]:
-        """Sweep; returns the items left, how many, and how many found a place."""
-        open_gaps = self.gaps.filter(F.col("size") >= least)
-        done = sweep(items, open_gaps, items.count() + open_gaps.count())
+    def round(self, items: DataFrame, n: int, least: int) -> tuple[DataFrame, int, int]:
+        """Sweep ``n`` items; returns the items left, how many, and how many found a place."""
+        done = sweep(items, self.gaps.filter(F.col("size") >= least), n + self.n_gaps)
         self.placed.append(done.filter("gap is not null").select("id", F.col("gap").alias("sequence_id"), (F.lit(self.capacity) - F.col("gap_free")).cast("long").alias("offset")))
         self.gaps = done.filter("kind = 0").select((F.col("size") - F.coalesce("taken", F.lit(0))).cast("int").alias("size"), "id")
         left = done.filter("kind = 1 and gap is null").select("size", "id")
-        n, found = done.agg(F.count_if(F.expr("kind = 1 and gap is null")), F.count("gap")).first()
+        n, found, self.n_gaps = done.agg(F.count_if(F.expr("kind = 1 and gap is null")), F.count("gap"), F.count_if(F.col("kind") == 0)).first()
         return left, n, found
 
 
@@ -156,24 +157,24 @@ def _largest(items: DataFrame, n: int, wanted: int) -> tuple[DataFrame, DataFram
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Place ``pieces(id long, size int)``, sizes 1 to capacity: (id, sequence_id, offset)."""
     state = _State(capacity)
-    state.open(pieces.filter(F.col("size") > capacity // 2))
-    least = pieces.agg(F.min("size")).first()[0] or 1
+    large = F.col("size") > capacity // 2
+    least, n_large = pieces.agg(F.coalesce(F.min("size"), F.lit(1)), F.count_if(large)).first()
+    state.open(pieces.filter(large), n_large)
     for k in range(2, CLASSES + 2):
         last = k == CLASSES + 1
         low, high = (0 if last else capacity // (k + 1)), capacity // k
         items = pieces.filter((F.col("size") > low) & (F.col("size") <= high))
-        n, tokens = items.agg(F.count("size"), F.coalesce(F.sum("size"), F.lit(0))).first()
-        opened = False
+        n, opened = items.count(), False
         while n:
             before = n
-            items, n, found = state.round(items, least)
+            items, n, found = state.round(items, n, least)
             if n and (found == 0 or (not opened and not last and found < before // 8)):
                 tokens = items.agg(F.sum("size")).first()[0]
                 wanted = max(1, -(-tokens // capacity) if last else -(-n // k))
                 first, items = _largest(items, n, wanted)
-                state.open(first)
-                n = items.count()
-                opened = True
+                rest = items.count()
+                state.open(first, n - rest)
+                n, opened = rest, True
     out = state.placed[0]
     for more in state.placed[1:]:
         out = out.unionByName(more)
