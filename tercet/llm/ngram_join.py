@@ -94,7 +94,9 @@ def bounded(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COLUMN_BLOCKS) for c in ("c_a", "c_b"))
-            overlap = np.minimum(np.minimum(x, y).sum(axis=1, dtype=np.int64), np.minimum(n, m))
+            shared = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            unknown = (x == 255).all(axis=1) | (y == 255).all(axis=1)
+            overlap = np.where(unknown, np.minimum(n, m), np.minimum(shared, np.minimum(n, m)))
             kept = pa.array(100 * overlap >= percent * (n + m - overlap))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], names=["a", "b"])
 

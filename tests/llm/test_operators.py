@@ -145,6 +145,17 @@ def test_ngram_join(spark, odd_documents, n, percent):
     assert got == brute_groups([(r.doc_id, r.text) for r in docs.collect()], n, percent)
 
 
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
+def test_ngram_join_of_very_long_texts(spark, n, percent):
+    from tercet.llm.ngram_join import similar_groups
+
+    long = [f"w{i}" for i in range(80_000)]
+    near = [*long[:40_000], "new", *long[40_001:]]
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(f"x{i}" for i in range(80_000)))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).collect()}
+    assert got == {1: (80_001 - n, 1), 2: (80_001 - n, 1), 3: (80_001 - n, 3)}
+
+
 def test_one_of_each_keeps_columns(odd_documents):
     from tercet.llm.ngram_join import one_of_each
 
