@@ -3,8 +3,9 @@
 Equal vectors form one class (copies are never joined with each other). Every class starts with
 random neighbours. In each round the sampled new and old neighbours of a class, forward and
 reverse, meet in a block of classes with their vectors; neighbours of one class are proposed to each
-other if they are nearer than the worst neighbour held; the best are kept. Blocks have a fixed
-number of classes, so their size does not depend on the data. Queries start at their own class and
+other if they are nearer than the worst neighbour held; the best are kept. Rounds end when at most
+CHANGED of all neighbours are new in one, however many that takes. Blocks have a fixed number of
+classes, so their size does not depend on the data. Queries start at their own class and
 expand the best unexpanded classes of a beam until nothing in it is unexpanded; scores come from
 the blocks that hold the vectors. The last ranking uses original vectors in double precision.
 
@@ -26,7 +27,7 @@ from tercet.llm.common import forget, looked_up, small_batches, sorted_positions
 K = 24  #: neighbours that the graph keeps
 SAMPLE = 12  #: new, old, reverse new and reverse old neighbours that meet in a round, of each
 OFFERS = 4  #: proposals that a member takes from one meeting
-ROUNDS = 8
+CHANGED = 0.001  #: share of new neighbours in a round at which the graph counts as found
 BLOCK = 4096  #: classes in a block
 BEAM, EXPAND = 192, 32
 QUERY_EVERY, NEAREST = 50, 5
@@ -62,6 +63,8 @@ def class_vectors(held: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
 
 def _matrix(x: pd.Series) -> np.ndarray:
+    if not len(x):  # a block without queries in this round
+        return np.zeros((0, 1), np.float32)
     return np.frombuffer(b"".join(x), np.float16).reshape(len(x), -1).astype(np.float32)
 
 
@@ -101,14 +104,15 @@ def _sampled(edges: DataFrame, by: str, step: int) -> DataFrame:
     return edges.withColumn("place", F.row_number().over(Window.partitionBy(by, "fresh").orderBy(order))).filter(F.col("place") <= SAMPLE)
 
 
-def build_graph(units: DataFrame, n: int, k: int = K, rounds: int = ROUNDS) -> DataFrame:
+def build_graph(units: DataFrame, n: int, k: int = K, changed: float = CHANGED) -> DataFrame:
     """The neighbour graph (v, u, sim): up to k nearest found of every class."""
     spark = units.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     n_blocks = max(1, -(-n // BLOCK))
     random = units.select("c", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j")).select(F.col("c").alias("v"), F.pmod(F.xxhash64("c", "j", F.lit(SEED)), F.lit(n)).alias("u"))
     graph = written(random.filter("u != v").distinct().select("v", "u", F.lit(-2.0).cast("float").alias("sim"), F.lit(True).alias("fresh")), "graph")
-    for step in range(rounds):
+    step, moved = 0, n * k
+    while moved > changed * n * k:
         forward = _sampled(graph.select("v", "u", "fresh"), "v", step)
         reverse = _sampled(forward.select("v", "u", "fresh"), "u", step + 100)
         chosen = written(forward.select(F.col("v").alias("c"), "u", "fresh").unionByName(reverse.select(F.col("u").alias("c"), F.col("v").alias("u"), "fresh")), "chosen")
@@ -122,11 +126,12 @@ def build_graph(units: DataFrame, n: int, k: int = K, rounds: int = ROUNDS) -> D
         needed = meeting.select("block", "u").distinct().join(known, "u").select(F.col("block").alias("at"), F.col("u").alias("u_"), "x", "worst").toDF("at", "u", "x", "worst")
         offers = meeting.groupBy("block").cogroup(needed.groupBy("at")).applyInPandas(_meet, "u long, w long, sim float")
         met = chosen.join(graph.select("v", "u"), [chosen.c == graph.v, chosen.u == graph.u], "left_semi").filter("fresh").select(F.col("c").alias("v"), "u").distinct().withColumn("met", F.lit(True))
-        aged = graph.join(met, ["v", "u"], "left").select("v", "u", "sim", (F.col("fresh") & F.col("met").isNull()).alias("fresh"))
-        both = aged.unionByName(offers.select(F.col("u").alias("v"), F.col("w").alias("u"), "sim", F.lit(True).alias("fresh")))
-        once = both.groupBy("v", "u").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
+        aged = graph.join(met, ["v", "u"], "left").select("v", "u", "sim", (F.col("fresh") & F.col("met").isNull()).alias("fresh"), F.lit(True).alias("held"))
+        both = aged.unionByName(offers.select(F.col("u").alias("v"), F.col("w").alias("u"), "sim", F.lit(True).alias("fresh"), F.lit(False).alias("held")))
+        once = both.groupBy("v", "u").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"), F.max("held").alias("held"))
         best = once.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy(F.col("sim").desc(), "u"))).filter(F.col("place") <= k)
-        new = written(best.select("v", "u", "sim", "fresh"), "graph")
+        new = written(best.select("v", "u", "sim", "fresh", "held"), "graph")
+        step, moved = step + 1, new.filter("not held").count()
         forget(graph)
         forget(chosen)
         graph = new

@@ -271,6 +271,39 @@ def test_neighbours(spark):
     assert hits / 75 >= 0.9 and got.vec_id.max() < 300
 
 
+def test_neighbour_rounds_end_by_convergence(spark, monkeypatch):
+    from tercet.llm import neighbours
+
+    graphs, keep = [], neighbours.written
+    monkeypatch.setattr(neighbours, "SAMPLE", 3)  # slow rounds, as on many vectors
+    monkeypatch.setattr(neighbours, "forget", lambda df: None)
+    monkeypatch.setattr(neighbours, "written", lambda df, name: (graphs.append(keep(df, name)), graphs[-1])[1] if name == "graph" else keep(df, name))
+    n = 600
+    x = np.random.default_rng(4).standard_normal((n, 32)).astype(np.float16)
+    x = (x / np.linalg.norm(x.astype(np.float32), axis=1, keepdims=True)).astype(np.float16)
+    units = spark.createDataFrame([(i, x[i].tobytes()) for i in range(n)], "c long, x binary").cache()
+    neighbours.build_graph(units, n)
+    sims = x.astype(np.float32) @ x.astype(np.float32).T
+    np.fill_diagonal(sims, -2)
+    top = np.argsort(-sims, axis=1)[:, :5]
+
+    def share(graph):
+        held = {(r.v, r.u) for r in graph.select("v", "u").collect()}
+        return np.mean([(v, u) in held for v in range(n) for u in top[v].tolist()])
+
+    eighth, last = share(graphs[8]), share(graphs[-1])
+    assert len(graphs) > 9 and last >= 0.9 and last > eighth + 0.02, (len(graphs), eighth, last)
+
+
+def test_neighbour_blocks_without_queries():
+    import pandas as pd
+
+    from tercet.llm.neighbours import _score_block
+
+    held = pd.DataFrame({"u": [1, 2], "x": [np.ones(4, np.float16).tobytes()] * 2, "floor": [None, None]})
+    assert not len(_score_block(pd.DataFrame({"q": np.zeros(0, np.int64), "u": np.zeros(0, np.int64)}), held))
+
+
 def test_attention_gradients():
     from tercet.llm.attention import BEGIN, END, PAD, STEP, VOCAB, Model, windows
 
