@@ -353,3 +353,31 @@ def test_scoring_base(odd_documents):
     got = scored_documents(odd_documents).collect()
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == wanted
     assert all(r.score < 0 for r in got)
+
+
+def test_attention_learns_from_all_documents(spark, monkeypatch):
+    from tercet.llm import scoring
+    from tercet.llm.attention import windows
+    from tercet.llm.textkernel import Words, blocks
+
+    monkeypatch.setattr(scoring, "SAMPLE_DOCS", 4)
+    monkeypatch.setattr(scoring, "TRAIN_STEPS", 5)
+    rng, ranks = np.random.default_rng(6), scoring.default_ranks()
+    rows = []
+    for i in range(40):
+        said = rng.integers(0, 6, 2).tolist()
+        for _ in range(1500):  # every word follows from two before it
+            said.append(int(said[-1] + said[-2] + (rng.random() < 0.1)) % 6)
+        rows.append((i, " ".join("abcdef"[j] for j in said)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    bigrams = scoring.lots(docs, ranks)[scoring.BIGRAM]
+    learned = docs.filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(scoring.FOLDS)) != scoring.HELD_OUT)
+    sample = learned.orderBy(F.xxhash64("doc_id"), "doc_id").limit(4)
+    outside = learned.join(sample.select("doc_id"), "doc_id", "left_anti").toArrow().column("text").combine_chunks()
+    few, every = (scoring.fitted(d, bigrams, ranks) for d in (sample, docs))
+    again = scoring.fitted(docs, bigrams, ranks)
+    assert all((every.p[k] == again.p[k]).all() for k in every.p)
+    for _, _, data, off in blocks(outside):
+        inputs, targets, _ = windows(*scoring.word_pieces(ranks).pieces(Words(data, off, lower=True), data))
+        assert every.loss_and_gradients(inputs[:500], targets[:500])[0] < few.loss_and_gradients(inputs[:500], targets[:500])[0]
+        break
