@@ -5,25 +5,30 @@ columns are n-grams in one global order: rare columns first, columns known to be
 weight. If two rows of sizes n and m reach the similarity, their overlap is at least t n, so they
 meet in the first n - ceil(t n) + 1 columns of each; only this block of the matrix goes through the
 Spark product (a join on the column). A pair that meets at places i and j of its rows overlaps in
-min(n - i, m - j) columns at most; pairs below the size-derived bound are discarded there. The
-remaining columns are then bounded by column blocks: every class carries how many of its columns fall
-into each of COLUMN_BLOCKS hash ranges, the smaller counts of a pair add up to a bound of its
-overlap, and pairs below it are discarded. What is left is accumulated exactly in row blocks: the
-texts of a block meet in one place and their sorted sets are intersected.
-
-Large groups of near copies are not expanded into all pairs: two rounds multiply every column only
-with one pivot row, links are contracted into components, and the last round multiplies what still
-lies in different components. Every link between different components is examined, so components
-are exact; nothing is capped or dropped.
+min(n - i, m - j) columns at most; pairs below the size-derived bound are discarded there. Every
+class also carries how many of its columns fall into each of COLUMN_BLOCKS hash ranges; the smaller
+counts of a pair add up to a bound of its overlap, and pairs below it are discarded. What is left is
+accumulated exactly over blocks of columns; a pair is dropped as soon as its count so far and what
+the smaller row still holds cannot reach the bound.
+
+Columns of up to LIGHT rows multiply all their rows. A heavier column never emits its pairs. First
+two pivot rows of it meet the others, and links are contracted into components. The columns that
+still hold several components are then multiplied in row blocks: rows in order of size, blocks of
+ROW_BLOCK, and for every two blocks whose sizes can be similar one group, in which two incidence
+matrices are multiplied column block by column block. A group returns the links of a spanning
+forest, not all of them, so its output is linear in its rows. Every pair of different components is
+examined, so components are exact; nothing is capped or dropped.
 
 Which columns are heavy is only a matter of cost: any order that all rows share gives the same
 links. Each task counts columns in a fixed-size sketch; the heaviest MAX_HEAVY (a bound on what is
 broadcast) go last.
 
 Defined cases: null, empty or wordless text has an empty set, links with nothing and is its own
-component; fewer words than n make one n-gram; copies and repeated rows are one class; an empty
-table gives an empty result; other columns are ignored. Sets are compared by 52-bit hashes of their
-n-grams and classes by 63-bit hashes of their sets.
+component; fewer words than n make one n-gram; copies and repeated rows are one class; rows that
+share a doc_id but not a text are compared by their own texts, and so are rows without a doc_id; very
+long texts are compared whole; an empty table gives an empty result; other columns are ignored. Sets
+are compared by 52-bit hashes of their n-grams and classes by 63-bit hashes of their sets; a text is
+found again by its doc_id and a 64-bit hash of the text.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tercet.llm.common import partitions, release_memory, small_batches, table, written
+from tercet.llm.common import forget, looked_up, partitions, release_memory, small_batches, sorted_positions, table, written
 from tercet.llm.graphs import components
 from tercet.llm.textkernel import Words, blocks, mix, shingle_sets
 
@@ -45,11 +50,15 @@ SKETCH = 1 << 22
 MAX_IDS = 1_000_000
 #: Members of one row block around a pivot.
 BLOCK = 64
+#: Rows of a column whose pairs are formed at once, at most; heavier ones are multiplied in blocks of rows.
+LIGHT, ROW_BLOCK = 48, 512
+#: Columns that are accumulated before pairs below the bound are dropped.
+COLUMNS = 4096
 
 #: Hash ranges of columns whose counts bound a pair's overlap.
 COLUMN_BLOCKS = 256
 
-SCAN = "doc_id long, n long, fp long, counts binary, gram long, seen long"
+SCAN = "doc_id long, th long, n long, fp long, counts binary, gram long, seen long"
 POSTINGS = "gram long, fp long, n int, place int"
 
 
@@ -119,7 +128,7 @@ def scan_sets(docs: DataFrame, n: int) -> DataFrame:
     def scan(batches):
         cells, total, often = np.zeros(SKETCH, np.uint16), 0, []
         for batch in batches:
-            keys, at = batch.column("doc_id"), 0
+            keys, hashes = batch.column("doc_id"), batch.column("th")
             for low, high, data, off in blocks(batch.column("text")):
                 values, place = shingle_sets(Words(data, off, lower=True), n)
                 cell = values & (SKETCH - 1)
@@ -129,15 +138,15 @@ def scan_sets(docs: DataFrame, n: int) -> DataFrame:
                 if hot.any():
                     often.append(values[hot])
                 count = high - low
-                yield batch_of([keys.slice(low, count), pa.array(np.diff(place)), pa.array(set_hashes(values, place)), pa.array(block_counts(values, place), pa.binary()), None, None], count)
+                yield batch_of([keys.slice(low, count), hashes.slice(low, count), pa.array(np.diff(place)), pa.array(set_hashes(values, place)), pa.array(block_counts(values, place), pa.binary()), None, None], count)
                 if len(often) > 64:
                     grams, seen = np.unique(np.concatenate(often), return_counts=True)
-                    yield batch_of([None, None, None, None, pa.array(grams), pa.array(seen)], len(grams))
+                    yield batch_of([None, None, None, None, None, pa.array(grams), pa.array(seen)], len(grams))
                     often = []
         release_memory()
         if often:
             grams, seen = np.unique(np.concatenate(often), return_counts=True)
-            yield batch_of([None, None, None, None, pa.array(grams), pa.array(seen)], len(grams))
+            yield batch_of([None, None, None, None, None, pa.array(grams), pa.array(seen)], len(grams))
 
     return written(gathered.mapInArrow(scan, SCAN), "sets")
 
@@ -174,7 +183,7 @@ def leading_columns(docs: DataFrame, n: int, percent: int, heavy: tuple[np.ndarr
                 wanted = sizes - -(-percent * sizes // 100) + 1
                 spot = np.arange(len(values)) - np.repeat(place[:-1], sizes)
                 kept = spot < np.repeat(wanted, sizes)
-                fp = set_hashes_of(values, place, doc, sizes)
+                fp = set_hashes(values, place)  # they do not depend on the order inside a set
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values[kept]), pa.array(fp[doc[kept]]), pa.array(sizes[doc[kept]].astype(np.int32)), pa.array(spot[kept].astype(np.int32))],
                     names=["gram", "fp", "n", "place"],
@@ -184,21 +193,29 @@ def leading_columns(docs: DataFrame, n: int, percent: int, heavy: tuple[np.ndarr
     return docs.mapInArrow(lead, POSTINGS)
 
 
-def set_hashes_of(values: np.ndarray, place: np.ndarray, doc: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The sets' hashes; they do not depend on the order inside a set."""
-    return set_hashes(values, place)
-
-
 def _possible(percent: int, n: Column, i: Column, m: Column, j: Column) -> Column:
     """Whether rows of n and m columns that first meet at places i and j can still be similar."""
     overlap = F.least(n - i, m - j).cast("long")
     return 100 * overlap >= percent * (n + m - overlap)
 
 
+def _reached(pivot: np.ndarray, row: np.ndarray, needed: int) -> bool:
+    """Whether two sorted sets share ``needed`` columns; gives up at the block of columns after which they cannot."""
+    common = 0
+    for low in range(0, len(row), COLUMNS):
+        if common + len(row) - low < needed:
+            return False
+        part = row[low : low + COLUMNS]
+        at = np.searchsorted(pivot, part)
+        inside = at < len(pivot)
+        common += int((pivot[at[inside]] == part[inside]).sum())
+    return common >= needed
+
+
 def overlaps(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that reach the similarity, by whole sets; ``texts(fp, text)``.
 
-    Pairs are grouped by pivot ``a`` and blocks of about BLOCK members, so a popular pivot spreads
+    Pairs are grouped by ``a`` and blocks of about BLOCK members, so a popular pivot spreads
     over tasks; each block has its pivot's text once, before its members'.
     """
     counts = pairs.groupBy("a").agg(F.count("*").alias("members"))
@@ -218,78 +235,196 @@ def overlaps(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
                     row = values[place[r - low] : place[r - low + 1]]
                     if role[r] == 0:
                         pivot = row
-                        continue
-                    at = np.searchsorted(pivot, row)
-                    inside = at < len(pivot)
-                    common = int((pivot[at[inside]] == row[inside]).sum())
-                    if 100 * common >= percent * (len(pivot) + len(row) - common):
+                    elif _reached(pivot, row, -(-percent * (len(pivot) + len(row)) // (100 + percent))):
                         found.append((a[r], b[r]))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
     return together.mapInArrow(intersect, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for ``docs(doc_id, text)``; similar: Jaccard of ``percent`` or more."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+class _Rows:
+    """One row block: its sets end to end, their sizes, classes and components."""
+
+    def __init__(self):
+        self.parts: list[np.ndarray] = []
+        self.fp: list[int] = []
+        self.component: list[int] = []
+
+    def add(self, values: np.ndarray, fp: int, component: int) -> None:
+        self.parts.append(values)
+        self.fp.append(fp)
+        self.component.append(component)
+
+    def closed(self):
+        sizes = np.array([len(p) for p in self.parts], np.int64)
+        return np.concatenate(self.parts) if self.parts else np.zeros(0, np.int64), sizes, np.array(self.fp, np.int64), np.array(self.component, np.int64)
+
+
+def _incidence(values: np.ndarray, sizes: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column number of the entries that fall into the sorted ``columns``."""
+    at = np.searchsorted(columns, values)
+    inside = at < len(columns)
+    inside[inside] = columns[at[inside]] == values[inside]
+    return np.repeat(np.arange(len(sizes)), sizes)[inside], at[inside]
+
+
+def product_links(first: _Rows, second: _Rows | None, percent: int) -> list[tuple[int, int]]:
+    """Multiply two row blocks (or one with itself); returns links that connect what the product connects."""
+    values, sizes, fp, component = first.closed()
+    values_, sizes_, fp_, component_ = (first if second is None else second).closed()
+    if not len(values) or not len(values_):
+        return []
+    needed = -(-percent * (sizes[:, None] + sizes_[None, :]) // (100 + percent))
+    open_ = (component[:, None] != component_[None, :]) & (needed <= np.minimum(sizes[:, None], sizes_[None, :]))
+    columns = np.intersect1d(values, values_)
+    (row, col), (row_, col_) = _incidence(values, sizes, columns), _incidence(values_, sizes_, columns)
+    rest, rest_ = np.bincount(row, minlength=len(sizes)), np.bincount(row_, minlength=len(sizes_))
+    shared = np.zeros(needed.shape, np.float32)
+    open_ &= np.minimum(rest[:, None], rest_[None, :]) >= needed
+    for low in range(0, len(columns), COLUMNS):
+        if not open_.any():
+            return []
+        width = min(COLUMNS, len(columns) - low)
+        here, here_ = (col >= low) & (col < low + width), (col_ >= low) & (col_ < low + width)
+        left, right = np.zeros((len(sizes), width), np.float32), np.zeros((len(sizes_), width), np.float32)
+        left[row[here], col[here] - low] = 1
+        right[row_[here_], col_[here_] - low] = 1
+        shared += left @ right.T
+        rest, rest_ = rest - np.bincount(row[here], minlength=len(rest)), rest_ - np.bincount(row_[here_], minlength=len(rest_))
+        open_ &= shared + np.minimum(rest[:, None], rest_[None, :]) >= needed
+    linked = open_
+    # labels of rows and columns of the link matrix until they agree; then one link for each row but a component's first
+    every = np.concatenate((fp, fp_))
+    label = every.copy()
+    top = np.iinfo(np.int64).max
+    while True:
+        mine, other = label[: len(fp)], label[len(fp) :]
+        new = np.minimum(mine, np.where(linked, other[None, :], top).min(axis=1))
+        new_ = np.minimum(other, np.where(linked, new[:, None], top).min(axis=0))
+        both = np.concatenate((new, new_))
+        if (both == label).all():
+            break
+        label = both
+    moved = label != every
+    return list(set(zip(label[moved].tolist(), every[moved].tolist(), strict=True)))
+
+
+def block_products(rows: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) among ``rows(gram, fp, n, component)`` that share a column but no component, by products of row blocks."""
+    placed, before = sorted_positions(rows, [F.col("gram"), F.col("n"), F.col("fp")], "open-rows")
+    blocked = placed.withColumn("block", ((F.col("_row") + looked_up(before, F.col("_pid"))) / ROW_BLOCK).cast("long")).select("gram", "block", "fp", "component", "n")
+    held = blocked.groupBy("gram", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("low"), F.max("component").alias("high"))
+    other = held.select("gram", *[F.col(c).alias(f"{c}_") for c in held.columns if c != "gram"])
+    couples = written(
+        held.join(other, "gram").filter((F.col("block") <= F.col("block_")) & (100 * F.col("most") >= percent * F.col("least_")) & ((F.least("low", "low_") < F.greatest("high", "high_"))))
+        .select("gram", "block", "block_"),
+        "couples",
+    )
+    left = blocked.join(couples, ["gram", "block"]).select("gram", "block", "block_", F.lit(0).alias("side"), "fp", "component")
+    right = blocked.withColumnRenamed("block", "block_").join(couples.filter("block < block_"), ["gram", "block_"]).select("gram", "block", "block_", F.lit(1).alias("side"), "fp", "component")
+    both = left.unionByName(right).join(texts, "fp").select("gram", "block", "block_", "side", "fp", "component", "text")
+    together = both.repartition(partitions(rows.sparkSession), "gram", "block", "block_").sortWithinPartitions("gram", "block", "block_", "side", "fp")
+
+    def multiply(batches):
+        now, sides = None, (_Rows(), _Rows())
+
+        def done():
+            found = product_links(sides[0], sides[1] if now[1] != now[2] else None, percent) if now else []
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("gram", "block", "block_")), strict=True))
+            side, fp, component = (batch.column(c).to_pylist() for c in ("side", "fp", "component"))
+            for low, high, data, off in blocks(batch.column("text")):
+                values, place = shingle_sets(Words(data, off, lower=True), n)
+                for r in range(low, high):
+                    if keys[r] != now:
+                        yield done()
+                        now, sides = keys[r], (_Rows(), _Rows())
+                    sides[side[r]].add(values[place[r - low] : place[r - low + 1]], fp[r], component[r])
+        yield done()
+        release_memory()
+
+    return together.mapInArrow(multiply, "a long, b long")
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
+    """(fp, text) of the classes ``wanted(fp)``, found by the doc_id and text hash of one member each."""
+    ids = written(wanted.join(classes, "fp").select("fp", "rep.*"), "wanted")
+    held = F.broadcast(ids) if ids.count() <= MAX_IDS else ids
+    same = docs.doc_id.eqNullSafe(ids.doc_id) & (docs.th == ids.th)
+    return written(docs.join(held, same).select("fp", "text").dropDuplicates(["fp"]), "texts")
+
+
+def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Every row of ``docs(doc_id, text)``: doc_id, th (hash of the text), n, component_id, and the component's first document ``first``."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     scanned = scan_sets(docs, n)
-    sets = scanned.filter("gram is null").select("doc_id", "n", "fp")
-    blocks_of = scanned.filter("gram is null and n > 0").select("fp", "n", "counts").dropDuplicates(["fp"])
-    classes = sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    sets = scanned.filter("gram is null").select("doc_id", "th", "n", "fp")
+    member = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")
+    classes = sets.filter("n > 0").groupBy("fp").agg(F.min(member).alias("rep"), F.min("doc_id").alias("smallest"))
+    counts_of = scanned.filter("gram is null and n > 0").select("fp", "n", "counts").dropDuplicates(["fp"])
     postings = written(leading_columns(docs, n, percent, heavy_columns(scanned)), "leading")
     shared = postings.groupBy("gram").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("gram")
     matrix = written(postings.join(shared, "gram", "left_semi").groupBy("gram", "fp").agg(F.first("n").alias("n"), F.first("place").alias("place")), "matrix")
+    forget(postings)
+    held = written(counts_of.join(matrix.select("fp").distinct(), "fp", "left_semi"), "blocks")
+    heavy_grams = written(matrix.groupBy("gram").agg(F.count("*").alias("rows")).filter(F.col("rows") > LIGHT).select("gram"), "heavy-columns")
+    light, heavy = matrix.join(heavy_grams, "gram", "left_anti"), matrix.join(heavy_grams, "gram", "left_semi")
+
+    possible = _possible(percent, F.col("n"), F.col("place"), F.col("n_"), F.col("place_"))
+    under = light.select("gram", F.col("fp").alias("fp_"), F.col("n").alias("n_"), F.col("place").alias("place_"))
+    met = light.join(under, "gram").filter((F.col("fp_") < F.col("fp")) & possible).select(F.col("fp_").alias("a"), F.col("fp").alias("b"))
+    row = [F.col("fp").alias("fp_"), F.col("n").alias("n_"), F.col("place").alias("place_")]
+    pivots = heavy.groupBy("gram").agg(F.min(F.struct("n", F.struct(*row).alias("r"))).alias("shortest"), F.min(F.struct(F.xxhash64("fp").alias("h"), F.struct(*row).alias("r"))).alias("any"))
+    pivots = pivots.select("gram", F.explode(F.array("shortest.r", "any.r")).alias("r")).select("gram", "r.*")
+    turned = heavy.join(pivots, "gram").filter((F.col("fp") != F.col("fp_")) & possible).select(F.col("fp_").alias("a"), F.col("fp").alias("b"))
+    pairs = written(bounded(met.unionByName(turned).distinct(), held, percent), "pairs")
+    texts = _texts_of(docs, pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct(), classes)
+    links = written(overlaps(pairs, texts, n, percent), "links")
+    forget(texts)
+    joined = components(links)
+
+    named_rows = heavy.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("gram", "fp", "n", F.coalesce("component", "fp").alias("component"))
+    several = named_rows.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("gram")
+    open_rows = written(named_rows.join(several, "gram", "left_semi"), "open")
+    if not open_rows.isEmpty():
+        texts = _texts_of(docs, open_rows.select("fp").distinct(), classes)
+        more = written(block_products(open_rows, texts, n, percent), "links")
+        forget(texts)
+        joined = components(links.unionByName(more))
 
-    held = written(blocks_of.join(matrix.select("fp").distinct(), "fp", "left_semi"), "blocks")
-
-    links: list[DataFrame] = []
-    joined: DataFrame | None = None
-    for step in range(3):
-        if joined is None:
-            rows = matrix.withColumn("component", F.col("fp"))
-        else:
-            rows = matrix.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-        left = rows.select(*[F.col(c).alias(f"{c}_") if c != "gram" else F.col(c) for c in rows.columns])
-        if step < 2:
-            rank = F.col("n").cast("long") if step == 0 else F.xxhash64("fp")
-            pivot = rows.groupBy("gram").agg(F.min(F.struct(rank.alias("rank"), F.col("fp").alias("fp_"), F.col("n").alias("n_"), F.col("place").alias("place_"), F.col("component").alias("component_"))).alias("p")).select("gram", "p.*")
-            met = rows.join(pivot, "gram").filter((F.col("component") != F.col("component_")) & _possible(percent, F.col("n"), F.col("place"), F.col("n_"), F.col("place_")))
-        else:
-            mixed = rows.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("gram")
-            open_rows, open_left = rows.join(mixed, "gram", "left_semi"), left.join(mixed, "gram", "left_semi")
-            met = open_rows.join(open_left, "gram").filter((F.col("component") > F.col("component_")) & _possible(percent, F.col("n"), F.col("place"), F.col("n_"), F.col("place_")))
-        pairs = written(bounded(met.groupBy(F.col("fp_").alias("a"), F.col("fp").alias("b")).agg(F.count("*").alias("shared")), held, percent), "pairs")
-        met_in = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-        ids = written(met_in.join(classes, "fp"), "wanted")
-        few = ids.count() <= MAX_IDS
-        texts = written(docs.join(F.broadcast(ids) if few else ids, docs.doc_id == ids.rep).select("fp", "text").dropDuplicates(["fp"]), "texts")
-        links.append(written(overlaps(pairs, texts, n, percent), "links"))
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        joined = components(every)
     named = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_class = named.join(smallest, "component").select("fp", "component_id")
-    return (
-        sets.join(by_class, "fp", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+    smallest = named.groupBy("component").agg(F.min("rep").alias("first"), F.min("smallest").alias("component_id"))
+    by_class = named.join(smallest, "component").select("fp", "component_id", "first")
+    own = F.col("n") == 0
+    return sets.join(by_class, "fp", "left").select(
+        "doc_id", "th", "n", F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(own, member).otherwise(F.col("first")).alias("first")
+    )
+
+
+def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for ``docs(doc_id, text)``; similar: Jaccard of ``percent`` or more."""
+    return grouped(docs, n, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Documents without near copies: of every group the one with the smallest doc_id stays.
 
-    Rows that repeat a doc_id are one document; rows without a doc_id cannot be named and all stay.
+    Rows that repeat both doc_id and text are one document. Rows that share a doc_id but not a text, and
+    rows without a doc_id, are documents of their own; named ones come first in a group.
     """
-    named = docs.filter("doc_id is not null")
-    groups = similar_groups(named, n, percent)
-    stay = written(groups.filter("doc_id = component_id").select("doc_id").distinct(), "stay")
-    few = stay.count()
-    kept = named.join(F.broadcast(stay) if few <= MAX_IDS else stay, "doc_id", "left_semi")
-    if groups.count() > groups.select("doc_id").distinct().count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    groups = written(grouped(docs, n, percent), "groups")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    rows = groups.filter(is_first).groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.count("*").alias("rows"))
+    stay = written(rows, "stay")
+    few, most = stay.agg(F.count("*"), F.coalesce(F.max("rows"), F.lit(0))).first()
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
+    held = stay.select("__id", "__th")
+    kept = keyed.join(F.broadcast(held) if few <= MAX_IDS else held, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left_semi")
+    if most > 1:
+        kept = kept.dropDuplicates(["doc_id", "__key"])
+    return kept.select(*docs.columns)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
