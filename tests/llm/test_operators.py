@@ -369,6 +369,7 @@ def test_attention_learns_from_all_documents(spark, monkeypatch):
 
     monkeypatch.setattr(scoring, "SAMPLE_DOCS", 4)
     monkeypatch.setattr(scoring, "TRAIN_STEPS", 5)
+    monkeypatch.setattr(scoring, "WINDOW_SHARE", 2)
     rng, ranks = np.random.default_rng(6), scoring.default_ranks()
     rows = []
     for i in range(40):
@@ -377,47 +378,51 @@ def test_attention_learns_from_all_documents(spark, monkeypatch):
             said.append(int(said[-1] + said[-2] + (rng.random() < 0.1)) % 6)
         rows.append((i, " ".join("abcdef"[j] for j in said)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
-    bigrams = scoring.lots(docs, ranks)[scoring.BIGRAM]
-    learned = docs.filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(scoring.FOLDS)) != scoring.HELD_OUT)
-    sample = learned.orderBy(F.xxhash64("doc_id"), "doc_id").limit(4)
-    outside = learned.join(sample.select("doc_id"), "doc_id", "left_anti").toArrow().column("text").combine_chunks()
-    few, every = (scoring.fitted(d, bigrams, ranks) for d in (sample, docs))
-    again = scoring.fitted(docs, bigrams, ranks)
+    counts = scoring.bigrams(docs, ranks)
+    few = scoring.started(docs, scoring.Model(counts), ranks)
+    every, again = scoring.fitted(docs, ranks), scoring.fitted(docs, ranks)
     assert all((every.p[k] == again.p[k]).all() for k in every.p)
+    outside = docs.filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(scoring.FOLDS)) == scoring.HELD_OUT).toArrow().column("text").combine_chunks()
     for _, _, data, off in blocks(outside):
         inputs, targets, _ = windows(*scoring.word_pieces(ranks).pieces(Words(data, off, lower=True), data))
         assert every.loss_and_gradients(inputs[:500], targets[:500])[0] < few.loss_and_gradients(inputs[:500], targets[:500])[0]
         break
 
 
-def test_ngram_join_of_clashing_ids(spark):
-    """Rows of one doc_id with different texts, and rows without one, keep their own links."""
-    from tercet.llm.ngram_join import one_of_each, similar_groups
-
-    a, b = ([f"{x}{i}" for i in range(100)] for x in "ab")
-    near = lambda w: " ".join([*w[:50], "new", *w[51:]])
-    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (None, " ".join([*a, "end"])), (5, "alone"), (5, "alone"), (None, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r.doc_id or 0, r.component_id) for r in similar_groups(docs).collect() if r.n_shingles)
-    assert got == [(0, 1), (1, 1), (1, 1), (2, 1), (3, 1), (5, 5), (5, 5)]
-    kept = sorted((r.doc_id or 0, r.text[:2]) for r in one_of_each(docs, 5, 80).collect())
-    assert kept == [(0, ""), (1, "a0"), (1, "b0"), (5, "al")]
-
-
-def test_ngram_join_in_row_blocks(spark, monkeypatch):
-    """One common column of several hundred rows, most of them unlinked, in many row blocks."""
-    from tercet.llm import ngram_join
-
-    monkeypatch.setattr(ngram_join, "LIGHT", 4)
-    monkeypatch.setattr(ngram_join, "ROW_BLOCK", 16)
-    monkeypatch.setattr(ngram_join, "COLUMNS", 32)
-    rng = np.random.default_rng(5)
-    base, rows = [f"t{i}" for i in range(60)], []
-    for i in range(150):
-        w = list(base[: 50 + i % 10])
-        for at in rng.choice(len(w), rng.integers(0, 4), replace=False):
-            w[at] = f"e{rng.integers(0, 40)}"
-        rows.append((i, " ".join(w)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    wanted = brute_groups(rows, 3, 90)
-    assert got == wanted and len({c for _, c in wanted.values()}) > 5
+def test_scores_equal_a_plain_model(spark, odd_documents):
+    """Scores against attention and softmax computed token by token; rows of one doc_id keep their own."""
+    from tercet.llm import scoring
+    from tercet.llm.attention import BEGIN, END, HEAD, PAD, SIDE, STEP, VOCAB, WIDTH
+
+    docs = odd_documents.select("doc_id", "text").filter("doc_id <> 8").unionByName(spark.createDataFrame([(6, "another text of it"), (None, None), (None, "unnamed")], "doc_id long, text string"))
+    ranks = scoring.default_ranks()
+    model = scoring.fitted(docs, ranks)
+    p, plain = {k: v.astype(np.float64) for k, v in model.p.items()}, {}
+    for r in docs.dropDuplicates().collect():
+        ids = [i for w in WORD.findall(lowered(r.text)) for i in scoring.word_pieces(ranks).encode(" " + w)] + [END]
+        said, total = [BEGIN, *ids[:-1]], 0.0
+        for t, goal in enumerate(ids):
+            low = max(0, t - t % STEP - HEAD)
+            seen = said[low : t + 1]
+            x = p["E"][seen]
+            a = x[-1] @ p["Wq"] @ (x @ p["Wk"]).T / WIDTH**0.5 + p["R"][len(seen) - 1 - np.arange(len(seen))]
+            a = np.exp(a - a.max())
+            h = x[-1] + (a / a.sum()) @ x @ p["Wv"] @ p["Wo"]
+            h = h + np.maximum(h @ p["W1"] + p["b1"], 0) @ p["W2"]
+            for logits, at in ((h @ p["Uc"] + model.classes[seen[-1]], goal // SIDE), (h @ p["Um"][goal // SIDE] + model.members[goal // SIDE, seen[-1]], goal % SIDE)):
+                total += logits[at] - np.log(np.exp(logits).sum())
+        plain[(r.doc_id, len(ids), round(total / np.log(10), 2))] = 1
+    assert PAD < VOCAB
+    got = scoring.scored_documents(docs).collect()
+    near = lambda s: any(abs(s - k[2]) < 0.02 + 1e-4 * abs(s) for k in plain)
+    assert len(got) == docs.count() and all(near(r.score) for r in got)
+    by_id = lambda i: sorted(round(r.score, 1) for r in got if r.doc_id == i)
+    want = lambda i: sorted(round(k[2], 1) for k in plain if k[0] == i)
+    assert all(min(abs(a - b) for b in by_id(i)) < 0.11 for i in (6, None) for a in want(i))
+
+
+def test_held_out_scores_beat_the_base(spark):
+    from tercet.llm.scoring import op10_scoring
+
+    t = op10_scoring(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert t[0] > t[1]
