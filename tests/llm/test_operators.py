@@ -378,7 +378,7 @@ def test_attention_learns_from_all_documents(spark, monkeypatch):
             said.append(int(said[-1] + said[-2] + (rng.random() < 0.1)) % 6)
         rows.append((i, " ".join("abcdef"[j] for j in said)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
-    counts = scoring.bigrams(docs, ranks)
+    counts, _ = scoring.read_through(docs, ranks)
     few = scoring.started(docs, scoring.Model(counts), ranks)
     every, again = scoring.fitted(docs, ranks), scoring.fitted(docs, ranks)
     assert all((every.p[k] == again.p[k]).all() for k in every.p)
