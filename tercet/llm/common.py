@@ -6,6 +6,7 @@ Everything that must outlive a lost executor is written as a table to the folder
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -43,9 +44,11 @@ def release_memory() -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured (tests)."""
+    """The cluster's checkpoint folder. A temporary one is made only where all runs in one process (tests); elsewhere none is an error."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="tercet-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")

@@ -1,18 +1,22 @@
 """Resharding by minimum-cost flow: move as few bytes as the new capacities allow.
 
-The old layout gives every document a shard. Its rows are counted by (old shard, size class): these
-blocks are the supplies of a flow network, the new shards' row capacities are the demands, and an
-arc costs nothing where a block stays and its mean bytes a row where it moves. The network has
-shards x size classes nodes whatever the data's size, and successive shortest paths solve it. The
-flow says how many rows each old shard sends where; taken by size within the old shard, these are
-intervals of a global sort, so that shard and slot of a row follow from its position. Files are
-then rewritten: rows keep the order of their intervals.
-
-The law is ``rows``: counts of the new shards are at most one apart. Among all ways to reach the
-capacities the flow moves the fewest bytes (each over-full shard gives its smallest documents).
+The old layout gives every document a shard, and its files hold one block each: an old shard's rows
+of one size class. Blocks are the supplies of a flow network, the new shards' row capacities are the
+demands, and an arc costs nothing where a block stays and its mean bytes a row where it moves. The
+network has shards x size classes nodes whatever the data's size, and successive shortest paths
+solve it. The flow says how many rows each block sends where; taken by size within the old shard,
+these are intervals of a global sort, so that shard and slot of a row follow from its position.
+Files of blocks with rows that move are rewritten; the files of all other blocks stay as they are,
+and their rows' slots stand in the table of places alone.
+
+The law is ``rows``: counts of the new shards are at most one apart. Each shard takes the whole part
+of the mean and, as one more node, an odd row at most, so that the flow also chooses where the odd
+rows save most. Among all ways to reach the capacities it moves the fewest bytes, a row counted as
+its block's mean (each over-full shard gives its smallest documents).
 
 Defined cases: null text has no bytes and size 1; a null doc_id belongs to old shard 0; ties in
-size are ordered by a row number; repeated rows each get their own slot; an empty table gives an
+size are ordered by a row number; repeated rows each get their own slot; very long texts are rows like
+others, in a size class of their own; an empty table gives an
 empty result; other columns are not carried.
 """
 
@@ -23,7 +27,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tercet.llm.common import forget, new_path, sorted_positions, table, written
+from tercet.llm.common import looked_up, new_path, sorted_positions, table, written
 
 N_SHARDS = 8
 OLD_SHARDS = 6
@@ -65,31 +69,25 @@ def min_cost_flow(supplies: list[int], demands: list[int], cost: list[list[float
     return flow
 
 
-def capacities(total: int, old_rows: list[int], n_shards: int) -> list[int]:
-    """Rows of each new shard: equal, the odd ones to the shards that hold most already."""
-    base, odd = divmod(total, n_shards)
-    by_rows = sorted(range(n_shards), key=lambda j: (-(old_rows[j] if j < len(old_rows) else 0), j))
-    return [base + (j in by_rows[:odd]) for j in range(n_shards)]
+#: Cost of an arc that may not be used.
+NEVER = 1e15
 
 
-def transfers(blocks: list[tuple[int, int, int, int]], n_shards: int) -> list[tuple[int, int, int]]:
-    """From (old shard, size class, rows, bytes) to (old shard, rows, new shard), smallest rows first."""
-    old_rows: dict[int, int] = {}
-    for shard, _, rows, _ in blocks:
-        old_rows[shard] = old_rows.get(shard, 0) + rows
-    total = sum(old_rows.values())
-    if not total:
-        return []
-    demand = capacities(total, [old_rows.get(j, 0) for j in range(n_shards)], n_shards)
+def transfers(blocks: list[tuple[int, int, int, int]], n_shards: int) -> list[tuple[int, int, int, int]]:
+    """From (old shard, size class, rows, bytes) to (old shard, size class, rows, new shard), smallest rows first."""
     blocks = sorted(blocks)
-    cost = [[0.0 if j == shard else size / rows for j in range(n_shards)] for shard, _, rows, size in blocks]
-    flow = min_cost_flow([b[2] for b in blocks], demand, cost)
+    base, odd = divmod(sum(b[2] for b in blocks), n_shards)
+    to_shard = [[0.0 if j == shard else size / rows for j in range(n_shards)] for shard, _, rows, size in blocks]
+    # every shard has its base, and a place for one row more; what fills the places that stay free comes from nowhere
+    cost = [row + row for row in to_shard] + [[NEVER] * n_shards + [0.0] * n_shards]
+    flow = min_cost_flow([*(b[2] for b in blocks), n_shards - odd], [base] * n_shards + [1] * n_shards, cost)
     out = []
-    for (shard, _, _, _), row in zip(blocks, flow, strict=True):
+    for (shard, size_class, _, _), row in zip(blocks, flow, strict=False):
+        sent = [row[j] + row[n_shards + j] for j in range(n_shards)]
         # inside a block that is split, its smallest rows move and the others stay
-        out += [(shard, n, j) for j, n in enumerate(row) if n and j != shard]
-        if shard < n_shards and row[shard]:
-            out.append((shard, row[shard], shard))
+        out += [(shard, size_class, n, j) for j, n in enumerate(sent) if n and j != shard]
+        if shard < n_shards and sent[shard]:
+            out.append((shard, size_class, sent[shard], shard))
     return out
 
 
@@ -101,69 +99,72 @@ def _by_interval(old: Column, rank: Column, parts: list[tuple[int, int, int, int
     return out
 
 
-def assigned(rows: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
-    """``rows(id, old_shard, size)`` with shard and slot added."""
-    sized = rows.select("id", "old_shard", "size")
-    size_class = F.floor(F.log2(F.col("size").cast("double"))).cast("int")
-    blocks = [tuple(r) for r in sized.groupBy("old_shard", size_class.alias("class")).agg(F.count("*"), F.sum("size")).collect()]
+def assigned(rows: DataFrame, n_shards: int = N_SHARDS) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Shard and slot of ``rows(id, old_shard, class, size)`` (written, by id), and the blocks (old shard, class) with rows that move."""
+    sized = rows.select("id", "old_shard", "class", "size")
+    blocks = [tuple(r) for r in sized.groupBy("old_shard", "class").agg(F.count("*"), F.sum("size")).collect()]
     moves = transfers(blocks, n_shards)
-    ranked, before = sorted_positions(sized, [F.col("old_shard"), F.col("size"), F.col("id")], "ranked")
+    ranked, before = sorted_positions(sized.select("id", "old_shard", "size"), [F.col("old_shard"), F.col("size"), F.col("id")], "ranked")
     firsts: dict[int, int] = {}
     at = 0
     for shard in sorted({b[0] for b in blocks}):
         firsts[shard] = at
         at += sum(b[2] for b in blocks if b[0] == shard)
     parts, used, filled, slots = [], dict.fromkeys(firsts, 0), [0] * n_shards, []
-    for i, (shard, n, j) in enumerate(moves):
+    for i, (shard, _, n, j) in enumerate(moves):
         parts.append((shard, used[shard], used[shard] + n, i))
         slots.append(filled[j] - used[shard])
         used[shard] += n
         filled[j] += n
-    from tercet.llm.common import looked_up
-
     first = looked_up(firsts, F.col("old_shard"))
     rank = F.col("_row") + looked_up(before, F.col("_pid")) - first
     named = ranked.withColumn("rank", rank)
-    return named.select(
+    places = named.select(
         "id",
-        _by_interval(F.col("old_shard"), F.col("rank"), parts, lambda i: F.lit(moves[i][2]).cast("long")).cast("int").alias("shard"),
+        _by_interval(F.col("old_shard"), F.col("rank"), parts, lambda i: F.lit(moves[i][3]).cast("long")).cast("int").alias("shard"),
         _by_interval(F.col("old_shard"), F.col("rank"), parts, lambda i: F.col("rank") + slots[i]).alias("slot"),
     )
+    return written(places, "places"), sorted({(shard, size_class) for shard, size_class, _, j in moves if j != shard})
 
 
 def old_layout(docs: DataFrame, n_shards: int = OLD_SHARDS) -> DataFrame:
-    """The layout before: by a checksum of doc_id, written as it is (uid, old shard, size)."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+    """The layout before: by a checksum of doc_id (id, old shard, size class, doc_id, text)."""
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select(
+        "doc_id", "text",
+        size.alias("size"),
         F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n_shards)), F.lit(0)).cast("int").alias("old_shard"),
+        F.floor(F.log2(size.cast("double"))).cast("int").alias("class"),
         F.monotonically_increasing_id().alias("id"),
-    )
+    )
 
 
-def reshard(old: DataFrame, path: str, n_shards: int = N_SHARDS) -> DataFrame:
-    """Rewrite the files of ``old(id, old_shard, size, ...)`` under ``path``/shard=N; returns them as read back.
+def reshard(old_path: str, new_path_: str, spark: SparkSession, n_shards: int = N_SHARDS) -> DataFrame:
+    """Reshard the files under ``old_path``/old_shard=N/class=N (rows with id and size); returns all rows with shard and slot.
 
-    All columns of ``old`` but its shard are kept; ``slot`` is the place in the shard, from 0.
+    Blocks with rows that move are written to ``new_path_``/shard=N and read back; of the others only the
+    places are joined, their files stay. Columns are kept; ``slot`` is the place in the shard, from 0.
     """
-    spark = old.sparkSession
-    places = assigned(old, n_shards)
-    (old.join(places, "id").drop("old_shard", "id").write.partitionBy("shard").option("compression", "zstd").parquet(path))
-    return spark.read.parquet(path)
+    old = spark.read.parquet(old_path)
+    places, affected = assigned(old, n_shards)
+    moves = F.lit(False)
+    for shard, size_class in affected:
+        moves = moves | ((F.col("old_shard") == shard) & (F.col("class") == size_class))
+    stay = old.filter(~moves).join(places, "id").drop("old_shard", "class", "id")
+    if not affected:
+        return stay
+    old.filter(moves).join(places, "id").drop("old_shard", "class", "id").write.partitionBy("shard").option("compression", "zstd").parquet(new_path_)
+    return stay.unionByName(spark.read.parquet(new_path_).select(*stay.columns))
 
 
 def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
-    try:
-        old = written(old_layout(table(spark, sf_dir, "documents")), "old-shards")
-    finally:
-        spark.conf.unset("spark.sql.parquet.compression.codec")
-    if old.isEmpty():
-        new = old.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
+    docs = old_layout(table(spark, sf_dir, "documents"))
+    if docs.isEmpty():
+        new = docs.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     else:
-        new = reshard(old, new_path(spark, "new-shards"))
-        forget(old)
+        path = new_path(spark, "old-shards")
+        docs.write.partitionBy("old_shard", "class").option("compression", "zstd").parquet(path)
+        new = reshard(path, new_path(spark, "new-shards"), spark)
     return new.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),

@@ -9,7 +9,7 @@ every record: readers can visit records in any order.
 Writing is safe against lost executors: a task writes a file of its own name, and only files that
 the committed index names are ever read.
 
-Defined cases: null or empty text has the end id alone; a null ``doc_id`` sorts first and is kept
+Defined cases: null or empty text has the end id alone; a very long text is one record; a null ``doc_id`` sorts first and is kept
 as null; repeated ids are all written; an empty table gives no records; other columns are ignored.
 """
 
@@ -35,7 +35,9 @@ _BODY = struct.Struct("<BqI")
 _NO_ID, _WIDE = 1, 2
 
 INDEX = "doc_id long, pid int, row long, file string, position long, length long, n_tokens long"
-RECORDS = "doc_id long, pid int, row long, local_start long, n_tokens long, ids_crc32 long"
+RECORDS = "doc_id long, pid int, chunk long, row long, local_start long, n_tokens long, ids_crc32 long"
+#: Bytes of a file that one task reads back, about; rows that it hands on at once; files that a shuffled reader keeps open.
+CHUNK_BYTES, ROWS, OPEN_FILES = 32 << 20, 512, 32
 
 
 def masked_crc(data: bytes) -> int:
@@ -125,29 +127,39 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str | None = None, e
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """Read every indexed file from its start to its end, checking all checksums."""
+    """Read every indexed record, files in chunks of about CHUNK_BYTES by different tasks, checking all checksums and places."""
     spark = index.sparkSession
-    files = index.groupBy("file").agg(F.first("pid").alias("pid"), F.count("*").alias("n")).repartition(partitions(spark), "file")
+    chunks = (
+        index.withColumn("chunk", F.expr(f"position div {CHUNK_BYTES}")).groupBy("file", "pid", "chunk")
+        .agg(F.min("position").alias("position"), F.max(F.col("position") + F.col("length")).alias("until"), F.min("row").alias("row"), F.count("*").alias("n"))
+        .repartition(partitions(spark), "file", "chunk")
+    )
 
     def read(batches):
         import zstandard
 
         unsqueeze = zstandard.ZstdDecompressor().decompress
         store, top = _open(folder)
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        names, kinds = [part.split()[0] for part in RECORDS.split(", ")], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
-            for name, pid, expected in zip(*(batch.column(c).to_pylist() for c in ("file", "pid", "n")), strict=True):
-                rows, start, row = [], 0, 0
-                with store.open_input_stream(f"{top}/{name}", buffer_size=1 << 20) as source:
-                    while (payload := read_frame(source)) is not None:
+            for name, pid, chunk, position, until, row, n in zip(*(batch.column(c).to_pylist() for c in ("file", "pid", "chunk", "position", "until", "row", "n")), strict=True):
+                rows, start = [], 0
+                with store.open_input_file(f"{top}/{name}") as source:
+                    source.seek(position)
+                    for k in range(n):
+                        payload = read_frame(source)
+                        if payload is None:
+                            raise ValueError(f"{name} ends before its indexed records do")
                         doc_id, ids = unpack_ids(payload, unsqueeze)
-                        rows.append((doc_id, pid, row, start, len(ids), zlib.crc32(ids.tobytes())))
-                        start, row = start + len(ids), row + 1
-                if row != expected:
-                    raise ValueError(f"{name} holds {row} records; the index has {expected}")
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "pid", "row", "local_start", "n_tokens", "ids_crc32"])
+                        rows.append((doc_id, pid, chunk, row + k, start, len(ids), zlib.crc32(ids.tobytes())))
+                        start += len(ids)
+                        if len(rows) == ROWS or k == n - 1:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                            rows = []
+                    if source.tell() != until:
+                        raise ValueError(f"{name} does not hold its records where the index says")
 
-    return files.mapInArrow(read, RECORDS)
+    return chunks.mapInArrow(read, RECORDS)
 
 
 def read_shuffled(index: DataFrame, folder: str, seed: int) -> DataFrame:
@@ -160,22 +172,28 @@ def read_shuffled(index: DataFrame, folder: str, seed: int) -> DataFrame:
 
         unsqueeze = zstandard.ZstdDecompressor().decompress
         store, top = _open(folder)
+        held: dict[str, object] = {}
         for batch in batches:
             got = []
             for name, position in zip(batch.column("file").to_pylist(), batch.column("position").to_pylist(), strict=True):
-                with store.open_input_file(f"{top}/{name}") as source:
-                    source.seek(position)
-                    got.append(unpack_ids(read_frame(source), unsqueeze))
+                if name not in held:
+                    if len(held) == OPEN_FILES:
+                        held.pop(next(iter(held))).close()
+                    held[name] = store.open_input_file(f"{top}/{name}")
+                held[name].seek(position)
+                got.append(unpack_ids(read_frame(held[name]), unsqueeze))
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1].tolist() for g in got], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+        for source in held.values():
+            source.close()
 
     return visits.mapInArrow(visit, "doc_id long, ids array<long>")
 
 
 def with_starts(records: DataFrame) -> DataFrame:
-    """Add the number of ids before each record: sums by file (few rows), then a running sum over files."""
-    files = records.groupBy("pid").agg(F.sum("n_tokens").alias("tokens"))
-    before = files.select("pid", (F.sum("tokens").over(Window.orderBy("pid")) - F.col("tokens")).alias("before"))
-    return records.join(before, "pid").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    """Add the number of ids before each record: sums by chunk of a file (one row for CHUNK_BYTES), then a running sum over chunks."""
+    chunks = records.groupBy("pid", "chunk").agg(F.sum("n_tokens").alias("tokens"))
+    before = chunks.select("pid", "chunk", (F.sum("tokens").over(Window.orderBy("pid", "chunk")) - F.col("tokens")).alias("before"))
+    return records.join(before, ["pid", "chunk"]).select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def random_order(n: int, seed: int) -> list[int]:

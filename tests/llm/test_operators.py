@@ -235,13 +235,47 @@ def test_resharding(spark):
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
 
 
+def test_resharding_of_odd_documents(spark, odd_documents):
+    """Rows, sizes and checksums of nulls, ties, repeated rows and clashing columns, against a plain count."""
+    from tercet.llm.resharding import old_layout, reshard
+    from tercet.llm.common import new_path
+
+    docs = odd_documents.withColumns({"shard": F.lit("x"), "slot": F.lit("y")}).unionByName(odd_documents.withColumns({"shard": F.lit("x"), "slot": F.lit("y"), "doc_id": F.lit(None).cast("long")}))
+    path = new_path(spark, "odd")
+    old_layout(docs).write.partitionBy("old_shard", "class").parquet(path)
+    got = reshard(path, new_path(spark, "odd-new"), spark).toPandas()
+    rows = Counter((-1 if r.doc_id is None else r.doc_id, len((r.text or "").encode()) + 1) for r in docs.collect())
+    assert Counter(zip(got.doc_id.fillna(-1).astype(int), got["size"], strict=True)) == rows
+    counts = got.groupby("shard").size()
+    assert len(counts) == 8 and counts.max() - counts.min() <= 1
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
 def test_flow_moves_the_fewest_bytes():
-    from tercet.llm.resharding import capacities, min_cost_flow, transfers
+    import itertools
+
+    from tercet.llm.resharding import min_cost_flow, transfers
 
     assert min_cost_flow([3, 2], [4, 1], [[0, 5], [2, 0]]) == [[3, 0], [1, 1]]
-    assert capacities(10, [5, 5], 4) == [3, 3, 2, 2]
-    moves = transfers([(0, 1, 4, 40), (0, 2, 4, 400)], 2)
-    assert sum(n for shard, n, j in moves if j == 1) == 4 and moves[0] == (0, 4, 1)
+    rng = np.random.default_rng(9)
+    for _ in range(25):  # against every assignment of single rows
+        n_shards, n = int(rng.integers(2, 4)), int(rng.integers(1, 7))
+        rows = sorted((int(rng.integers(0, 3)), int(c), 2 ** int(c)) for c in rng.integers(0, 4, n))
+        blocks = [(s, c, sum(r[:2] == (s, c) for r in rows), sum(r[2] for r in rows if r[:2] == (s, c))) for s, c in sorted({r[:2] for r in rows})]
+        moved = sum(k * 2**c for s, c, k, j in transfers(blocks, n_shards) if j != s)
+        best = min(sum(r[2] for r, j in zip(rows, to, strict=True) if j != r[0]) for to in itertools.product(range(n_shards), repeat=n) if max(to.count(j) for j in range(n_shards)) - min(to.count(j) for j in range(n_shards)) <= 1)
+        assert moved == best
+
+
+def test_files_of_blocks_that_stay_are_not_rewritten(spark):
+    from tercet.llm.common import new_path
+    from tercet.llm.resharding import old_layout, reshard
+
+    docs = spark.createDataFrame([(i, "x" * (5 if i % 2 else 5000)) for i in range(400)], "doc_id long, text string")
+    path, new = new_path(spark, "some"), new_path(spark, "some-new")
+    old_layout(docs).write.partitionBy("old_shard", "class").parquet(path)
+    assert reshard(path, new, spark).count() == 400
+    assert 0 < spark.read.parquet(new).agg(F.sum("size")).first()[0] < 0.5 * 5001 * 200
 
 
 def test_mixing_budgets(spark):
