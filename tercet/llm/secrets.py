@@ -1,9 +1,9 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long runs of key characters, values assigned to a secret's name, and private key
-heads. A random forest trained from labelled findings scores each by its length, its character
-transitions, how much of it a small dictionary covers, whether it looks like a path, and the words
-around it. Labelled findings are a bounded table (TRAINING_ROWS) that Spark expressions make from
+Candidates are long runs of key characters, values assigned to a secret's name, and private keys from
+their first line to their last, each whole, whatever its length. A random forest trained from labelled findings scores each by its length, its character
+transitions, how much of it a dictionary covers (the corpus' CORPUS_WORDS most frequent words and some
+fixed fragments), whether it looks like a path, and the words around it. Labelled findings are a bounded table (TRAINING_ROWS) that Spark expressions make from
 fixed forms of real and false findings. Everything runs in DataFrame functions and Spark's own
 forest: no Python on the executors.
 
@@ -34,9 +34,12 @@ MAX_FLAGGED = 200_000
 
 NAMES = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)"
 ASSIGN = NAMES + r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
-PATTERN = ASSIGN + r"[^\s\"',;<>]{8,200}|[A-Za-z0-9+/_-]{20,256}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+KEY_LINES = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
+PATTERN = ASSIGN + r"[^\s\"',;<>]{8,}+|" + KEY_LINES + r"|[A-Za-z0-9+/_-]{20,}+"
 
-#: Words whose presence in a candidate speaks for ordinary text.
+#: Words of the dictionary that are taken from the texts' own counts, the most frequent first, and their letters.
+CORPUS_WORDS, CORPUS_WORD = 300, "[a-z]{4,12}"
+#: Words whose presence in a candidate speaks for ordinary text, beside the corpus' own.
 DICTIONARY = [
     "the", "and", "ing", "ion", "ent", "for", "ver", "con", "pro", "est", "ation", "ment", "ness", "able", "over", "under", "inter",
     "example", "sample", "dummy", "test", "your", "changeme", "placeholder", "password", "secret", "token", "value", "name", "user",
@@ -50,11 +53,18 @@ WORDS_AGAINST = ["commit", "sha1", "sha256", "md5", "checksum", "digest", "hash"
 FEATURES = [f"f_{x}" for x in ("length", "transitions", "distinct", "digits", "uppers", "covered", "vowels", "slashes", "repeats", "words_for", "words_against", "assigned")]
 
 
-def features(found: DataFrame) -> DataFrame:
-    """Feature columns of ``found(value, before, after, assigned)``."""
+def corpus_words(docs: DataFrame, most: int = CORPUS_WORDS) -> list[str]:
+    """The ``most`` frequent words of all texts (a fixed number, whatever the corpus)."""
+    each = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(CORPUS_WORD), F.lit(0))).alias("word"))
+    return [r.word for r in each.groupBy("word").count().orderBy(F.col("count").desc(), "word").limit(most).collect()]
+
+
+def features(found: DataFrame, dictionary: list[str]) -> DataFrame:
+    """Feature columns of ``found(value, before, after, assigned)``; ``dictionary`` is what covers ordinary text."""
     v, low = F.col("value"), F.lower("value")
     n = F.greatest(F.length(v), F.lit(1)).cast("double")
     around = F.lower(F.concat_ws(" ", "before", "after"))
+    words = "|".join(sorted({*DICTIONARY, *dictionary}, key=lambda w: (-len(w), w)))
     lookaround = "(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"
 
     def count(column: Column, pattern: str) -> Column:
@@ -66,7 +76,7 @@ def features(found: DataFrame) -> DataFrame:
         "f_distinct": F.size(F.array_distinct(F.split(v, ""))) / F.least(n, F.lit(40.0)),
         "f_digits": count(v, "[0-9]") / n,
         "f_uppers": count(v, "[A-Z]") / n,
-        "f_covered": 1 - F.length(F.regexp_replace(low, "|".join(DICTIONARY), "")) / n,
+        "f_covered": 1 - F.length(F.regexp_replace(low, words, "")) / n,
         "f_vowels": count(low, "[aeiou]") / n,
         "f_slashes": count(v, "[/_.-]") / n,
         "f_repeats": count(v, r"(.)\1\1") / n,
@@ -124,9 +134,9 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
     return spark.range(rows).select(chosen(0).alias("value"), chosen(1).alias("before"), F.lit("").alias("after"), chosen(2).alias("assigned"), chosen(3).cast("double").alias("label"))
 
 
-def train(findings: DataFrame) -> RandomForestClassificationModel:
+def train(findings: DataFrame, dictionary: list[str]) -> RandomForestClassificationModel:
     """A forest from labelled findings; the table is bounded by who makes it."""
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(findings)).select("features", "label").coalesce(1)
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(findings, dictionary)).select("features", "label").coalesce(1)
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(rows)
 
 
@@ -167,8 +177,9 @@ def candidates(docs: DataFrame, *keep: str) -> DataFrame:
 
 def scanned(docs: DataFrame, *keep: str, threshold: float = THRESHOLD) -> DataFrame:
     """Scored findings of ``docs(text, keep...)``: start, length, value, score, is_secret."""
-    model = train(labelled_findings(docs.sparkSession))
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(features(candidates(docs, *keep)))
+    words = corpus_words(docs)
+    model = train(labelled_findings(docs.sparkSession), words)
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(features(candidates(docs, *keep), words))
     scored = model.transform(rows).withColumn("forest", vector_to_array("probability")[1])
     certain = F.col("value").startswith("-----BEGIN")
     score = F.when(certain, F.lit(1.0)).otherwise(F.col("forest"))

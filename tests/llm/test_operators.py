@@ -208,14 +208,39 @@ def test_secrets(odd_documents):
 def test_secret_forest_on_held_out_findings(spark):
     from pyspark.ml.feature import VectorAssembler
 
-    from tercet.llm.secrets import FEATURES, features, labelled_findings, train
+    from tercet.llm.secrets import FEATURES, corpus_words, features, labelled_findings, train
 
+    words = corpus_words(spark.read.parquet(f"{SMALL}/documents.parquet"))
     every = labelled_findings(spark, 3000).withColumn("fold", F.pmod(F.xxhash64("value"), F.lit(3)))
-    model = train(every.filter("fold > 0").drop("fold"))
-    tested = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(every.filter("fold = 0"))))
+    model = train(every.filter("fold > 0").drop("fold"), words)
+    tested = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(every.filter("fold = 0"), words)))
     assert tested.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] > 0.97
 
 
+def test_secrets_planted_in_documents(spark):
+    """Recall and precision on the assigned tokens of 40 hexadecimal digits that the tables hold."""
+    from tercet.llm.secrets import op5_secrets
+
+    planted = set()
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect():
+        planted |= {(r.doc_id, m.start(1)) for m in re.finditer(r"(?i)(?:token|secret|key|password)\W{1,4}([0-9a-f]{40})(?![0-9a-zA-Z])", r.text or "")}
+    found = {(r.doc_id, r.start) for r in op5_secrets(spark, "/root/testdata/sf0.01").filter("is_secret").collect()}
+    assert len(planted) > 5 and len(planted & found) >= 0.95 * len(planted) and len(planted & found) >= 0.9 * len(found), (len(planted), len(found), len(planted & found))
+
+
+def test_secrets_are_covered_whole(spark):
+    """Long values, whole private keys, equal texts, empty values, a clashing column."""
+    from tercet.llm.secrets import redacted
+
+    import hashlib
+
+    long = "".join(hashlib.sha512(bytes([i])).hexdigest() for i in range(3))[:215]
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join([long[:64], long[64:128], "Zm9v"]) + "\n-----END RSA PRIVATE KEY-----"
+    rows = [(1, f'token = "{long}" end', "x"), (2, f"before\n{key}\nafter", "x"), (2, f"before\n{key}\nafter", "x"), (3, "token = ", "x"), (4, 'token = ""', "x"), (5, None, None)]
+    got = sorted((r.doc_id, r.text) for r in redacted(spark.createDataFrame(rows, "doc_id long, text string, value string")).collect())
+    assert got == [(1, 'token = "[SECRET]" end'), (2, "before\n[SECRET]\nafter"), (2, "before\n[SECRET]\nafter"), (3, "token = "), (4, 'token = ""'), (5, None)]
+
+
 def test_chat_round_trip(spark):
     from tercet.llm.chat import formatted, read_back
 
