@@ -388,13 +388,17 @@ def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     named_rows = heavy.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("gram", "fp", "n", F.coalesce("component", "fp").alias("component"))
     several = named_rows.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("gram")
     open_rows = written(named_rows.join(several, "gram", "left_semi"), "open")
+    named = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     if not open_rows.isEmpty():
         texts = _texts_of(docs, open_rows.select("fp").distinct(), classes)
         more = written(block_products(open_rows, texts, n, percent), "links")
         forget(texts)
-        joined = components(links.unionByName(more))
+        # these links join whole components, so only components are labelled anew
+        of = joined.select(F.col("node"), F.col("component").alias("label"))
+        ends = more.join(of, more.a == of.node, "left").select(F.coalesce("label", "a").alias("a"), "b").join(of, F.col("b") == of.node, "left").select("a", F.coalesce("label", "b").alias("b"))
+        above = components(ends.filter("a <> b").distinct()).select(F.col("node").alias("component"), F.col("component").alias("above"))
+        named = named.join(above, "component", "left").withColumn("component", F.coalesce("above", "component")).drop("above")
 
-    named = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("first"), F.min("smallest").alias("component_id"))
     by_class = named.join(smallest, "component").select("fp", "component_id", "first")
     own = F.col("n") == 0

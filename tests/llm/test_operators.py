@@ -485,3 +485,62 @@ def test_held_out_scores_beat_the_base(spark):
 
     t = op10_scoring(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert t[0] > t[1]
+
+
+def test_ngram_join_of_clashing_ids(spark):
+    """Rows of one doc_id with different texts, and rows without one, keep their own links."""
+    from tercet.llm.ngram_join import one_of_each, similar_groups
+
+    a, b = ([f"{x}{i}" for i in range(100)] for x in "ab")
+    near = lambda w: " ".join([*w[:50], "new", *w[51:]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (None, " ".join([*a, "end"])), (5, "alone"), (5, "alone"), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id) for r in similar_groups(docs).collect() if r.n_shingles)
+    assert got == [(0, 1), (1, 1), (1, 1), (2, 1), (3, 1), (5, 5), (5, 5)]
+    kept = sorted((r.doc_id or 0, r.text[:2]) for r in one_of_each(docs, 5, 80).collect())
+    assert kept == [(0, ""), (1, "a0"), (1, "b0"), (5, "al")]
+
+
+def test_ngram_join_in_row_blocks(spark, monkeypatch):
+    """One common column of several hundred rows, most of them unlinked, in many row blocks."""
+    from tercet.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "LIGHT", 4)
+    monkeypatch.setattr(ngram_join, "ROW_BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 32)
+    rng = np.random.default_rng(5)
+    base, rows = [f"t{i}" for i in range(60)], []
+    for i in range(150):
+        w = list(base[: 50 + i % 10])
+        for at in rng.choice(len(w), rng.integers(0, 4), replace=False):
+            w[at] = f"e{rng.integers(0, 40)}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wanted = brute_groups(rows, 3, 90)
+    assert got == wanted and len({c for _, c in wanted.values()}) > 5
+
+
+def test_pipeline_on_odd_documents(spark, odd_documents):
+    """Nulls, copies, repeated rows and a secret go through every stage; pieces fill sequences without gaps."""
+    import corpus_pipeline
+
+    planted = odd_documents.filter("doc_id = 9").select("text").first()[0]
+    docs = odd_documents
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SMALL)
+        assert docs.columns == odd_documents.columns, name
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    assert set(kept) <= {3, 5, 7, 8, 9} and not {1, 2, 6, 10} & set(kept) and 4 not in kept
+    assert all("04dbebab" not in (t or "") for t in kept.values()) and "04dbebab" in planted
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).toPandas()
+    ordered = got.sort_values(["sequence_id", "offset"])
+    assert ((ordered.groupby("sequence_id").length.cumsum() - ordered.length) == ordered.offset).all() and set(got.doc_id) == set(kept)
+
+
+def test_pipeline_on_no_documents(spark, no_documents):
+    import corpus_pipeline
+
+    docs = no_documents
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SMALL)
+    assert docs.count() == 0
