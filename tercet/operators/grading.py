@@ -91,17 +91,21 @@ def dr_uplift(df: DataFrame, strata: str, reward: Column, pair: tuple[int, int]
     return j.groupBy(strata).agg(F.count("*").alias("n"), F.avg(psi).alias("uplift"))
 
 
-def targeting_curve(df: DataFrame, gain: str, policy: Column, reward: Column, points: int, q: float = 1 / 3) -> DataFrame:
-    """IPW value when the rows of largest gain follow the policy and the others the middle arm.
+def targeting_curve(df: DataFrame, gain: str, policy: Column, reward: Column, points: int = 21, q: float = 1 / 3) -> DataFrame:
+    """IPW value when the share of rows with the largest gains follows the policy and the others the middle arm.
 
-    Rows share a rank by distinct gain; the curve is taken at ``points`` shares of the distinct gains.
+    At ``points`` even shares from 0 to 1: (share, value). Rows of one gain count alike: where a share ends among
+    them, they enter with the part of them that it takes. Sums by distinct gain come first; the shares are ``points`` rows.
     """
     base = df.select(gain, F.when(F.col("arm") == policy, reward / q).otherwise(0.0).alias("treated"), F.when(F.col("arm") == 1, reward / q).otherwise(0.0).alias("flat"))
     by_gain = base.groupBy(gain).agg(F.sum("treated").alias("treated"), F.sum("flat").alias("flat"), F.count("*").alias("n"))
-    down = Window.orderBy(F.col(gain).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy(F.col(gain).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("treated", "flat", "n")]
     every = by_gain.agg(F.sum("flat").alias("all_flat"), F.sum("n").alias("all_n"))
-    curve = by_gain.select(gain, F.sum("treated").over(down).alias("t"), F.sum("flat").over(down).alias("f"), F.sum("n").over(down).alias("k"), F.row_number().over(Window.orderBy(F.col(gain).desc())).alias("step")).crossJoin(F.broadcast(every))
-    return curve.filter(F.col("step") <= points).select(gain, (F.col("k") / F.col("all_n")).alias("share"), ((F.col("t") + F.col("all_flat") - F.col("f")) / F.col("all_n")).alias("value"))
+    shares = every.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).withColumn("k", F.bround(F.col("i") * F.col("all_n") / (points - 1)))
+    inside = ((F.col("k") > F.col("n_before")) & (F.col("k") <= F.col("n_before") + F.col("n"))) | ((F.col("k") == 0) & (F.col("n_before") == 0))
+    met = by_gain.select("treated", "flat", "n", *sums).join(F.broadcast(shares), inside).withColumn("part", (F.col("k") - F.col("n_before")) / F.col("n"))
+    return met.select((F.col("i") / (points - 1)).alias("share"), ((F.col("treated_before") - F.col("flat_before") + F.col("all_flat") + F.col("part") * (F.col("treated") - F.col("flat"))) / F.col("all_n")).alias("value"))
 
 
 def predictive_metrics(df: DataFrame, y: Column, p: Column) -> DataFrame:

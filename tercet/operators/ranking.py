@@ -85,34 +85,60 @@ def vus_ordinal(sample: DataFrame, marker: str, first: int, middle: int, last: i
     return held.agg((F.sum(F.col("b") * left * right) / F.first("na") / F.first("nb") / F.first("nc")).alias("vus"))
 
 
-def trio_profile(sample: DataFrame, p: list[str] = P) -> DataFrame:
-    """Probability that each assignment of a trio (one row per class) has the largest score sum; ties share.
+#: The six assignments of a trio's rows to the classes.
+PERMS = [(0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)]
 
-    All trios of a small sample: the caller thins the sample, the work is the product of class sizes.
+
+def sampled_trios(sample: DataFrame, repeats: int = 8, per_class: int = 2, seed: int = 17, p: list[str] = P) -> DataFrame:
+    """A seeded random sample of trios (one row per class) of all rows: the six score sums, with the part they were drawn in.
+
+    In each repeat a hash deals every row to one of many parts, so that about ``per_class`` rows of a class
+    share a part, and the trios of a part are taken. All trios are equally likely; the work is linear in
+    the rows, and no class is broadcast or multiplied with another.
     """
     logs = prepared(sample, p)
+    parts = max(1, logs.count() // (3 * per_class))
+    dealt = logs.select("y", "row_id", "l0", "l1", "l2", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat")).withColumn("part", F.pmod(F.xxhash64("row_id", "repeat", F.lit(seed)), F.lit(parts)))
+    x, y, z = (dealt.filter(F.col("y") == c).select("repeat", "part", *[F.col(f"l{k}").alias(f"{n}{k}") for k in range(3)]) for c, n in ((0, "x"), (1, "y"), (2, "z")))
+    trios = x.join(y, ["repeat", "part"]).join(z, ["repeat", "part"])
+    return trios.select("repeat", "part", *[F.round(F.col(f"x{a}") + F.col(f"y{b}") + F.col(f"z{c}"), 9).alias(f"s{a}{b}{c}") for a, b, c in PERMS])
+
+
+def every_trio(sample: DataFrame, p: list[str] = P) -> DataFrame:
+    """All trios of a small fixture, in the form of :func:`sampled_trios`; each is a part of its own."""
+    logs = prepared(sample, p)
     x, y, z = (logs.filter(F.col("y") == c).select(*[F.col(f"l{k}").alias(f"{n}{k}") for k in range(3)]) for c, n in ((0, "x"), (1, "y"), (2, "z")))
-    trios = x.crossJoin(F.broadcast(y)).crossJoin(F.broadcast(z))
-    perms = [(0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)]
-    sums = trios.select(*[F.round(F.col(f"x{a}") + F.col(f"y{b}") + F.col(f"z{c}"), 9).alias(f"s{a}{b}{c}") for a, b, c in perms])
-    names = [f"s{a}{b}{c}" for a, b, c in perms]
+    trios = x.crossJoin(y).crossJoin(z).withColumns({"repeat": F.lit(1), "part": F.monotonically_increasing_id()})
+    return trios.select("repeat", "part", *[F.round(F.col(f"x{a}") + F.col(f"y{b}") + F.col(f"z{c}"), 9).alias(f"s{a}{b}{c}") for a, b, c in PERMS])
+
+
+def _with_error(trios: DataFrame, hits: dict[str, Column]) -> DataFrame:
+    """Means of ``hits`` over the trios with the error of a ratio of sums by part: name, prob, se, n_trios."""
+    by_part = trios.groupBy("repeat", "part").agg(F.count("*").alias("k"), *[F.sum(hit).alias(name) for name, hit in hits.items()])
+    sums = [F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("parts")]
+    for name in hits:
+        sums += [F.sum(name).alias(f"h_{name}"), F.sum(F.col(name) * F.col(name)).alias(f"hh_{name}"), F.sum(F.col("k") * F.col(name)).alias(f"kh_{name}")]
+    total = by_part.agg(*sums)
+    rows = []
+    for name in hits:
+        mean = F.col(f"h_{name}") / F.col("n")
+        rest = F.greatest(F.col(f"hh_{name}") - 2 * mean * F.col(f"kh_{name}") + mean * mean * F.col("kk"), F.lit(0.0))
+        rows.append(F.struct(F.lit(name).alias("name"), mean.alias("prob"), (F.sqrt(rest * F.col("parts") / (F.col("parts") - 1)) / F.col("n")).alias("se"), F.col("n").alias("n_trios")))
+    return total.select(F.explode(F.array(*rows)).alias("e")).select("e.*")
+
+
+def trio_profile(trios: DataFrame) -> DataFrame:
+    """Probability that each assignment of a trio has the largest score sum (ties share), with its sampling error: perm, prob, se, n_trios."""
+    names = [f"s{a}{b}{c}" for a, b, c in PERMS]
     best = F.greatest(*names)
     ties = reduce(lambda u, v: u + v, [(F.col(n) == best).cast("int") for n in names])
-    shares = sums.agg(F.count("*").alias("n_trios"), *[F.avg((F.col(n) == best).cast("int") / ties).alias(n) for n in names])
-    return shares.select("n_trios", F.explode(F.array(*[F.struct(F.lit(n[1:]).alias("perm"), F.col(n).alias("prob")) for n in names])).alias("e")).select("e.perm", "e.prob", "n_trios")
+    return _with_error(trios, {n[1:]: (F.col(n) == best).cast("int") / ties for n in names}).withColumnRenamed("name", "perm")
 
 
-def vus_with_error(sample: DataFrame, p: list[str] = P) -> DataFrame:
-    """Share of trios classified right by strict inequalities, with its projection standard error."""
-    logs = prepared(sample, p)
-    x, y, z = (logs.filter(F.col("y") == c).select(F.col("row_id").alias(f"id{c}"), *[F.col(f"l{k}").alias(f"{n}{k}") for k in range(3)]) for c, n in ((0, "x"), (1, "y"), (2, "z")))
-    trios = x.crossJoin(F.broadcast(y)).crossJoin(F.broadcast(z))
-    right = F.round(F.col("x0") + F.col("y1") + F.col("z2"), 9)
-    others = [F.round(F.col(f"x{a}") + F.col(f"y{b}") + F.col(f"z{c}"), 9) for a, b, c in [(0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)]]
-    hit = trios.select("id0", "id1", "id2", (right > F.greatest(*others)).cast("double").alias("hit"))
-    parts = [hit.groupBy(f"id{c}").agg(F.avg("hit").alias("m")).agg(F.avg("m").alias("vus"), (F.var_samp("m") / F.count("*")).alias("part")) for c in range(3)]
-    every = reduce(lambda a, b: a.unionByName(b), parts)
-    return every.agg(F.avg("vus").alias("vus"), F.sqrt(F.sum("part")).alias("se"))
+def vus_with_error(trios: DataFrame) -> DataFrame:
+    """Share of trios classified right by strict inequalities, with its sampling error: vus, se, n_trios."""
+    right, *others = [f"s{a}{b}{c}" for a, b, c in PERMS]
+    return _with_error(trios, {"vus": (F.col(right) > F.greatest(*others)).cast("double")}).select(F.col("prob").alias("vus"), "se", "n_trios")
 
 
 def order_check(sample: DataFrame, p: list[str] = P) -> DataFrame:

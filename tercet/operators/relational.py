@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Stock codes that are no products.
-NON_PRODUCT_CODES = ["POST", "DOT", "M", "D", "S", "B", "BANK CHARGES", "CRUK", "AMAZONFEE", "PADS", "C2", "ADJUST", "ADJUST2", "TEST001", "TEST002", "GIFT", "SP1002"]
+NON_PRODUCT_CODES = ["POST", "D", "M", "DOT", "CRUK", "BANK CHARGES", "S", "AMAZONFEE", "ADJUST", "ADJUST2", "TEST001", "TEST002", "PADS", "GIFT", "B", "C2"]
 
 
 def clean_transactions(txn: DataFrame) -> DataFrame:

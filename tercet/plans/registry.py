@@ -298,23 +298,14 @@ def _(spark, d):
     return ra.vus_ordinal(T.scored_sample(spark, d), "marker", 2, 1, 0)
 
 
-_TRIO = f"""WITH {V.scored(397)}, l AS (SELECT row_id, y, ln(greatest(p0/(p0+p1+p2), 1e-300)) AS l0, ln(greatest(p1/(p0+p1+p2), 1e-300)) AS l1, ln(greatest(p2/(p0+p1+p2), 1e-300)) AS l2 FROM sc),
-t AS (SELECT x.row_id AS i0, y.row_id AS i1, z.row_id AS i2, round(x.l0+y.l1+z.l2, 9) AS s012, round(x.l0+y.l2+z.l1, 9) AS s021, round(x.l1+y.l0+z.l2, 9) AS s102, round(x.l1+y.l2+z.l0, 9) AS s120, round(x.l2+y.l0+z.l1, 9) AS s201, round(x.l2+y.l1+z.l0, 9) AS s210
-  FROM l x, l y, l z WHERE x.y = 0 AND y.y = 1 AND z.y = 2)"""
-_PERMS = ["012", "021", "102", "120", "201", "210"]
-_BEST = "greatest(" + ", ".join(f"s{p}" for p in _PERMS) + ")"
-_TIES = "(" + " + ".join(f"CAST(s{p} = {_BEST} AS INTEGER)" for p in _PERMS) + ")"
-
-
-@query("trio_profile", f"{_TRIO} " + " UNION ALL ".join(f"SELECT '{p}' AS perm, {r(f'avg(CAST(s{p} = {_BEST} AS INTEGER)/{_TIES})', 'prob')}, {n('count(*)', 'n_trios')} FROM t" for p in _PERMS))
+@query("trio_profile", None)
 def _(spark, d):
-    return ra.trio_profile(T.scored_sample(spark, d, 397))
+    return ra.trio_profile(ra.sampled_trios(T.scored_sample(spark, d)))
 
 
-@query("vus_inference", f"""{_TRIO}, h AS (SELECT i0, i1, i2, CAST(s012 > greatest(s021, s102, s120, s201, s210) AS DOUBLE) AS hit FROM t),
-p AS (SELECT avg(m) AS v, var_samp(m)/count(*) AS q FROM (SELECT avg(hit) AS m FROM h GROUP BY i0) UNION ALL SELECT avg(m), var_samp(m)/count(*) FROM (SELECT avg(hit) AS m FROM h GROUP BY i1) UNION ALL SELECT avg(m), var_samp(m)/count(*) FROM (SELECT avg(hit) AS m FROM h GROUP BY i2)) SELECT {r('avg(v)', 'vus')}, {r('sqrt(sum(q))', 'se')} FROM p""")
+@query("vus_inference", None)
 def _(spark, d):
-    return ra.vus_with_error(T.scored_sample(spark, d, 397))
+    return ra.vus_with_error(ra.sampled_trios(T.scored_sample(spark, d)))
 
 
 @query("order_constraint", f"WITH {SC}, m AS (SELECT row_id, least(p1 - p0, p2 - p1) AS g FROM sc) SELECT {r('avg(CAST(g > 0 AS DOUBLE))', 'share_ordered')}, {r('min(g)', 'worst_margin')} FROM m")
@@ -476,8 +467,9 @@ def _(spark, d):
     return gr.dr_uplift(T.price_test(spark, d), "p_brand", F.col("bought") * F.col("m"))
 
 
-@query("targeting_curve", f"""WITH {PT}, b AS (SELECT gain, sum(CASE WHEN arm = {_ARM} THEN bought*m/{_Q} ELSE 0 END) AS t, sum(CASE WHEN arm = 1 THEN bought*m/{_Q} ELSE 0 END) AS f, count(*) AS k FROM (SELECT * REPLACE (round(gain, 6) AS gain) FROM pt) GROUP BY 1)
-SELECT {r('gain', 'gain')}, {r('sum(k) OVER d / sum(k) OVER ()', 'share')}, {r('(sum(t) OVER d + sum(f) OVER () - sum(f) OVER d)/sum(k) OVER ()', 'value')} FROM b WINDOW d AS (ORDER BY gain DESC ROWS UNBOUNDED PRECEDING) QUALIFY row_number() OVER (ORDER BY gain DESC) <= 21""")
+@query("targeting_curve", f"""WITH {PT}, b AS (SELECT gain, sum(CASE WHEN arm = {_ARM} THEN bought*m/{_Q} ELSE 0 END) AS t, sum(CASE WHEN arm = 1 THEN bought*m/{_Q} ELSE 0 END) AS f, count(*) AS k FROM (SELECT * REPLACE (round(gain, 6) AS gain) FROM pt) GROUP BY 1),
+c AS (SELECT t, f, k, sum(k) OVER d AS upto, sum(t) OVER d AS tt, sum(f) OVER d AS ff, sum(k) OVER () AS n, sum(f) OVER () AS fa FROM b WINDOW d AS (ORDER BY gain DESC ROWS UNBOUNDED PRECEDING))
+SELECT {r('i/20.0::DOUBLE', 'share')}, {r('(tt - t - ff + f + fa + (kk - upto + k)/k*(t - f))/n', 'value')} FROM c JOIN (SELECT i, round_even(i*(SELECT sum(k) FROM b)/20.0::DOUBLE, 0) AS kk FROM range(21) z(i)) ON (kk > upto - k AND kk <= upto) OR (kk = 0 AND upto = k)""")
 def _(spark, d):
     return gr.targeting_curve(T.price_test(spark, d).withColumn("gain", F.round("gain", 6)), "gain", gr.revenue_arm(), F.col("bought") * F.col("m"), 21)
 

@@ -10,9 +10,9 @@ pt AS (SELECT l_orderkey*10 + l_linenumber AS row_id, l_suppkey AS cluster, p_br
   l_quantity AS score, l_discount*10 AS gain, w0/(w0+w1+w2) AS p0, w1/(w0+w1+w2) AS p1, w2/(w0+w1+w2) AS p2 FROM pt1)"""
 
 
-def scored(thin: int = 1) -> str:
+def scored() -> str:
     return f"""sc0 AS (SELECT l_orderkey*10 + l_linenumber AS row_id, CASE WHEN l_quantity <= 16 THEN 2 WHEN l_quantity <= 33 THEN 1 ELSE 0 END AS y,
-  round(ln(l_extendedprice/l_quantity/p_retailprice), 4) AS marker FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % {thin} = 0),
+  round(ln(l_extendedprice/l_quantity/p_retailprice), 4) AS marker FROM lineitem JOIN part ON l_partkey = p_partkey),
 sc1 AS (SELECT *, exp(-power(marker - 0.0, 2)) AS r0, exp(-power(marker - 0.5, 2)) AS r1, exp(-power(marker - 1.5, 2)) AS r2 FROM sc0),
 sc AS (SELECT row_id, y, marker, r0/(r0+r1+r2) AS p0, r1/(r0+r1+r2) AS p1, r2/(r0+r1+r2) AS p2 FROM sc1)"""
 

@@ -72,9 +72,9 @@ def price_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scored_sample(spark: SparkSession, sf_dir: str, thin: int = 1) -> DataFrame:
+def scored_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A three-class scored sample: row_id, y (0, 1, 2), marker, p0, p1, p2."""
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % thin == 0)
+    lines = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
     s = F.log(wtp() / F.col("p_retailprice"))
     base = lines.join(parts, "l_partkey").select(

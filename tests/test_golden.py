@@ -20,11 +20,40 @@ def nine(spark):
 
 
 def test_trio_profile(nine):
-    got = {r.perm: r.prob for r in ra.trio_profile(nine).collect()}
+    got = {r.perm: r.prob for r in ra.trio_profile(ra.every_trio(nine)).collect()}
     assert got["012"] == pytest.approx(20 / 27)
     assert sum(got.values()) == pytest.approx(1)
 
 
+def test_sampled_trios_agree_with_all(spark):
+    import random
+
+    dice = random.Random(3)
+    rows = [(i, i % 3, *(dice.random() + 0.6 * (i % 3 == c) for c in range(3))) for i in range(240)]
+    sample = spark.createDataFrame(rows, NINE_COLUMNS)
+    every, drawn = ra.every_trio(sample), ra.sampled_trios(sample, repeats=40)
+    exact = {r.perm: r.prob for r in ra.trio_profile(every).collect()}
+    for r in ra.trio_profile(drawn).collect():
+        assert r.n_trios > 5000 and 0 < r.se < 0.03 and abs(r.prob - exact[r.perm]) < 4 * r.se
+    vus, found = ra.vus_with_error(every).first(), ra.vus_with_error(drawn).first()
+    assert vus.vus == pytest.approx(exact["012"]) and abs(found.vus - vus.vus) < 4 * found.se
+
+
+def test_targeting_curve(spark):
+    import random
+
+    dice = random.Random(5)
+    rows = [(i, dice.randrange(3), dice.random(), dice.randrange(3), dice.randrange(2)) for i in range(83)]
+    df = spark.createDataFrame(rows, "row_id long, arm int, gain double, pol int, bought int")
+    got = {round(r.share, 6): r.value for r in gr.targeting_curve(df, "gain", F.col("pol"), F.col("bought") * 1.5).collect()}
+    order = sorted(rows, key=lambda r: -r[2])
+    for i in range(21):
+        take = round(i / 20 * 83)
+        plan = [r[3] if k < take else 1 for k, r in enumerate(order)]
+        assert got[round(i / 20, 6)] == pytest.approx(sum(3 * 1.5 * r[4] for r, arm in zip(order, plan, strict=True) if r[1] == arm) / 83)
+    assert len(got) == 21
+
+
 def test_argmax_confusion(nine):
     hits = {r.y: r.n for r in ra.confusion(nine).collect() if r.y == r.pred}
     assert hits == {0: 2, 1: 2, 2: 2}
