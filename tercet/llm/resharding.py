@@ -27,7 +27,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tercet.llm.common import looked_up, new_path, sorted_positions, table, written
+from tercet.llm.common import looked_up, new_path, partitions, sorted_positions, table, written
 
 N_SHARDS = 8
 OLD_SHARDS = 6
@@ -163,7 +163,9 @@ def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         new = docs.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     else:
         path = new_path(spark, "old-shards")
-        docs.write.partitionBy("old_shard", "class").option("compression", "zstd").parquet(path)
+        # by ranges, so that a task has few blocks and a large block many tasks
+        laid = docs.repartitionByRange(partitions(spark), "old_shard", "class", "id")
+        laid.write.partitionBy("old_shard", "class").option("compression", "zstd").parquet(path)
         new = reshard(path, new_path(spark, "new-shards"), spark)
     return new.select(
         "doc_id",
