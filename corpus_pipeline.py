@@ -1,4 +1,10 @@
-"""The corpus pipeline: raw documents to packed token sequences, each stage written and read again."""
+"""The corpus pipeline: raw documents to packed token sequences, each stage written and read again.
+
+Defined cases: null, empty and short texts fail the quality rules and go; repeated rows and near copies leave one
+document (of equal texts the smallest doc_id); rows without a doc_id are documents of their own and stay in every stage
+that judges them good; very long texts pass whole and are cut by the packing alone; columns other than those of
+documents go through the first four stages unchanged; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
