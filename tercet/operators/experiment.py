@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tercet.operators.relational import top_fraction
+
 ARMS = ("H", "C", "L")
 
 
@@ -91,6 +93,26 @@ def global_log_rr(df: DataFrame) -> DataFrame:
     return buyers.select(F.explode(F.array(*side)).alias("e")).select("e.*")
 
 
+def bounded_log_rr(found: DataFrame, most: float = 20.0) -> DataFrame:
+    """Log risk ratios held to the sign that a price rise (H) or cut (L) allows."""
+    up = F.least(F.greatest("log_rr", F.lit(-most)), F.lit(0.0))
+    down = F.least(F.greatest("log_rr", F.lit(0.0)), F.lit(most))
+    return found.select("pair", F.when(F.col("pair") == "H", up).otherwise(down).alias("log_rr"))
+
+
+def selective_policy(df: DataFrame, gain: str, key: str, candidate: Column, fraction: float, default: str = "C") -> DataFrame:
+    """``df`` with ``policy``: the candidate for the ``fraction`` of rows of largest gain, the default arm elsewhere."""
+    chosen = top_fraction(df.select(key, gain), gain, key, fraction).select(key, F.lit(True).alias("__in"))
+    return df.join(chosen, key, "left").withColumn("policy", F.when(F.col("__in"), candidate).otherwise(F.lit(default))).drop("__in")
+
+
+def top_overlap(df: DataFrame, x: str, y: str, key: str, fraction: float) -> DataFrame:
+    """Rows in the top fraction of both scores, and their Jaccard share."""
+    a, b = (top_fraction(df.select(key, c), c, key, fraction).select(key, F.lit(1).alias(n)) for c, n in ((x, "a"), (y, "b")))
+    s = a.join(b, key, "full").agg(F.count("*").alias("any"), F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("both"))
+    return s.select("both", (F.col("both") / F.col("any")).alias("jaccard"))
+
+
 def equal_contrast_nll(df: DataFrame, h: Column, low: Column) -> DataFrame:
     return pairwise_nll(df, "H", h).unionByName(pairwise_nll(df, "L", low)).agg(F.avg("nll").alias("equal_contrast_nll"), F.sum("n_buyers").alias("n_rows"))
 

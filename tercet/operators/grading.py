@@ -7,13 +7,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tercet.operators.ordering import quantiles
+
 MULTIPLIERS = (0.9, 1.0, 1.1)
 FLOOR = 1e-12
 
 
 def binned(df: DataFrame, score: str, n_bins: int) -> DataFrame:
     """Add ``bin``: the number of interior quantile edges at or below the score."""
-    edges = df.agg(F.percentile(score, F.array(*[F.lit(k / n_bins) for k in range(1, n_bins)])).alias("__e"))
+    edges = quantiles(df, score, [k / n_bins for k in range(1, n_bins)]).withColumnRenamed("q", "__e")
     steps = F.aggregate("__e", F.lit(0), lambda n, e: n + (F.col(score) >= e).cast("int"))
     return df.crossJoin(F.broadcast(edges)).withColumn("bin", steps).drop("__e")
 
@@ -82,13 +84,18 @@ def aipw_value(df: DataFrame, policy: Column, reward: Column, strata: str, q: fl
     return joined.select(c.alias("c")).agg(F.avg("c").alias("value"), (F.stddev_samp("c") / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("n"))
 
 
-def dr_uplift(df: DataFrame, strata: str, reward: Column, pair: tuple[int, int] = (0, 2), q: float = 1 / 3) -> DataFrame:
-    """Doubly robust pseudo-outcome of arm pair[0] over pair[1], averaged by stratum."""
+def pseudo_outcomes(df: DataFrame, strata: str, reward: Column, pair: tuple[int, int] = (0, 2), q: float = 1 / 3) -> DataFrame:
+    """``df`` with ``psi``: the doubly robust pseudo-outcome of arm pair[0] over pair[1], from arm means by stratum."""
     base = df.withColumn("__r", reward)
     fit = base.groupBy(strata).agg(*[F.avg(F.when(F.col("arm") == a, F.col("__r"))).alias(f"mu{i}") for i, a in enumerate(pair)])
-    j = base.join(F.broadcast(fit), strata)
+    j = base.join(fit, strata)
     psi = F.col("mu0") - F.col("mu1") + F.when(F.col("arm") == pair[0], (F.col("__r") - F.col("mu0")) / q).otherwise(0.0) - F.when(F.col("arm") == pair[1], (F.col("__r") - F.col("mu1")) / q).otherwise(0.0)
-    return j.groupBy(strata).agg(F.count("*").alias("n"), F.avg(psi).alias("uplift"))
+    return j.withColumn("psi", psi).drop("__r", "mu0", "mu1")
+
+
+def dr_uplift(df: DataFrame, strata: str, reward: Column, pair: tuple[int, int] = (0, 2), q: float = 1 / 3) -> DataFrame:
+    """Mean pseudo-outcome of arm pair[0] over pair[1] by stratum."""
+    return pseudo_outcomes(df, strata, reward, pair, q).groupBy(strata).agg(F.count("*").alias("n"), F.avg("psi").alias("uplift"))
 
 
 def targeting_curve(df: DataFrame, gain: str, policy: Column, reward: Column, points: int = 21, q: float = 1 / 3) -> DataFrame:
@@ -122,9 +129,8 @@ def recovery_metrics(df: DataFrame, truth: Column, estimate: Column) -> DataFram
 
 def summary(df: DataFrame, eps: Column) -> DataFrame:
     e = df.select(eps.alias("e"))
-    q = F.percentile("e", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    s = e.agg(F.avg("e").alias("mean"), F.stddev_samp("e").alias("sd"), q.alias("q"), F.avg((F.col("e") < 0).cast("double")).alias("share_negative"), F.avg((F.col("e") < 1).cast("double")).alias("share_inelastic"))
-    return s.select("mean", "sd", F.col("q")[0].alias("p5"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p95"), "share_negative", "share_inelastic")
+    s = e.agg(F.avg("e").alias("mean"), F.stddev_samp("e").alias("sd"), F.avg((F.col("e") < 0).cast("double")).alias("share_negative"), F.avg((F.col("e") < 1).cast("double")).alias("share_inelastic"))
+    return s.crossJoin(F.broadcast(quantiles(e, "e", [0.05, 0.5, 0.95]))).select("mean", "sd", F.col("q")[0].alias("p5"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p95"), "share_negative", "share_inelastic")
 
 
 def blp_orthogonal(residuals: DataFrame) -> DataFrame:
@@ -175,4 +181,5 @@ def regret(df: DataFrame, chosen: Column, profits: list[Column]) -> DataFrame:
     """How much profit a choice leaves behind, against the best arm of each row."""
     got = F.when(chosen == 0, profits[0]).when(chosen == 1, profits[1]).otherwise(profits[2])
     r = df.select((F.greatest(*profits) - got).alias("r"), F.greatest(*profits).alias("b"), got.alias("g"))
-    return r.agg(F.avg("r").alias("mean_regret"), F.median("r").alias("median_regret"), F.percentile("r", F.lit(0.9)).alias("p90_regret"), (F.sum("g") / F.sum("b")).alias("share_of_best"))
+    s = r.agg(F.avg("r").alias("mean_regret"), (F.sum("g") / F.sum("b")).alias("share_of_best"))
+    return s.crossJoin(F.broadcast(quantiles(r, "r", [0.5, 0.9]))).select("mean_regret", F.col("q")[0].alias("median_regret"), F.col("q")[1].alias("p90_regret"), "share_of_best")

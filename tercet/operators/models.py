@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tercet.operators.ordering import quantiles
+
 
 def pooled_loglog(frame: DataFrame, y: str = "log_qty", t: str = "log_price") -> DataFrame:
     """One slope for all rows: minus it is the elasticity."""
@@ -43,7 +45,7 @@ def twoway_elasticity(frame: DataFrame, rounds: int = 2) -> DataFrame:
 
 def price_levels(frame: DataFrame, column: str, k: int) -> DataFrame:
     """K levels cut at quantiles (an edge belongs above), with their mean price and multiplier."""
-    edges = frame.agg(F.percentile(column, F.array(*[F.lit(i / k) for i in range(1, k)])).alias("__e"), F.avg(column).alias("__m"))
+    edges = quantiles(frame, column, [i / k for i in range(1, k)]).withColumnRenamed("q", "__e").crossJoin(frame.agg(F.avg(column).alias("__m")))
     level = F.aggregate("__e", F.lit(0), lambda n, e: n + (F.col(column) >= e).cast("int"))
     return frame.crossJoin(F.broadcast(edges)).groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.avg(column).alias("mean_price"), F.exp(F.avg(column) - F.first("__m")).alias("multiplier"))
 
@@ -51,7 +53,7 @@ def price_levels(frame: DataFrame, column: str, k: int) -> DataFrame:
 def unit_weights(frame: DataFrame, units: Column, cap: float = 0.99) -> DataFrame:
     """Units over their product's mean, winsorised at a quantile, normalised to mean one."""
     raw = frame.withColumn("w", units / F.avg(units).over(Window.partitionBy("stock_code")))
-    top = raw.agg(F.percentile("w", F.lit(cap)).alias("__c"))
+    top = quantiles(raw, "w", [cap]).select(F.col("q")[0].alias("__c"))
     cut = raw.crossJoin(F.broadcast(top)).withColumn("w", F.least("w", "__c"))
     mean = cut.agg(F.avg("w").alias("__m"))
     return cut.crossJoin(F.broadcast(mean)).groupBy("stock_code").agg(F.sum(F.col("w") / F.col("__m")).alias("weight"), F.count("*").alias("n"))

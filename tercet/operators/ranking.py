@@ -1,12 +1,14 @@
-"""Rank metrics of scored samples. Windows run over distinct scores, never over all rows."""
+"""Rank metrics of scored samples, from counts by distinct score and running sums inside buckets of scores. Rows without a score take no part."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tercet.operators.ordering import bucket_of, running
+
 P = ["p0", "p1", "p2"]
 FLOOR = 1e-300
 
@@ -26,8 +28,8 @@ def argmax3(a: Column, b: Column, c: Column) -> Column:
 def auc(labelled: DataFrame, score: str, positive: Column, by: list[str]) -> DataFrame:
     """Mann-Whitney AUC with half ties, by group: counts by distinct score, then a running sum."""
     counts = labelled.groupBy(*by, F.col(score).alias("__s")).agg(F.sum(positive.cast("long")).alias("pos"), F.sum((~positive).cast("long")).alias("neg"))
-    below = F.sum("neg").over(Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)) if by else F.sum("neg").over(Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1))
-    wins = counts.withColumn("wins", F.col("pos") * (F.coalesce(below, F.lit(0)) + 0.5 * F.col("neg")))
+    held = running(counts, "__s", ["neg"], bucket_of(labelled, score, "__s"), tuple(by))
+    wins = held.withColumn("wins", F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg")))
     agg = [F.sum("wins").alias("w"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")]
     out = wins.groupBy(*by).agg(*agg) if by else wins.agg(*agg)
     return out.select(*by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("w") / F.col("n_pos") / F.col("n_neg")).alias("auc"))
@@ -54,9 +56,15 @@ def hand_till(sample: DataFrame, p: list[str] = P) -> DataFrame:
 def roc_points(sample: DataFrame, score: str, positive: Column) -> DataFrame:
     """Points (fpr, tpr) at every distinct threshold, highest first."""
     counts = sample.groupBy(F.col(score).alias("threshold")).agg(F.sum(positive.cast("long")).alias("pos"), F.sum((~positive).cast("long")).alias("neg"))
-    down = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = running(counts, "threshold", ["pos", "neg"], bucket_of(sample, score, "threshold"), descending=True)
     every = counts.agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
-    return counts.select("threshold", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp")).crossJoin(F.broadcast(every)).select("threshold", (F.col("fp") / F.col("nn")).alias("fpr"), (F.col("tp") / F.col("np")).alias("tpr"))
+    return placed.select("threshold", (F.col("pos_before") + F.col("pos")).alias("tp"), (F.col("neg_before") + F.col("neg")).alias("fp")).crossJoin(F.broadcast(every)).select("threshold", (F.col("fp") / F.col("nn")).alias("fpr"), (F.col("tp") / F.col("np")).alias("tpr"))
+
+
+def roc_curve(sample: DataFrame, score: str, positive: Column) -> DataFrame:
+    """The curve's points with its origin: fpr, tpr."""
+    points = roc_points(sample, score, positive).select("fpr", "tpr")
+    return points.unionByName(sample.sparkSession.range(1).select(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
 
 
 def confusion(sample: DataFrame, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), p: list[str] = P) -> DataFrame:
@@ -74,12 +82,17 @@ def confusion_report(cm: DataFrame) -> DataFrame:
     return both.select("class", "support", sens.alias("sensitivity"), prec.alias("precision"), F.when(sens + prec > 0, 2 * sens * prec / (sens + prec)).otherwise(0.0).alias("f1"))
 
 
+def confusion_summary(report: DataFrame) -> DataFrame:
+    """Accuracy, balanced accuracy and macro F1 of a report by class."""
+    return report.agg((F.sum(F.col("sensitivity") * F.col("support")) / F.sum("support")).alias("accuracy"), F.avg("sensitivity").alias("balanced_accuracy"), F.avg("f1").alias("macro_f1"))
+
+
 def vus_ordinal(sample: DataFrame, marker: str, first: int, middle: int, last: int) -> DataFrame:
     """P(marker rises over the three classes), half credit for ties, from counts by distinct marker."""
     counts = sample.groupBy(F.col(marker).alias("s")).agg(*[F.sum((F.col("y") == c).cast("long")).alias(n) for c, n in ((first, "a"), (middle, "b"), (last, "c"))])
-    up = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     every = counts.agg(*[F.sum(n).alias(f"n{n}") for n in "abc"])
-    held = counts.withColumn("below", F.coalesce(F.sum("a").over(up), F.lit(0))).withColumn("upto", F.coalesce(F.sum("c").over(up), F.lit(0)) + F.col("c")).crossJoin(F.broadcast(every))
+    placed = running(counts, "s", ["a", "c"], bucket_of(sample, marker, "s"))
+    held = placed.withColumns({"below": F.col("a_before"), "upto": F.col("c_before") + F.col("c")}).crossJoin(F.broadcast(every))
     left = F.col("below") + 0.5 * F.col("a")
     right = (F.col("nc") - F.col("upto")) + 0.5 * F.col("c")
     return held.agg((F.sum(F.col("b") * left * right) / F.first("na") / F.first("nb") / F.first("nc")).alias("vus"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tercet.operators.ordering import bucket_of, placed_in_order, running
+
 #: Stock codes that are no products.
 NON_PRODUCT_CODES = ["POST", "D", "M", "DOT", "CRUK", "BANK CHARGES", "S", "AMAZONFEE", "ADJUST", "ADJUST2", "TEST001", "TEST002", "PADS", "GIFT", "B", "C2"]
 
@@ -62,23 +64,27 @@ def group_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def forward_time_holdout(df: DataFrame, group: str, ts: str, share: float = 0.2) -> DataFrame:
     """Whole groups by their last time: the latest ``share`` of groups is held out."""
     last = df.groupBy(group).agg(F.max(ts).alias("last_ts"), F.count("*").alias("n_rows"))
-    counted = last.withColumn("place", F.percent_rank().over(Window.orderBy("last_ts", group)))
+    n = last.agg(F.greatest(F.count("*") - 1, F.lit(1)).alias("__n"))
+    counted = placed_in_order(last, "last_ts", group).crossJoin(F.broadcast(n)).withColumn("place", F.col("place") / F.col("__n")).drop("__n")
     return counted.withColumn("holdout", (F.col("place") >= 1 - share).cast("int"))
 
 
 def top_fraction(df: DataFrame, score: str, key: str, fraction: float) -> DataFrame:
     """The floor(n f) rows of the highest score; ties to the smaller key.
 
-    The cut is found from counts by score (few rows), and only ties at the cut are ranked.
+    One row holds the cut: the score at which the wanted number is reached, and how many of its rows are still wanted. Ties at the
+    cut are placed by their (numeric) keys, in buckets.
     """
-    by_score = df.groupBy(score).count()
-    upto = by_score.withColumn("upto", F.sum("count").over(Window.orderBy(F.col(score).desc())))
-    wanted = df.agg(F.floor(F.count("*") * F.lit(fraction)).alias("wanted"))
-    cut = upto.crossJoin(F.broadcast(wanted)).filter(F.col("upto") - F.col("count") < F.col("wanted"))
-    held = df.join(F.broadcast(cut.select(score, "upto", "count", "wanted")), score)
-    partial = F.col("upto") > F.col("wanted")
-    rank = F.row_number().over(Window.partitionBy(score).orderBy(key))
-    return held.withColumn("__r", F.when(partial, rank)).filter(~partial | (F.col("__r") <= F.col("wanted") - F.col("upto") + F.col("count"))).select(*df.columns)
+    counts = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("__n"))
+    wanted = df.agg(F.floor(F.count("*") * F.lit(fraction)).alias("__wanted"))
+    placed = running(counts, score, ["__n"], bucket_of(df, score), descending=True).crossJoin(F.broadcast(wanted))
+    reached = (F.col("__n_before") < F.col("__wanted")) & (F.col("__n_before") + F.col("__n") >= F.col("__wanted"))
+    cut = placed.filter(reached).select(F.col(score).alias("__cut"), (F.col("__wanted") - F.col("__n_before")).alias("__left"))
+    held = df.crossJoin(F.broadcast(cut))
+    above, tied = held.filter(F.col(score) > F.col("__cut")), held.filter(F.col(score) == F.col("__cut"))
+    keys = tied.groupBy(key).agg(F.count("*").alias("__k"), F.first("__left").alias("__left"))
+    kept = running(keys, key, ["__k"], bucket_of(df, key)).filter(F.col("__k_before") < F.col("__left")).select(key)
+    return above.select(*df.columns).unionByName(tied.join(kept, key, "left_semi").select(*df.columns))
 
 
 def seeded_subset(df: DataFrame, group: str, n: int, seed: str) -> DataFrame:

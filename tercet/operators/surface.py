@@ -34,6 +34,13 @@ def surface(sample: DataFrame, rules: DataFrame) -> DataFrame:
     return rules.join(by_rule, "rule_id")
 
 
+def iso_slice(surfaced: DataFrame, x: str, y: str, held: str, floor: float) -> DataFrame:
+    """Best ``y`` as ``x`` falls, among rules whose ``held`` sensitivity reaches the floor: strict records only (bounded by the rules)."""
+    best = surfaced.filter(F.col(held) >= floor).groupBy(x).agg(F.max(y).alias(y))
+    before = F.max(y).over(Window.orderBy(F.col(x).desc()).rowsBetween(Window.unboundedPreceding, -1))
+    return best.withColumn("__b", F.coalesce(before, F.lit(-1.0))).filter(F.col(y) > F.col("__b")).drop("__b")
+
+
 def points(surfaced: DataFrame) -> DataFrame:
     """Distinct (s0, s1) with their best s2: all that volumes and fronts depend on."""
     return surfaced.groupBy(F.round("s0", 9).alias("s0"), F.round("s1", 9).alias("s1")).agg(F.max(F.round("s2", 9)).alias("s2"))

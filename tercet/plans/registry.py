@@ -683,3 +683,6 @@ def _(spark, d):
 @query("effective_size", f"WITH {LOGS} SELECT {r('sum(qty)*sum(qty)/sum(qty*qty)', 'ess')}, {n('count(*)', 'n')} FROM logs")
 def _(spark, d):
     return mo.effective_size(logs(spark, d), F.col("qty").cast("double"))
+
+
+from tercet.plans import decisions  # noqa: E402, F401  (registers its queries above)

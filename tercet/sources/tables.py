@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,16 +19,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_by_suffix(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A prediction or experiment file by its suffix: parquet, or csv with a header."""
+def read_by_suffix(spark: SparkSession, path: str, schema: str | None = None, kind: str | None = None) -> DataFrame:
+    """A prediction or experiment table by its suffix, or as the ``kind`` given: parquet, or csv with a header."""
     reader = spark.read if schema is None else spark.read.schema(schema)
-    if path.endswith((".csv", ".csv.gz")):
+    if kind == "csv" or path.endswith((".csv", ".csv.gz")):
         return reader.option("header", True).csv(path)
-    if path.endswith(".parquet"):
+    if kind == "parquet" or path.endswith(".parquet"):
         return reader.parquet(path)
     raise ValueError(f"unknown file type: {path}")
 
 
+def normalised_headers(df: DataFrame) -> DataFrame:
+    """All columns as strings, their names without blanks."""
+    return df.select(*[F.col(f"`{c}`").cast("string").alias(c.replace(" ", "")) for c in df.columns])
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A report table as csv files with a header."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_history(df: DataFrame, path: str) -> None:
+    """A trial history as parquet."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def cached_table(spark: SparkSession, path: str, params: dict[str, object], build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``build`` gives, kept as parquet under ``path`` by its parameters and read again when it is there."""
+    place = "/".join([path.rstrip("/"), *(f"{k}={params[k]}" for k in sorted(params))])
+    try:
+        return spark.read.parquet(place)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    build().write.mode("overwrite").parquet(place)
+    return spark.read.parquet(place)
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retail lines: invoice, stock_code, description, quantity, ts, price, customer."""
     lines = table(spark, sf_dir, "lineitem")
