@@ -101,13 +101,13 @@ def bounded_log_rr(found: DataFrame, most: float = 20.0) -> DataFrame:
 
 
 def selective_policy(df: DataFrame, gain: str, key: str, candidate: Column, fraction: float, default: str = "C") -> DataFrame:
-    """``df`` with ``policy``: the candidate for the ``fraction`` of rows of largest gain, the default arm elsewhere."""
+    """``df`` with ``policy``: the candidate for the ``fraction`` of rows of largest gain, the default arm elsewhere; the (numeric) key tells rows apart."""
     chosen = top_fraction(df.select(key, gain), gain, key, fraction).select(key, F.lit(True).alias("__in"))
     return df.join(chosen, key, "left").withColumn("policy", F.when(F.col("__in"), candidate).otherwise(F.lit(default))).drop("__in")
 
 
 def top_overlap(df: DataFrame, x: str, y: str, key: str, fraction: float) -> DataFrame:
-    """Rows in the top fraction of both scores, and their Jaccard share."""
+    """Rows in the top fraction of both scores, and their Jaccard share; the (numeric) key tells rows apart."""
     a, b = (top_fraction(df.select(key, c), c, key, fraction).select(key, F.lit(1).alias(n)) for c, n in ((x, "a"), (y, "b")))
     s = a.join(b, key, "full").agg(F.count("*").alias("any"), F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("both"))
     return s.select("both", (F.col("both") / F.col("any")).alias("jaccard"))

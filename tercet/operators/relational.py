@@ -82,9 +82,10 @@ def top_fraction(df: DataFrame, score: str, key: str, fraction: float) -> DataFr
     cut = placed.filter(reached).select(F.col(score).alias("__cut"), (F.col("__wanted") - F.col("__n_before")).alias("__left"))
     held = df.crossJoin(F.broadcast(cut))
     above, tied = held.filter(F.col(score) > F.col("__cut")), held.filter(F.col(score) == F.col("__cut"))
-    keys = tied.groupBy(key).agg(F.count("*").alias("__k"), F.first("__left").alias("__left"))
-    kept = running(keys, key, ["__k"], bucket_of(df, key)).filter(F.col("__k_before") < F.col("__left")).select(key)
-    return above.select(*df.columns).unionByName(tied.join(kept, key, "left_semi").select(*df.columns))
+    keys = running(tied.groupBy(key).agg(F.count("*").alias("__k")), key, ["__k"], bucket_of(df, key)).select(key, "__k_before")
+    same = F.row_number().over(Window.partitionBy(key).orderBy(score))  # rows that share a key are alike here
+    kept = tied.join(keys, key).withColumn("__place", F.col("__k_before") + same).filter(F.col("__place") <= F.col("__left"))
+    return above.select(*df.columns).unionByName(kept.select(*df.columns))
 
 
 def seeded_subset(df: DataFrame, group: str, n: int, seed: str) -> DataFrame:

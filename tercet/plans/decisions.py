@@ -357,9 +357,9 @@ def _(spark, d):
     return gr.pseudo_outcomes(pt(spark, d), "p_brand", F.col("bought") * F.col("m")).agg(F.count("*").alias("n"), F.corr("score", "psi").alias("pearson"))
 
 
-@query("prediction_stability", f"WITH {PT}, a AS (SELECT row_id, row_number() OVER (ORDER BY score DESC, row_id) <= floor(count(*) OVER () * 0.1::DOUBLE) AS x, row_number() OVER (ORDER BY gain DESC, row_id) <= floor(count(*) OVER () * 0.1::DOUBLE) AS y FROM pt) SELECT {n('count(*) FILTER (WHERE x AND y)', 'both')}, {r('count(*) FILTER (WHERE x AND y)/count(*) FILTER (WHERE x OR y)', 'jaccard')} FROM a")
+@query("prediction_stability", f"WITH {EX}, a AS (SELECT row_number() OVER (ORDER BY base_premium DESC, quote_id) <= floor(count(*) OVER () * 0.1::DOUBLE) AS x, row_number() OVER (ORDER BY customer_id DESC, quote_id) <= floor(count(*) OVER () * 0.1::DOUBLE) AS y FROM ex) SELECT {n('count(*) FILTER (WHERE x AND y)', 'both')}, {r('count(*) FILTER (WHERE x AND y)/count(*) FILTER (WHERE x OR y)', 'jaccard')} FROM a")
 def _(spark, d):
-    return ex.top_overlap(pt(spark, d).select("row_id", "score", "gain"), "score", "gain", "row_id", 0.1)
+    return ex.top_overlap(T.experiment(spark, d).select("quote_id", "base_premium", "customer_id"), "base_premium", "customer_id", "quote_id", 0.1)
 
 
 _PRED = "CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END"

@@ -86,6 +86,8 @@ def test_orderings_of_an_empty_and_a_constant_table(spark):
     flat = spark.createDataFrame([(1.0, k) for k in range(10)], "v double, k long")
     assert od.quantiles(flat, "v", [0.25]).first().q == [1.0]
     assert sorted(r.k for r in re_.top_fraction(flat, "v", "k", 0.35).collect()) == [0, 1, 2]
+    twice = flat.withColumn("k", F.floor(F.col("k") / 4))
+    assert sorted(r.k for r in re_.top_fraction(twice, "v", "k", 0.6).collect()) == [0, 0, 0, 0, 1, 1]
 
 
 def test_top_fraction_and_places(numbers):
