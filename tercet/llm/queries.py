@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tercet.llm import chat, mixing
+from tercet.llm import chat, lexical, mixing
 from tercet.llm.chat import op6_chat
+from tercet.llm.lexical import op11_lexical
 from tercet.llm.mixing import op9_mixing
 from tercet.llm.neighbours import op8_neighbours
 from tercet.llm.ngram_join import op3_ngram_join
@@ -21,6 +22,7 @@ from tercet.llm.token_records import op2_token_records
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op10_scoring": op10_scoring,
+    "op11_lexical": op11_lexical,
     "op2_token_records": op2_token_records,
     "op3_ngram_join": op3_ngram_join,
     "op4_quality": op4_quality,
@@ -32,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op11_lexical": lexical.ORACLE,
     "op6_chat": chat.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }

@@ -85,11 +85,23 @@ def segment_hash(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(terms, starts - first)
 
 
+_KEPT = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [_MASK], np.uint64)
+
+
+def faces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Length, first eight and last eight bytes of the pieces from ``starts`` to ``ends``."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    at = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    length = ends - starts
+    kept = _KEPT[np.minimum(length, 8)]
+    return length, at[starts] & kept, at[np.maximum(ends - 8, starts)] & kept
+
+
 class Words:
-    """The words of a block: hash, document and byte place of each."""
+    """The words of a block: hash, document and byte place of each. ``between`` marks the bytes that part words."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = False):
-        space = _WS[data]
+    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = False, between: np.ndarray = _WS):
+        space = between[data]
         start = ~space
         start[1:] &= space[:-1]
         if len(data):
@@ -100,12 +112,25 @@ class Words:
         self.doc = np.searchsorted(off, self.starts, "right") - 1
         self.per_doc = np.bincount(self.doc, minlength=self.n_docs)
         self.first = np.concatenate(([0], np.cumsum(self.per_doc)))
-        values = (_LOWER[data] if lower else data).astype(np.uint64)
+        self.data, self.off = _LOWER[data] if lower else data, off
+        values = self.data.astype(np.uint64)
         values += np.uint64(1)
         values[space] = 0
         self.hash = mix(segment_hash(values, self.starts))
         self.space = space
 
+    def ends(self) -> np.ndarray:
+        """The byte after each word."""
+        stop = ~self.space
+        stop[:-1] &= self.space[1:]
+        edges = self.off[1:][self.off[1:] > 0] - 1
+        stop[edges] = ~self.space[edges]
+        return np.flatnonzero(stop) + 1
+
+    def faces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Length, first eight and last eight bytes (as numbers) of each word: all of it, up to sixteen bytes."""
+        return faces(self.data, self.starts, self.ends())
+
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash and first-word index of every window of k words inside one document."""
         n = len(self.hash) - k + 1
