@@ -13,6 +13,7 @@ from tercet.llm.mixing import op9_mixing
 from tercet.llm.neighbours import op8_neighbours
 from tercet.llm.ngram_join import op3_ngram_join
 from tercet.llm.packing import op1_packing
+from tercet.llm.periodic import op12_periodic
 from tercet.llm.quality import op4_quality
 from tercet.llm.resharding import op7_resharding
 from tercet.llm.scoring import op10_scoring
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op10_scoring": op10_scoring,
     "op11_lexical": op11_lexical,
+    "op12_periodic": op12_periodic,
     "op2_token_records": op2_token_records,
     "op3_ngram_join": op3_ngram_join,
     "op4_quality": op4_quality,
