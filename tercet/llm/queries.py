@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tercet.llm import chat, lexical, mixing
 from tercet.llm.chat import op6_chat
+from tercet.llm.languages import op13_languages
 from tercet.llm.lexical import op11_lexical
 from tercet.llm.mixing import op9_mixing
 from tercet.llm.neighbours import op8_neighbours
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_scoring": op10_scoring,
     "op11_lexical": op11_lexical,
     "op12_periodic": op12_periodic,
+    "op13_languages": op13_languages,
     "op2_token_records": op2_token_records,
     "op3_ngram_join": op3_ngram_join,
     "op4_quality": op4_quality,
