@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tercet.operators.features import CONTROLS, PRICE_FEATURES
+from tercet.operators.features import CONTROLS, DISCOUNT, PRICE_FEATURES
 from tercet.operators.ordering import quantiles
 from tercet.operators.resampling import fold_of
 
 Y, T = "log_qty", "log_price"
 
 
-def perturbed(df: DataFrame, delta: float, discount: float = -0.02) -> DataFrame:
+def perturbed(df: DataFrame, delta: float, discount: float = DISCOUNT) -> DataFrame:
     """Log price and all features made of it, moved together."""
     moved = df.withColumns({c: F.col(c) + delta for c in (T, "rel_price", "price_change")})
     return moved.withColumn("is_discounted", (F.col("rel_price") < discount).cast("double"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tercet.operators.ordering import placed_in_order
 from tercet.operators.relational import top_fraction
 
 ARMS = ("H", "C", "L")
@@ -101,13 +102,13 @@ def bounded_log_rr(found: DataFrame, most: float = 20.0) -> DataFrame:
 
 
 def selective_policy(df: DataFrame, gain: str, key: str, candidate: Column, fraction: float, default: str = "C") -> DataFrame:
-    """``df`` with ``policy``: the candidate for the ``fraction`` of rows of largest gain, the default arm elsewhere; the (numeric) key tells rows apart."""
+    """``df`` with ``policy``: the candidate for the ``fraction`` of rows of largest gain, the default arm elsewhere; the key tells rows apart."""
     chosen = top_fraction(df.select(key, gain), gain, key, fraction).select(key, F.lit(True).alias("__in"))
     return df.join(chosen, key, "left").withColumn("policy", F.when(F.col("__in"), candidate).otherwise(F.lit(default))).drop("__in")
 
 
 def top_overlap(df: DataFrame, x: str, y: str, key: str, fraction: float) -> DataFrame:
-    """Rows in the top fraction of both scores, and their Jaccard share; the (numeric) key tells rows apart."""
+    """Rows in the top fraction of both scores, and their Jaccard share; the key tells rows apart."""
     a, b = (top_fraction(df.select(key, c), c, key, fraction).select(key, F.lit(1).alias(n)) for c, n in ((x, "a"), (y, "b")))
     s = a.join(b, key, "full").agg(F.count("*").alias("any"), F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("both"))
     return s.select("both", (F.col("both") / F.col("any")).alias("jaccard"))
@@ -130,15 +131,11 @@ def information_gain(df: DataFrame, h: Column, low: Column) -> DataFrame:
 def grouped_calibration(df: DataFrame, arm: str, log_rr: Column, groups: int) -> DataFrame:
     """Observed log risk ratio by groups of predicted: groups cut the rank (ties by quote_id).
 
-    Ranks come from counts by score bucket plus a place inside the bucket, so no task ranks all rows.
+    Ranks come from places in buckets of scores, so no task ranks all rows.
     """
     buyers = df.filter((F.col("purchase") == 1) & F.col("arm").isin(arm, "C")).withColumn("__s", log_rr)
-    bucketed = buyers.withColumn("__b", F.floor(F.col("__s") * 4096))
-    sizes = bucketed.groupBy("__b").count()
-    before = sizes.select("__b", (F.sum("count").over(Window.orderBy("__b")) - F.col("count")).alias("__before"))
     n = buyers.agg(F.count("*").alias("__n"))
-    inside = F.row_number().over(Window.partitionBy("__b").orderBy("__s", "quote_id"))
-    ranked = bucketed.join(F.broadcast(before), "__b").withColumn("__rn", F.col("__before") + inside).crossJoin(F.broadcast(n))
+    ranked = placed_in_order(buyers, "__s", "quote_id").withColumn("__rn", F.col("place") + 1).crossJoin(F.broadcast(n))
     cut = F.greatest(F.ceil((F.col("__rn") - 1) * F.lit(float(groups)) / (F.col("__n") - 1)) - 1, F.lit(0)).cast("int")
     s = ranked.groupBy(cut.alias("cell")).agg(F.count("*").alias("n"), F.avg("__s").alias("predicted"), F.sum((F.col("arm") == arm).cast("double")).alias("t"), F.sum((F.col("arm") == "C").cast("double")).alias("c"), F.first(F.col(f"pi_{arm}") / F.col("pi_C")).alias("ratio"))
     return s.select("cell", "n", "predicted", F.when((F.col("t") > 0) & (F.col("c") > 0), F.ln(F.col("t") / F.col("c")) - F.ln("ratio")).alias("observed"))

@@ -7,8 +7,11 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The names of the controls and price features, in order.
 CONTROLS = ["week_idx", "woy_sin", "woy_cos", "is_q4", "weeks_since_launch", "prod_log_price_mean", "prod_log_price_sd", "prod_log_qty_mean", "prod_n_weeks", "lag_log_qty", "lag2_log_qty", "roll4_log_qty", "roll12_log_qty", "lag_log_price", "roll4_log_price", "lag_n_customers", "lag_n_lines", "market_log_qty", "market_log_price"]
 PRICE_FEATURES = ["rel_price", "price_change", "is_discounted"]
+#: Fixed value: a price this far below its trailing mean, in logs, is a discount.
+DISCOUNT = -0.02
 
 
 def add_features(panel: DataFrame, price: str = "price_modal", train_before=None, rel_window: int = 12) -> DataFrame:
@@ -43,17 +46,17 @@ def add_features(panel: DataFrame, price: str = "price_modal", train_before=None
         "woy_cos": F.cos(year),
         "is_q4": F.month("week").isin(10, 11, 12).cast("double"),
         "weeks_since_launch": F.floor(F.datediff("week", "__launch") / 7).cast("double"),
-        "is_discounted": (F.col("rel_price") < -0.05).cast("double"),
+        "is_discounted": (F.col("rel_price") < DISCOUNT).cast("double"),
     })
     market = base.groupBy("week").agg(F.sum("qty").alias("__q"), F.sum("log_price").alias("__lp"), F.count("*").alias("__n"))
-    with_market = dated.join(F.broadcast(market), "week").withColumns({
-        "market_log_qty": F.ln(1 + F.col("__q") - F.col("qty")),
+    with_market = dated.join(market, "week").withColumns({
+        "market_log_qty": F.ln(F.greatest(F.col("__q") - F.col("qty"), F.lit(1)).cast("double")),
         "market_log_price": (F.col("__lp") - F.col("log_price")) / F.greatest(F.col("__n") - 1, F.lit(1)),
     })
     seen = base if train_before is None else base.filter(F.col("week") < F.lit(train_before))
     summary = seen.groupBy("stock_code").agg(F.avg("log_price").alias("prod_log_price_mean"), F.stddev_samp("log_price").alias("prod_log_price_sd"), F.avg("log_qty").alias("prod_log_qty_mean"), F.count("*").cast("double").alias("prod_n_weeks"))
     middle = seen.agg(F.avg("log_price").alias("__mp"), F.avg("log_qty").alias("__mq"))
-    filled = with_market.join(F.broadcast(summary), "stock_code", "left").crossJoin(F.broadcast(middle)).withColumns({
+    filled = with_market.join(summary, "stock_code", "left").crossJoin(F.broadcast(middle)).withColumns({
         "prod_log_price_mean": F.coalesce("prod_log_price_mean", "__mp"),
         "prod_log_price_sd": F.coalesce("prod_log_price_sd", F.lit(0.0)),
         "prod_log_qty_mean": F.coalesce("prod_log_qty_mean", "__mq"),
@@ -84,7 +87,7 @@ def rolling_origin_folds(weeks: DataFrame, n_splits: int = 5, horizon: int = 8,
 
 def fold_sizes(panel: DataFrame, weeks: DataFrame, folds: DataFrame) -> DataFrame:
     """Rows and products on both sides of every fold; folds are few, so they are broadcast."""
-    placed = panel.join(F.broadcast(weeks), "week").crossJoin(F.broadcast(folds))
+    placed = panel.join(weeks, "week").crossJoin(F.broadcast(folds))
     side = F.when(F.col("week_no") < F.col("train_end"), "train").when((F.col("week_no") >= F.col("valid_start")) & (F.col("week_no") < F.col("valid_end")), "valid")
     return placed.withColumn("side", side).filter("side is not null").groupBy("fold", "side").agg(F.count("*").alias("n_rows"), F.countDistinct("stock_code").alias("n_products"), F.min("week_no").alias("first_week"), F.max("week_no").alias("last_week"))
 

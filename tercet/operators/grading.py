@@ -79,7 +79,7 @@ def aipw_value(df: DataFrame, policy: Column, reward: Column, strata: str, q: fl
     """Doubly robust value; the outcome model is the mean reward by stratum and arm."""
     base = df.withColumn("__r", reward).withColumn("__t", policy)
     fit = base.groupBy(strata, F.col("arm").alias("__t")).agg(F.avg("__r").alias("mu"))
-    joined = base.join(F.broadcast(fit), [strata, "__t"])
+    joined = base.join(fit, [strata, "__t"])
     c = F.col("mu") + F.when(F.col("arm") == F.col("__t"), (F.col("__r") - F.col("mu")) / q).otherwise(0.0)
     return joined.select(c.alias("c")).agg(F.avg("c").alias("value"), (F.stddev_samp("c") / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("n"))
 
@@ -116,9 +116,10 @@ def targeting_curve(df: DataFrame, gain: str, policy: Column, reward: Column, po
 
 
 def predictive_metrics(df: DataFrame, y: Column, p: Column) -> DataFrame:
+    """Errors of a prediction of logs: rmse, mae, bias, r2, and the mean relative error of its levels."""
     e = df.select(y.alias("y"), p.alias("p")).withColumn("e", F.col("p") - F.col("y"))
     mean = F.avg("y")
-    return e.agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg(F.abs("e")).alias("mae"), F.avg("e").alias("bias"), (1 - F.sum(F.col("e") * F.col("e")) / (F.sum(F.col("y") * F.col("y")) - F.count("*") * mean * mean)).alias("r2"))
+    return e.agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg(F.abs("e")).alias("mae"), F.avg("e").alias("bias"), (1 - F.sum(F.col("e") * F.col("e")) / (F.sum(F.col("y") * F.col("y")) - F.count("*") * mean * mean)).alias("r2"), F.avg(F.abs(F.exp("p") - F.exp("y")) / F.greatest(F.exp("y"), F.lit(1e-9))).alias("level_mape"))
 
 
 def recovery_metrics(df: DataFrame, truth: Column, estimate: Column) -> DataFrame:
@@ -147,9 +148,14 @@ def blp_orthogonal(residuals: DataFrame) -> DataFrame:
     return m.select("n", F.col("b0").alias("average_effect"), F.col("b1").alias("calibration"), F.sqrt(var).alias("calibration_se"))
 
 
-def lerner_price(cost: Column, eps: Column, cap: Column) -> Column:
-    """Profit-maximising price c eps / (eps - 1), the cap where demand is inelastic."""
-    return F.when(eps > 1, F.least(cost * eps / (eps - 1), cap)).otherwise(cap)
+def lerner_price(cost: Column, eps: Column, price0: Column | None = None, lo: float = 0.5, hi: float = 2.0) -> Column:
+    """Profit-maximising price c eps / (eps - 1) between lo and hi times ``price0`` (the cost, by default).
+
+    The upper bound holds where demand is inelastic or its elasticity unknown.
+    """
+    at = cost if price0 is None else price0
+    price = F.when((eps > 1 + 1e-9) & ~F.isnan(eps), cost * eps / (eps - 1)).otherwise(hi * at)
+    return F.least(F.greatest(price, lo * at), hi * at)
 
 
 def profit_weight(eps: Column) -> Column:

@@ -14,17 +14,24 @@ def pooled_loglog(frame: DataFrame, y: str = "log_qty", t: str = "log_price") ->
     return s.select("n", (-F.col("b")).alias("elasticity"), F.col("a").alias("intercept"), "r2")
 
 
-def shrunk_per_product(frame: DataFrame, min_obs: int = 8, min_sd: float = 1e-3) -> DataFrame:
-    """Per-product slopes within weeks, shrunk to their precision-weighted mean (method of moments)."""
+def shrunk_per_product(frame: DataFrame, min_obs: int = 12, min_sd: float = 0.02, tau2: float | None = None, demean_week: bool = True) -> DataFrame:
+    """Per-product slopes within weeks, shrunk to their precision-weighted mean.
+
+    The spread of the true slopes, ``tau2``, is by default the variance of the raw ones less their mean squared error, 1e-6 at
+    least. A product with fewer rows, or whose price moved less (population standard deviation), gets the mean itself (0 where no
+    product has a slope); its raw slope and error are null.
+    """
     week = Window.partitionBy("week")
-    d = frame.select("stock_code", (F.col("log_qty") - F.avg("log_qty").over(week)).alias("y"), (F.col("log_price") - F.avg("log_price").over(week)).alias("t"))
-    g = d.groupBy("stock_code").agg(F.count("*").alias("n"), F.stddev_samp("t").alias("sd"), F.covar_pop("t", "y").alias("ty"), F.var_pop("t").alias("tt"), F.var_pop("y").alias("yy"))
-    ok = g.filter((F.col("n") >= min_obs) & (F.col("sd") > min_sd)).withColumn("b", -F.col("ty") / F.col("tt"))
-    with_v = ok.withColumn("v", (F.col("yy") - F.col("ty") * F.col("ty") / F.col("tt")) * F.col("n") / (F.col("n") - 2) / (F.col("n") * F.col("tt")))
-    mean = with_v.agg((F.sum(F.col("b") / F.col("v")) / F.sum(1 / F.col("v"))).alias("mu"), F.var_samp("b").alias("vb"), F.avg("v").alias("mv"))
-    tau = F.greatest(F.col("vb") - F.col("mv"), F.lit(0.0))
+    y, t = [(F.col(c) - F.avg(c).over(week) if demean_week else F.col(c)) for c in ("log_qty", "log_price")]
+    d = frame.select("stock_code", y.alias("y"), t.alias("t"))
+    g = d.groupBy("stock_code").agg(F.count("*").alias("n"), F.covar_pop("t", "y").alias("ty"), F.var_pop("t").alias("tt"), F.var_pop("y").alias("yy"))
+    sound = (F.col("n") >= min_obs) & (F.sqrt("tt") >= min_sd) & (F.col("n") * F.col("tt") > 1e-10)
+    rest = (F.col("yy") - F.col("ty") * F.col("ty") / F.col("tt")) / F.greatest(F.col("n") - 2, F.lit(1)) / F.col("tt")
+    with_v = g.withColumns({"b": F.when(sound, -F.col("ty") / F.col("tt")), "v": F.when(sound, F.greatest(rest, F.lit(1e-12)))})
+    mean = with_v.agg(F.coalesce(F.sum(F.col("b") / F.col("v")) / F.sum(1 / F.col("v")), F.lit(0.0)).alias("mu"), F.var_samp("b").alias("vb"), F.avg("v").alias("mv"))
+    tau = F.greatest(F.col("vb") - F.col("mv"), F.lit(1e-6)) if tau2 is None else F.lit(float(tau2))
     k = tau / (tau + F.col("v"))
-    return with_v.crossJoin(F.broadcast(mean)).select("stock_code", "n", F.col("b").alias("raw"), F.sqrt("v").alias("se"), (k * F.col("b") + (1 - k) * F.col("mu")).alias("elasticity"))
+    return with_v.crossJoin(F.broadcast(mean)).select("stock_code", "n", F.col("b").alias("raw"), F.sqrt("v").alias("se"), F.coalesce(k * F.col("b") + (1 - k) * F.col("mu"), F.col("mu")).alias("elasticity"))
 
 
 def twoway_demeaned(frame: DataFrame, rounds: int = 2, columns: tuple[str, ...] = ("log_qty", "log_price")) -> DataFrame:

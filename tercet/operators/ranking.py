@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tercet.operators.ordering import bucket_of, running
+from tercet.operators.ordering import running
 
 P = ["p0", "p1", "p2"]
 FLOOR = 1e-300
@@ -28,25 +28,54 @@ def argmax3(a: Column, b: Column, c: Column) -> Column:
 def auc(labelled: DataFrame, score: str, positive: Column, by: list[str]) -> DataFrame:
     """Mann-Whitney AUC with half ties, by group: counts by distinct score, then a running sum."""
     counts = labelled.groupBy(*by, F.col(score).alias("__s")).agg(F.sum(positive.cast("long")).alias("pos"), F.sum((~positive).cast("long")).alias("neg"))
-    held = running(counts, "__s", ["neg"], bucket_of(labelled, score, "__s"), tuple(by))
+    held = running(counts.filter(F.col("__s").isNotNull()), "__s", ["neg"], tuple(by))
     wins = held.withColumn("wins", F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg")))
     agg = [F.sum("wins").alias("w"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")]
     out = wins.groupBy(*by).agg(*agg) if by else wins.agg(*agg)
     return out.select(*by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("w") / F.col("n_pos") / F.col("n_neg")).alias("auc"))
 
 
+def _class_counts(sample: DataFrame, p: list[str]) -> DataFrame:
+    """Rows of each class at every distinct score of every class column, and below it: column, s, n0, n0_before, ..."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).alias("s")) for i, c in enumerate(p)]))
+    names = [f"n{k}" for k in range(len(p))]
+    long = sample.select("y", each.alias("e")).select("y", "e.column", "e.s").filter("s is not null")
+    counts = long.groupBy("column", "s").agg(*[F.sum((F.col("y") == k).cast("long")).alias(n) for k, n in enumerate(names)])
+    return running(counts, "s", names, ("column",))
+
+
+def _wins(positive: Column, below: Column, tied: Column) -> Column:
+    return F.sum(positive * (below + 0.5 * tied))
+
+
+def _auc_rows(sums: DataFrame, cells: list[tuple[dict[str, int], str]]) -> DataFrame:
+    """One row a cell (its names and the prefix of its sums w, p, n) of a one-row table."""
+    rows = [F.struct(*[F.lit(v).alias(k) for k, v in names.items()], F.col(f"p{at}").alias("n_pos"), F.col(f"n{at}").alias("n_neg"), F.when((F.col(f"p{at}") > 0) & (F.col(f"n{at}") > 0), F.col(f"w{at}") / F.col(f"p{at}") / F.col(f"n{at}")).alias("auc")) for names, at in cells]
+    return sums.select(F.explode(F.array(*rows)).alias("e")).select("e.*").filter("n_pos is not null")
+
+
 def ovr_auc(sample: DataFrame, p: list[str] = P) -> DataFrame:
     """One-vs-rest AUC of every class column."""
-    long = sample.select("y", F.explode(F.array(*[F.struct(F.lit(i).alias("class"), F.col(c).alias("s")) for i, c in enumerate(p)])).alias("e")).select("y", "e.class", "e.s")
-    return auc(long, "s", F.col("y") == F.col("class"), ["class"])
+    held, classes, aggs, cells = _class_counts(sample, p), range(len(p)), [], []
+    for i in classes:
+        own = F.col("column") == i
+        rest = reduce(lambda a, b: a + b, [F.col(f"n{j}") for j in classes if j != i])
+        below = reduce(lambda a, b: a + b, [F.col(f"n{j}_before") for j in classes if j != i])
+        aggs += [_wins(F.when(own, F.col(f"n{i}")), below, rest).alias(f"w{i}"), F.sum(F.when(own, F.col(f"n{i}"))).alias(f"p{i}"), F.sum(F.when(own, rest)).alias(f"n{i}")]
+        cells.append(({"class": i}, str(i)))
+    return _auc_rows(held.agg(*aggs), cells)
 
 
 def ovo_auc(sample: DataFrame, p: list[str] = P) -> DataFrame:
     """A(i|j): class i's column separates i from j, for all ordered pairs."""
-    pairs = [(i, j) for i in range(len(p)) for j in range(len(p)) if i != j]
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(p[i]).alias("s")) for i, j in pairs]))
-    long = sample.select("y", each.alias("e")).select("y", "e.i", "e.j", "e.s").filter((F.col("y") == F.col("i")) | (F.col("y") == F.col("j")))
-    return auc(long, "s", F.col("y") == F.col("i"), ["i", "j"])
+    held, aggs, cells = _class_counts(sample, p), [], []
+    for i in range(len(p)):
+        for j in range(len(p)):
+            if i != j:
+                own, at = F.col("column") == i, f"{i}_{j}"
+                aggs += [_wins(F.when(own, F.col(f"n{i}")), F.col(f"n{j}_before"), F.col(f"n{j}")).alias(f"w{at}"), F.sum(F.when(own, F.col(f"n{i}"))).alias(f"p{at}"), F.sum(F.when(own, F.col(f"n{j}"))).alias(f"n{at}")]
+                cells.append(({"i": i, "j": j}, at))
+    return _auc_rows(held.agg(*aggs), cells)
 
 
 def hand_till(sample: DataFrame, p: list[str] = P) -> DataFrame:
@@ -56,7 +85,7 @@ def hand_till(sample: DataFrame, p: list[str] = P) -> DataFrame:
 def roc_points(sample: DataFrame, score: str, positive: Column) -> DataFrame:
     """Points (fpr, tpr) at every distinct threshold, highest first."""
     counts = sample.groupBy(F.col(score).alias("threshold")).agg(F.sum(positive.cast("long")).alias("pos"), F.sum((~positive).cast("long")).alias("neg"))
-    placed = running(counts, "threshold", ["pos", "neg"], bucket_of(sample, score, "threshold"), descending=True)
+    placed = running(counts, "threshold", ["pos", "neg"], descending=True)
     every = counts.agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
     return placed.select("threshold", (F.col("pos_before") + F.col("pos")).alias("tp"), (F.col("neg_before") + F.col("neg")).alias("fp")).crossJoin(F.broadcast(every)).select("threshold", (F.col("fp") / F.col("nn")).alias("fpr"), (F.col("tp") / F.col("np")).alias("tpr"))
 
@@ -87,11 +116,15 @@ def confusion_summary(report: DataFrame) -> DataFrame:
     return report.agg((F.sum(F.col("sensitivity") * F.col("support")) / F.sum("support")).alias("accuracy"), F.avg("sensitivity").alias("balanced_accuracy"), F.avg("f1").alias("macro_f1"))
 
 
-def vus_ordinal(sample: DataFrame, marker: str, first: int, middle: int, last: int) -> DataFrame:
-    """P(marker rises over the three classes), half credit for ties, from counts by distinct marker."""
+def vus_ordinal(sample: DataFrame, marker: str, first: int, middle: int, last: int, direction: str = "increasing") -> DataFrame:
+    """P(marker rises over the three classes, or falls if decreasing), half credit for ties, from counts by distinct marker."""
+    if direction not in ("increasing", "decreasing"):
+        raise ValueError("the direction is increasing or decreasing")
+    if direction == "decreasing":
+        first, last = last, first
     counts = sample.groupBy(F.col(marker).alias("s")).agg(*[F.sum((F.col("y") == c).cast("long")).alias(n) for c, n in ((first, "a"), (middle, "b"), (last, "c"))])
-    every = counts.agg(*[F.sum(n).alias(f"n{n}") for n in "abc"])
-    placed = running(counts, "s", ["a", "c"], bucket_of(sample, marker, "s"))
+    every = counts.filter("s is not null").agg(*[F.sum(n).alias(f"n{n}") for n in "abc"])
+    placed = running(counts.filter("s is not null"), "s", ["a", "c"])
     held = placed.withColumns({"below": F.col("a_before"), "upto": F.col("c_before") + F.col("c")}).crossJoin(F.broadcast(every))
     left = F.col("below") + 0.5 * F.col("a")
     right = (F.col("nc") - F.col("upto")) + 0.5 * F.col("c")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tercet.operators.ordering import bucket_of, placed_in_order, running
+from tercet.operators.ordering import placed_by_key, placed_in_order, running
 
 #: Stock codes that are no products.
 NON_PRODUCT_CODES = ["POST", "D", "M", "DOT", "CRUK", "BANK CHARGES", "S", "AMAZONFEE", "ADJUST", "ADJUST2", "TEST001", "TEST002", "PADS", "GIFT", "B", "C2"]
@@ -70,21 +70,20 @@ def forward_time_holdout(df: DataFrame, group: str, ts: str, share: float = 0.2)
 
 
 def top_fraction(df: DataFrame, score: str, key: str, fraction: float) -> DataFrame:
-    """The floor(n f) rows of the highest score; ties to the smaller key.
+    """The floor(n f) rows of the highest score; ties to the smaller key, which may be of any ordered type.
 
+    Rows without a score count for n but come last, and are never chosen: with fewer scored rows than wanted, all of those are.
     One row holds the cut: the score at which the wanted number is reached, and how many of its rows are still wanted. Ties at the
-    cut are placed by their (numeric) keys, in buckets.
+    cut are placed by their keys, in buckets.
     """
     counts = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("__n"))
-    wanted = df.agg(F.floor(F.count("*") * F.lit(fraction)).alias("__wanted"))
-    placed = running(counts, score, ["__n"], bucket_of(df, score), descending=True).crossJoin(F.broadcast(wanted))
+    wanted = df.agg(F.least(F.floor(F.count("*") * F.lit(fraction)), F.count(score)).alias("__wanted"))
+    placed = running(counts, score, ["__n"], descending=True).crossJoin(F.broadcast(wanted))
     reached = (F.col("__n_before") < F.col("__wanted")) & (F.col("__n_before") + F.col("__n") >= F.col("__wanted"))
     cut = placed.filter(reached).select(F.col(score).alias("__cut"), (F.col("__wanted") - F.col("__n_before")).alias("__left"))
     held = df.crossJoin(F.broadcast(cut))
     above, tied = held.filter(F.col(score) > F.col("__cut")), held.filter(F.col(score) == F.col("__cut"))
-    keys = running(tied.groupBy(key).agg(F.count("*").alias("__k")), key, ["__k"], bucket_of(df, key)).select(key, "__k_before")
-    same = F.row_number().over(Window.partitionBy(key).orderBy(score))  # rows that share a key are alike here
-    kept = tied.join(keys, key).withColumn("__place", F.col("__k_before") + same).filter(F.col("__place") <= F.col("__left"))
+    kept = placed_by_key(tied, key).filter(F.col("place") < F.col("__left"))
     return above.select(*df.columns).unionByName(kept.select(*df.columns))
 
 

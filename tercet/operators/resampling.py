@@ -10,10 +10,10 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tercet.operators.ordering import placed_in_order
+from tercet.operators.ordering import placed_in_order, running
 from tercet.operators.pricing import normal_cdf
 
 CHANCE = 1.0 / 6.0
@@ -27,10 +27,19 @@ def fold_of(key: Column, k: int, seed: str = "") -> Column:
 
 
 def stratified_group_folds(df: DataFrame, group: str, stratum: str, k: int, seed: str = "") -> DataFrame:
-    """Whole groups in folds, by a hash inside the group's commonest stratum (ties to the smallest): group, stratum, n, fold."""
+    """Whole groups in folds that share out each stratum evenly: group, stratum, n, fold.
+
+    A group's stratum is its commonest (ties to the smallest). Inside a stratum the groups are put in order of a seeded hash, in
+    buckets, and dealt to the folds in turn, so that folds differ by one group of a stratum at most.
+    """
     sizes = df.groupBy(group, stratum).agg(F.count("*").alias("__c"))
     tied = sizes.groupBy(group).agg(F.sum("__c").alias("n"), F.min(F.struct(-F.col("__c"), F.col(stratum).alias("s"))).alias("__top")).select(group, F.col("__top.s").alias(stratum), "n")
-    return tied.select(group, stratum, "n", fold_of(F.concat(F.col(stratum), F.lit("/"), F.col(group).cast("string")), k, seed).alias("fold"))
+    dice = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col(group).cast("string"))), 1, 12), 16, 10).cast("long")
+    dealt = tied.withColumn("__h", dice)
+    met = dealt.groupBy(stratum, "__h").agg(F.count("*").alias("__m"))
+    before = running(met, "__h", ["__m"], (stratum,)).select(stratum, "__h", "__m_before")
+    same = F.row_number().over(Window.partitionBy(stratum, "__h").orderBy(group)) - 1
+    return dealt.join(before, [stratum, "__h"]).select(group, stratum, "n", ((F.col("__m_before") + same) % k).alias("fold"))
 
 
 def poisson_weight(*parts: Column) -> Column:

@@ -70,7 +70,7 @@ def _(spark, d):
 @query("vus_audit", None)
 def _(spark, d):
     top = F.lit(ce.vus_ceiling(_priors(spark, d)))
-    found = ra.vus_ordinal(T.scored_sample(spark, d), "marker", 2, 1, 0)
+    found = ra.vus_ordinal(T.scored_sample(spark, d), "marker", 2, 1, 0, "decreasing")  # dearer goods are bought in larger numbers here
     return found.select("vus", top.alias("ceiling"), ce.verdict(F.col("vus"), top).alias("verdict"), ce.normalised(F.col("vus"), top).alias("fraction_of_attainable"), (F.col("vus") - top).alias("excess_over_ceiling"))
 
 
@@ -308,7 +308,7 @@ def _(spark, d):
     return pt(spark, d).groupBy(rs.fold_of(F.col("row_id"), 5, "r").alias("fold")).agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
 
 
-@query("stratified_folds", f"WITH {EX}, s AS (SELECT customer_id, arm, count(*) AS c, sum(count(*)) OVER (PARTITION BY customer_id) AS n FROM ex GROUP BY 1, 2) SELECT customer_id, arm, {n('n', 'n')}, {n(_hash('arm || {0}/{0} || CAST(customer_id AS VARCHAR)'.format(chr(39)), 5), 'fold')} FROM s QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY c DESC, arm) = 1")
+@query("stratified_folds", f"WITH {EX}, s AS (SELECT customer_id, arm, count(*) AS c, sum(count(*)) OVER (PARTITION BY customer_id) AS n FROM ex GROUP BY 1, 2) SELECT customer_id, arm, {n('n', 'n')}, {n('(row_number() OVER (PARTITION BY arm ORDER BY h, customer_id) - 1) % 5', 'fold')} FROM (SELECT *, CAST('0x' || substr(md5(CAST(customer_id AS VARCHAR)), 1, 12) AS BIGINT) AS h FROM s QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY c DESC, arm) = 1)")
 def _(spark, d):
     return rs.stratified_group_folds(T.experiment(spark, d), "customer_id", "arm", 5)
 

@@ -98,7 +98,7 @@ def _(spark, d):
 def _(spark, d):
     lines = clean(spark, d)
     big = lines.groupBy("stock_code").agg(F.countDistinct("week").alias("w")).filter("w >= 300").select("stock_code")
-    return lines.join(F.broadcast(big), "stock_code", "left_semi").groupBy("stock_code").agg(F.count("*").alias("n_lines"))
+    return lines.join(big, "stock_code", "left_semi").groupBy("stock_code").agg(F.count("*").alias("n_lines"))
 
 
 @query("dedup_check", f"WITH {V.TXN} SELECT {n('sum(c)', 'n_rows')}, {n('count(*)', 'n_keys')}, {n('sum(c) - count(*)', 'n_duplicates')} FROM (SELECT count(*) AS c FROM txn GROUP BY invoice, stock_code)")
@@ -182,8 +182,8 @@ f1 AS (SELECT *, lag(log_qty) OVER b AS lag_log_qty, coalesce(lag(log_qty, 2) OV
 @query("add_features", f"""WITH {_FEATURES} SELECT stock_code, week, {r('log_qty', 'log_qty')}, {r('log_price', 'log_price')}, {r("floor(date_diff('day', w0, week)/7)", 'week_idx')},
   {r('sin(2*pi()*weekofyear(week)/52.0::DOUBLE)', 'woy_sin')}, {r('cos(2*pi()*weekofyear(week)/52.0::DOUBLE)', 'woy_cos')}, {r('month(week) IN (10, 11, 12)', 'is_q4')}, {r("floor(date_diff('day', launch, week)/7)", 'weeks_since_launch')},
   {r('pm', 'prod_log_price_mean')}, {r('coalesce(ps, 0)', 'prod_log_price_sd')}, {r('qm', 'prod_log_qty_mean')}, {r('nw', 'prod_n_weeks')}, {r('lag_log_qty', 'lag_log_qty')}, {r('lag2_log_qty', 'lag2_log_qty')}, {r('roll4_log_qty', 'roll4_log_qty')}, {r('roll12_log_qty', 'roll12_log_qty')},
-  {r('lag_log_price', 'lag_log_price')}, {r('roll4_log_price', 'roll4_log_price')}, {r('lag_n_customers', 'lag_n_customers')}, {r('lag_n_lines', 'lag_n_lines')}, {r('ln(1 + q - qty)', 'market_log_qty')}, {r('(lp - log_price)/greatest(k - 1, 1)', 'market_log_price')},
-  {r('log_price - rel', 'rel_price')}, {r('log_price - lag_log_price', 'price_change')}, {r('log_price - rel < -0.05::DOUBLE', 'is_discounted')}
+  {r('lag_log_price', 'lag_log_price')}, {r('roll4_log_price', 'roll4_log_price')}, {r('lag_n_customers', 'lag_n_customers')}, {r('lag_n_lines', 'lag_n_lines')}, {r('ln(greatest(q - qty, 1))', 'market_log_qty')}, {r('(lp - log_price)/greatest(k - 1, 1)', 'market_log_price')},
+  {r('log_price - rel', 'rel_price')}, {r('log_price - lag_log_price', 'price_change')}, {r('log_price - rel < -0.02::DOUBLE', 'is_discounted')}
   FROM f1 JOIN s USING (stock_code) JOIN mk USING (week), f0 WHERE lag_log_qty IS NOT NULL AND lag_log_price IS NOT NULL""")
 def _(spark, d):
     return fe.add_features(panel(spark, d))
@@ -474,7 +474,7 @@ def _(spark, d):
     return gr.targeting_curve(T.price_test(spark, d).withColumn("gain", F.round("gain", 6)), "gain", gr.revenue_arm(), F.col("bought") * F.col("m"), 21)
 
 
-@query("predictive_metrics", f"WITH {PT}, e AS (SELECT CAST(bought AS DOUBLE) AS y, p0 AS p, p0 - bought AS e FROM pt) SELECT {r('sqrt(avg(e*e))', 'rmse')}, {r('avg(abs(e))', 'mae')}, {r('avg(e)', 'bias')}, {r('1 - sum(e*e)/(sum(y*y) - count(*)*avg(y)*avg(y))', 'r2')} FROM e")
+@query("predictive_metrics", f"WITH {PT}, e AS (SELECT CAST(bought AS DOUBLE) AS y, p0 AS p, p0 - bought AS e FROM pt) SELECT {r('sqrt(avg(e*e))', 'rmse')}, {r('avg(abs(e))', 'mae')}, {r('avg(e)', 'bias')}, {r('1 - sum(e*e)/(sum(y*y) - count(*)*avg(y)*avg(y))', 'r2')}, {r('avg(abs(exp(p) - exp(y))/greatest(exp(y), 1e-9))', 'level_mape')} FROM e")
 def _(spark, d):
     return gr.predictive_metrics(T.price_test(spark, d), F.col("bought").cast("double"), F.col("p0"))
 
@@ -503,10 +503,10 @@ def _(spark, d):
     return gr.blp_orthogonal(res)
 
 
-@query("lerner_price", f"WITH {PT} SELECT row_id, {r('CASE WHEN score/20 > 1 THEN least(0.5::DOUBLE*(score/20)/(score/20 - 1), 3.0) ELSE 3.0 END', 'price')}, {r('1/power(greatest(abs(score/20 - 1), 1e-3), 4)', 'weight', 2)} FROM pt")
+@query("lerner_price", f"WITH {PT} SELECT row_id, {r('least(greatest(CASE WHEN score/20 > 1 + 1e-9 THEN 0.5::DOUBLE*(score/20)/(score/20 - 1) ELSE 2.0 END, 0.5::DOUBLE), 2.0::DOUBLE)', 'price')}, {r('1/power(greatest(abs(score/20 - 1), 1e-3), 4)', 'weight', 2)} FROM pt")
 def _(spark, d):
     eps = F.col("score") / 20
-    return T.price_test(spark, d).select("row_id", gr.lerner_price(F.lit(0.5), eps, F.lit(3.0)).alias("price"), F.round(gr.profit_weight(eps), 2).alias("weight"))
+    return T.price_test(spark, d).select("row_id", gr.lerner_price(F.lit(0.5), eps, F.lit(1.0)).alias("price"), F.round(gr.profit_weight(eps), 2).alias("weight"))
 
 
 _PROFIT = "bought*(m - 0.6::DOUBLE)"
@@ -526,9 +526,9 @@ def _(spark, d):
 _NEAR = "CASE WHEN abs(ln(x) - ln(0.9::DOUBLE)) <= abs(ln(x)) AND abs(ln(x) - ln(0.9::DOUBLE)) <= abs(ln(x) - ln(1.1::DOUBLE)) THEN 0 WHEN abs(ln(x)) <= abs(ln(x) - ln(1.1::DOUBLE)) THEN 1 ELSE 2 END"
 
 
-@query("lerner_arm_policy", f"WITH {PT}, x AS (SELECT CASE WHEN score/20 > 1 THEN least(0.5::DOUBLE*(score/20)/(score/20 - 1), 3.0) ELSE 3.0 END AS x FROM pt) SELECT {n(_NEAR, 'arm')}, {n('count(*)', 'n')} FROM x GROUP BY 1")
+@query("lerner_arm_policy", f"WITH {PT}, x AS (SELECT least(greatest(CASE WHEN score/20 > 1 + 1e-9 THEN 0.5::DOUBLE*(score/20)/(score/20 - 1) ELSE 2.0 END, 0.5::DOUBLE), 2.0::DOUBLE) AS x FROM pt) SELECT {n(_NEAR, 'arm')}, {n('count(*)', 'n')} FROM x GROUP BY 1")
 def _(spark, d):
-    price = gr.lerner_price(F.lit(0.5), F.col("score") / 20, F.lit(3.0))
+    price = gr.lerner_price(F.lit(0.5), F.col("score") / 20, F.lit(1.0))
     return T.price_test(spark, d).withColumn("x", price).groupBy(gr.nearest_arm(F.col("x")).alias("arm")).agg(F.count("*").alias("n"))
 
 
@@ -658,8 +658,8 @@ def _(spark, d):
 
 
 @query("shrunk_per_product", f"""WITH {LOGS}, d0 AS (SELECT stock_code, log_qty - avg(log_qty) OVER w AS y, log_price - avg(log_price) OVER w AS t FROM logs WINDOW w AS (PARTITION BY week)), g AS (SELECT stock_code, count(*) AS n, stddev_samp(t) AS sd, covar_pop(t, y) AS ty, var_pop(t) AS tt, var_pop(y) AS yy FROM d0 GROUP BY 1),
-v AS (SELECT *, -ty/tt AS b, (yy - ty*ty/tt)*n/(n - 2)/(n*tt) AS v FROM g WHERE n >= 8 AND sd > 1e-3), m AS (SELECT sum(b/v)/sum(1/v) AS mu, greatest(var_samp(b) - avg(v), 0) AS tau FROM v)
-SELECT stock_code, {n('n', 'n')}, {r('b', 'raw')}, {r('sqrt(v)', 'se')}, {r('tau/(tau + v)*b + (1 - tau/(tau + v))*mu', 'elasticity')} FROM v, m""")
+v AS (SELECT *, CASE WHEN n >= 12 AND sqrt(tt) >= 0.02::DOUBLE AND n*tt > 1e-10 THEN -ty/tt END AS b, CASE WHEN n >= 12 AND sqrt(tt) >= 0.02::DOUBLE AND n*tt > 1e-10 THEN greatest((yy - ty*ty/tt)/greatest(n - 2, 1)/tt, 1e-12) END AS v FROM g), m AS (SELECT coalesce(sum(b/v)/sum(1/v), 0) AS mu, greatest(var_samp(b) - avg(v), 1e-6) AS tau FROM v)
+SELECT stock_code, {n('n', 'n')}, {r('b', 'raw')}, {r('sqrt(v)', 'se')}, {r('coalesce(tau/(tau + v)*b + (1 - tau/(tau + v))*mu, mu)', 'elasticity')} FROM v, m""")
 def _(spark, d):
     return mo.shrunk_per_product(logs(spark, d))
 
