@@ -40,42 +40,106 @@ def achievable(priors: tuple[float, float, float]) -> np.ndarray:
     return np.unique(np.round(np.clip(s, 0, 1), 9) + 0.0, axis=0)
 
 
-def facets(points: np.ndarray) -> tuple[np.ndarray, float]:
-    """Facets (n, d) with n.x <= d of the down-set of the points' convex hull, and its volume. For few points only: planes
-    through all triples are tried, so that more than 150 shadowed points raise."""
+def _hull(p: np.ndarray) -> np.ndarray | None:
+    """Triangles (indices, seen from outside) of the convex hull of points in space; None if they lie in a plane.
+
+    Each point outside waits at one triangle below it; the farthest of a triangle is added, and only points of the triangles that it
+    replaces look for new ones.
+    """
+    low = int(np.lexsort(p.T)[0])
+    far = int(np.argmax(((p - p[low]) ** 2).sum(axis=1)))
+    line = np.linalg.norm(np.cross(p - p[low], p[far] - p[low]), axis=1)
+    third = int(np.argmax(line))
+    normal = np.cross(p[far] - p[low], p[third] - p[low])
+    height = (p - p[low]) @ normal
+    top = int(np.argmax(np.abs(height)))
+    scale = float(np.abs(p - p[low]).max())
+    if not scale or line[third] <= 1e-12 * scale**2 or abs(height[top]) <= 1e-12 * scale**3:
+        return None
+    corners = [low, far, third, top]
+    inside = p[corners].mean(axis=0)
+    eps = 1e-11 * scale
+
+    def planes(triangles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b, c = (p[triangles[:, k]] for k in range(3))
+        n = np.cross(b - a, c - a)
+        n /= np.maximum(np.linalg.norm(n, axis=1), 1e-300)[:, None]
+        return n, (n * a).sum(axis=1)
+
+    tri = np.array([t for t in itertools.combinations(corners, 3)])
+    n, d = planes(tri)
+    tri = np.where((n @ inside - d > 0)[:, None], tri[:, ::-1], tri)
+    n, d = planes(tri)
+    waiting = np.setdiff1d(np.arange(len(p)), corners)
+    side = p[waiting] @ n.T - d
+    owner = np.where(side.max(axis=1) > eps, side.argmax(axis=1), -1)
+    waiting, owner = waiting[owner >= 0], owner[owner >= 0]
+    while len(waiting):
+        own = waiting[owner == owner[0]]
+        new = int(own[np.argmax(p[own] @ n[owner[0]] - d[owner[0]])])
+        seen = p[new] @ n.T - d > eps
+        seen[owner[0]] = True
+        edges = np.concatenate([tri[seen][:, [0, 1]], tri[seen][:, [1, 2]], tri[seen][:, [2, 0]]])
+        back = {(b, a) for a, b in edges.tolist()}
+        rim = np.array([e for e in edges.tolist() if tuple(e) not in back])
+        fresh = np.column_stack((rim, np.full(len(rim), new)))
+        fn, fd = planes(fresh)
+        freed = seen[owner] & (waiting != new)
+        move = waiting[freed]
+        stay = ~seen[owner]
+        renumber = np.cumsum(~seen) - 1
+        kept = int((~seen).sum())
+        waiting, owner = waiting[stay], renumber[owner[stay]]
+        if len(move):
+            side = p[move] @ fn.T - fd
+            out = side.max(axis=1) > eps
+            waiting, owner = np.concatenate((waiting, move[out])), np.concatenate((owner, kept + side[out].argmax(axis=1)))
+        tri, n, d = np.concatenate((tri[~seen], fresh)), np.concatenate((n[~seen], fn)), np.concatenate((d[~seen], fd))
+    return tri
+
+
+def _shadows(points: np.ndarray) -> np.ndarray:
+    """The points with their shadows on the axes' planes: corners of the boxes from the origin to them."""
     masks = np.array(list(itertools.product((0.0, 1.0), repeat=3)))
-    p = np.unique(np.round((points[:, None, :] * masks).reshape(-1, 3), 12), axis=0)
-    if len(p) > 150:
-        raise ValueError(f"{len(p)} points are too many for a hull by triples")
-    triples = np.array(list(itertools.combinations(range(len(p)), 3))).reshape(-1, 3)
-    normal = np.cross(p[triples[:, 1]] - p[triples[:, 0]], p[triples[:, 2]] - p[triples[:, 0]])
-    size = np.linalg.norm(normal, axis=1)
-    normal, first = normal[size > 1e-12] / size[size > 1e-12, None], p[triples[size > 1e-12, 0]]
-    offset = (normal * first).sum(axis=1)
-    planes = []
-    for at in range(0, len(normal), 20_000):
-        n, d = normal[at : at + 20_000], offset[at : at + 20_000]
-        side = n @ p.T - d[:, None]
-        above, below = (side <= 1e-9).all(axis=1), (side >= -1e-9).all(axis=1)
-        planes += [np.column_stack((n[above], d[above])), np.column_stack((-n[below], -d[below]))]
-    found: list[np.ndarray] = []
-    for plane in np.unique(np.round(np.concatenate(planes), 8) + 0.0, axis=0) if planes else []:
-        if all(np.abs(plane - other).max() > 1e-6 for other in found):
-            found.append(plane)
-    volume = 0.0
-    for *n, d in found:
-        n = np.array(n)
-        on = p[np.abs(p @ n - d) < 1e-7]
-        u = np.cross(n, np.eye(3)[np.argmin(np.abs(n))])
-        u /= np.linalg.norm(u)
-        v = np.cross(n, u)
-        flat = np.column_stack((on @ u, on @ v))
-        middle = flat.mean(axis=0)
-        order = np.argsort(np.arctan2(*(flat - middle).T[::-1]))
-        x, y = flat[order].T
-        area = 0.5 * abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))
-        volume += d * area / 3
-    return np.array(found).reshape(-1, 4), float(volume)
+    return np.unique(np.round((points[:, None, :] * masks).reshape(-1, 3), 12), axis=0) + 0.0
+
+
+def hull_points(points: np.ndarray) -> np.ndarray:
+    """Those of the points that the hull of all boxes from the origin to them needs."""
+    p = _shadows(points)
+    tri = _hull(p)
+    if tri is None:
+        return np.unique(points, axis=0)
+    corner = p[np.unique(tri)]
+    return corner[(corner > 0).any(axis=1)]
+
+
+def hull_volume(points: np.ndarray) -> float:
+    """Volume of the down-set of the points' convex hull; 0 where it is flat."""
+    p = _shadows(points)
+    tri = _hull(p)
+    if tri is None:
+        return 0.0
+    a, b, c = (p[tri[:, k]] for k in range(3))
+    return float((np.cross(b - a, c - a) * a).sum() / 6)
+
+
+def facets(points: np.ndarray) -> tuple[np.ndarray, float]:
+    """Facets (n, d) with n.x <= d of the down-set of the points' convex hull, and its volume (0 where it is flat)."""
+    p = _shadows(points)
+    tri = _hull(p)
+    if tri is None:
+        return np.zeros((0, 4)), 0.0
+    a, b, c = (p[tri[:, k]] for k in range(3))
+    n = np.cross(b - a, c - a)
+    size = np.linalg.norm(n, axis=1)
+    n = n[size > 1e-13] / size[size > 1e-13, None]
+    planes = np.column_stack((n, (n * a[size > 1e-13]).sum(axis=1)))
+    found = np.zeros((0, 4))
+    for plane in np.unique(np.round(planes, 8) + 0.0, axis=0):
+        if not len(found) or np.abs(found - plane).max(axis=1).min() > 1e-6:
+            found = np.concatenate((found, plane[None]))
+    return found, hull_volume(points)
 
 
 def vus_ceiling(priors: tuple[float, float, float]) -> float:

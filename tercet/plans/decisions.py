@@ -17,7 +17,7 @@ from tercet.operators import ranking as ra
 from tercet.operators import resampling as rs
 from tercet.operators import surface as su
 from tercet.plans import views as V
-from tercet.plans.registry import _H, _L, _SURFACE, CLEAN, EX, PANEL, PT, SC, clean, high, low, n, panel, query, r, surface8
+from tercet.plans.registry import _H, _L, _SURFACE, CLEAN, EX, PANEL, PT, SC, clean, high, low, mesh, n, panel, query, r
 from tercet.sources import tables as T
 
 M = (0.9, 1.0, 1.1)
@@ -378,7 +378,7 @@ def _(spark, d):
 
 @query("iso_slice", f"WITH {_SURFACE}, f AS (SELECT s0, max(s1) AS s1 FROM surface WHERE s2 >= 0.3::DOUBLE GROUP BY 1) SELECT {r('s0', 's0')}, {r('s1', 's1')} FROM f QUALIFY s1 > coalesce(max(s1) OVER (ORDER BY s0 DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)")
 def _(spark, d):
-    return su.iso_slice(surface8(spark, d), "s0", "s1", "s2", 0.3)
+    return su.iso_slice(mesh(spark, d), "s0", "s1", "s2", 0.3)
 
 
 @query("overlap_shares", f"WITH {SC} SELECT {r('avg(CAST(least(p0, p1, p2) < 0.02::DOUBLE AS DOUBLE))', 'share_below_2')}, {r('avg(CAST(least(p0, p1, p2) < 0.05::DOUBLE AS DOUBLE))', 'share_below_5')} FROM sc")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tercet.operators import experiment as ex
@@ -333,76 +334,136 @@ def _(spark, d):
 
 # ---- surfaces --------------------------------------------------------------------------------
 
-_SURFACE = f"""{SC}, rules AS (SELECT i*9 + j AS rule_id, round(ln(greatest(j/8.0::DOUBLE, 1e-9)/greatest(i/8.0::DOUBLE, 1e-9)), 9) AS a, round(ln(greatest((8-i-j)/8.0::DOUBLE, 1e-9)/greatest(i/8.0::DOUBLE, 1e-9)), 9) AS b FROM range(9) t(i), range(9) u(j) WHERE i + j <= 8),
-dd AS (SELECT y, round(l0 - l1, 6) AS d01, round(l0 - l2, 6) AS d02, round(l1 - l2, 6) AS d12, count(*) AS n FROM (SELECT y, ln(greatest(p0/(p0+p1+p2), 1e-300)) AS l0, ln(greatest(p1/(p0+p1+p2), 1e-300)) AS l1, ln(greatest(p2/(p0+p1+p2), 1e-300)) AS l2 FROM sc) GROUP BY ALL),
-hh AS (SELECT rule_id, y, n, CASE WHEN d01 >= a AND d02 >= b THEN 0 WHEN d01 < a AND d12 >= b - a THEN 1 ELSE 2 END = y AS hit FROM dd, rules),
-surf AS (SELECT rule_id, sum(n) FILTER (WHERE y = 0 AND hit)/sum(n) FILTER (WHERE y = 0) AS s0, sum(n) FILTER (WHERE y = 1 AND hit)/sum(n) FILTER (WHERE y = 1) AS s1, sum(n) FILTER (WHERE y = 2 AND hit)/sum(n) FILTER (WHERE y = 2) AS s2, sum(n) FILTER (WHERE hit)/sum(n) AS accuracy FROM hh GROUP BY 1),
-surface AS (SELECT rule_id, coalesce(s0, 0) AS s0, coalesce(s1, 0) AS s1, coalesce(s2, 0) AS s2, coalesce(accuracy, 0) AS accuracy FROM surf),
+_DD = f"""{SC}, dd AS (SELECT y, round(l0 - l1, 6) AS d01, round(l0 - l2, 6) AS d02, round(l1 - l2, 6) AS d12, count(*) AS n FROM (SELECT y, ln(greatest(p0/(p0+p1+p2), 1e-300)) AS l0, ln(greatest(p1/(p0+p1+p2), 1e-300)) AS l1, ln(greatest(p2/(p0+p1+p2), 1e-300)) AS l2 FROM sc) GROUP BY ALL)"""
+_CM = ", ".join(f"sum(n) FILTER (WHERE y = {y} AND pred = {k}) AS c{y}{k}" for y in range(3) for k in range(3))
+_HITS = f"""hh AS (SELECT rule_id, y, n, CASE WHEN d01 >= a AND d02 >= b THEN 0 WHEN d01 < a AND d12 >= b - a THEN 1 ELSE 2 END AS pred FROM dd, rules),
+surf0 AS (SELECT rule_id, {_CM} FROM hh GROUP BY 1), surf1 AS (SELECT rule_id, {', '.join(f'coalesce(c{y}{k}, 0) AS c{y}{k}' for y in range(3) for k in range(3))} FROM surf0),
+surface AS (SELECT *, c00/(c00 + c01 + c02) AS s0, c11/(c10 + c11 + c12) AS s1, c22/(c20 + c21 + c22) AS s2, (c00 + c11 + c22)/(c00 + c01 + c02 + c10 + c11 + c12 + c20 + c21 + c22) AS accuracy FROM surf1)"""
+_LATTICE = 96
+_SURFACE = f"""{_DD}, sp AS (SELECT 2*greatest(max(d01) - min(d01), max(d02) - min(d02), max(d12) - min(d12), 1) AS pad FROM dd),
+w3 AS (SELECT i*{_LATTICE + 1} + j AS rule_id, ln(greatest(i/{_LATTICE}.0::DOUBLE, 1e-300)) AS u, ln(greatest(j/{_LATTICE}.0::DOUBLE, 1e-300)) AS v, ln(greatest(({_LATTICE}-i-j)/{_LATTICE}.0::DOUBLE, 1e-300)) AS w FROM range({_LATTICE + 1}) t(i), range({_LATTICE + 1}) u(j) WHERE i + j <= {_LATTICE}),
+rules AS (SELECT rule_id, round(greatest(least(v - u, pad), -pad), 9) AS a, round(greatest(least(w - u, pad), -pad), 9) AS b FROM w3, sp), {_HITS},
 pts AS (SELECT round(s0, 9) AS s0, round(s1, 9) AS s1, max(round(s2, 9)) AS s2 FROM surface GROUP BY 1, 2),
 front AS (SELECT * FROM pts p WHERE NOT EXISTS (SELECT 1 FROM pts q WHERE q.s0 >= p.s0 AND q.s1 >= p.s1 AND q.s2 >= p.s2 AND (q.s0 > p.s0 OR q.s1 > p.s1 OR q.s2 > p.s2)))"""
 
 
-def surface8(spark: SparkSession, d: str) -> DataFrame:
-    return su.surface(T.scored_sample(spark, d), su.lattice(spark, 8))
+def mesh(spark: SparkSession, d: str) -> DataFrame:
+    return su.lattice_surface(T.scored_sample(spark, d), _LATTICE)
 
 
-@query("lattice_surface", f"WITH {_SURFACE} SELECT {n('rule_id', 'rule_id')}, {r('s0', 's0')}, {r('s1', 's1')}, {r('s2', 's2')}, {r('accuracy', 'accuracy')} FROM surface")
+_CELLS = ", ".join(n(c, c) for c in su._COUNTS)
+
+
+@query("lattice_surface", f"WITH {_SURFACE} SELECT {n('rule_id', 'rule_id')}, {_CELLS}, {r('s0', 's0')}, {r('s1', 's1')}, {r('s2', 's2')}, {r('accuracy', 'accuracy')} FROM surface")
 def _(spark, d):
-    return surface8(spark, d).select("rule_id", "s0", "s1", "s2", "accuracy")
+    return mesh(spark, d).select("rule_id", *su._COUNTS, "s0", "s1", "s2", "accuracy")
+
+
+def axis_sql(name: str, source: str, value: str, resolution: int, pad: str) -> str:
+    """CTEs of the cuts of a sweep axis: ``name`` (t, k)."""
+    shares = ", ".join(repr(x) for x in np.linspace(0, 1, resolution).tolist())
+    return f"""{name}_u AS (SELECT DISTINCT {value} AS u FROM {source} WHERE {value} IS NOT NULL), {name}_q AS (SELECT DISTINCT u FROM (SELECT unnest(quantile_cont(u, [{shares}])) AS u FROM {name}_u WHERE (SELECT count(*) FROM {name}_u) > {resolution} UNION ALL SELECT u FROM {name}_u WHERE (SELECT count(*) FROM {name}_u) <= {resolution})),
+{name} AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS k FROM (SELECT (u + lead(u) OVER (ORDER BY u))/2 AS t FROM {name}_q UNION ALL SELECT min(u) - {pad} FROM {name}_q UNION ALL SELECT max(u) + {pad} FROM {name}_q) WHERE t IS NOT NULL)"""
+
+
+_PAD = "(SELECT greatest(1, 2*greatest(max(d01) - min(d01), max(d02) - min(d02), max(d12) - min(d12))) FROM dd)"
+
+
+def _sweep_sql(resolution: int) -> str:
+    return f"""{_DD}, {axis_sql('ax', 'dd', 'd01', resolution, _PAD)}, {axis_sql('bx', 'dd', 'd02', resolution, _PAD)},
+rules AS (SELECT ax.k*(SELECT count(*) FROM bx) + bx.k AS rule_id, ax.t AS a, bx.t AS b FROM ax, bx), {_HITS}"""
+
+
+@query("roc_surface", None)
+def _(spark, d):
+    return su.roc_surface(T.scored_sample(spark, d)).select("rule_id", "w0", "w1", "w2", *su._COUNTS, "s0", "s1", "s2", "accuracy")
+
+
+@query("roc_surface_coarse", f"WITH {_sweep_sql(16)} SELECT {n('rule_id', 'rule_id')}, {_CELLS}, {r('1/(1 + exp(a) + exp(b))', 'w0')}, {r('s0', 's0')}, {r('s1', 's1')}, {r('s2', 's2')}, {r('accuracy', 'accuracy')} FROM surface JOIN rules USING (rule_id)")
+def _(spark, d):
+    return su.roc_surface(T.scored_sample(spark, d), 16).select("rule_id", "w0", *su._COUNTS, "s0", "s1", "s2", "accuracy")
+
+
+@query("surface_volumes", None)
+def _(spark, d):
+    front = su.pareto_front(su.roc_surface(T.scored_sample(spark, d)))
+    v = su.hypervolume(front).select(F.col("volume").alias("vus"), su.adjusted(F.col("volume")).alias("vus_adjusted"))
+    return v.crossJoin(su.hull_volume(front).withColumnRenamed("volume", "vus_convex_hull")).crossJoin(su.hypervolume_mc(front).select(F.col("volume").alias("vus_mc"), F.col("se").alias("vus_mc_se")))
 
 
 @query("pareto_front", f"WITH {_SURFACE} SELECT {r('s0', 's0')}, {r('s1', 's1')}, {r('s2', 's2')} FROM front")
 def _(spark, d):
-    return su.pareto_front(surface8(spark, d))
+    return su.pareto_front(mesh(spark, d))
 
 
 def _volume_sql(f: tuple[float, float, float]) -> str:
     return f"""WITH {_SURFACE}, ins AS (SELECT * FROM front WHERE s0 > {f[0]} AND s1 > {f[1]} AND s2 > {f[2]}), u AS (SELECT hi AS u, hi - coalesce(lag(hi) OVER (ORDER BY hi), {f[0]}) AS du FROM (SELECT DISTINCT s0 AS hi FROM ins)), v AS (SELECT hi AS v, hi - coalesce(lag(hi) OVER (ORDER BY hi), {f[1]}) AS dv FROM (SELECT DISTINCT s1 AS hi FROM ins)),
-z AS (SELECT du, dv, (SELECT max(s2) FROM ins WHERE s0 >= u AND s1 >= v) AS z FROM u, v) SELECT {r(f'coalesce(sum(du*dv*(z - {f[2]}::DOUBLE)), 0)', 'volume')} FROM z"""
+g AS (SELECT u, du, v, dv, max(s2) OVER (PARTITION BY u ORDER BY v DESC) AS z FROM u CROSS JOIN v LEFT JOIN ins ON s0 = u AND s1 = v), z AS (SELECT du, dv, max(z) OVER (PARTITION BY v ORDER BY u DESC) AS z FROM g) SELECT {r(f'coalesce(sum(du*dv*(z - {f[2]}::DOUBLE)), 0)', 'volume')} FROM z"""
 
 
 @query("hypervolume", _volume_sql((0.0, 0.0, 0.0)))
 def _(spark, d):
-    return su.hypervolume(su.pareto_front(surface8(spark, d)))
+    return su.hypervolume(su.pareto_front(mesh(spark, d)))
 
 
 @query("partial_vus", _volume_sql((0.1, 0.1, 0.1)))
 def _(spark, d):
-    return su.hypervolume(su.pareto_front(surface8(spark, d)), (0.1, 0.1, 0.1))
+    return su.hypervolume(su.pareto_front(mesh(spark, d)), (0.1, 0.1, 0.1))
 
 
-@query("monotone_envelope", f"WITH {_SURFACE} SELECT {n('i', 'i')}, {n('j', 'j')}, {r('coalesce(max(s2), 0)', 'z')} FROM (SELECT i, j, (i + 0.5::DOUBLE)/20 AS u, (j + 0.5::DOUBLE)/20 AS v FROM range(20) t(i), range(20) w(j)) LEFT JOIN front ON s0 >= u AND s1 >= v GROUP BY 1, 2")
+@query("monotone_envelope", f"WITH {_SURFACE} SELECT {n('i', 'i')}, {n('j', 'j')}, {r('coalesce(max(s2), 0)', 'z')} FROM (SELECT i, j, (i + 0.5::DOUBLE)/201 AS u, (j + 0.5::DOUBLE)/201 AS v FROM range(201) t(i), range(201) w(j)) LEFT JOIN front ON s0 >= u AND s1 >= v GROUP BY 1, 2")
 def _(spark, d):
-    return su.envelope(su.pareto_front(surface8(spark, d)), 20)
+    return su.envelope(su.pareto_front(mesh(spark, d)))
 
 
-_OBJ = {"youden": "s0 + s1 + s2 - 1", "balanced_accuracy": "(s0 + s1 + s2)/3", "closest_to_perfection": "-sqrt((1-s0)*(1-s0) + (1-s1)*(1-s1) + (1-s2)*(1-s2))", "maximin": "least(s0, s1, s2)", "accuracy": "accuracy", "max_volume": "s0*s1*s2"}
+_COST = [[0.0, 1.0, 3.0], [1.0, 0.0, 1.0], [5.0, 2.0, 0.0]]
+_EVERY = "(c00 + c01 + c02 + c10 + c11 + c12 + c20 + c21 + c22)"
+_OBJ = {"youden": "s0 + s1 + s2 - 1", "balanced_accuracy": "(s0 + s1 + s2)/3", "closest_to_perfection": "-sqrt((1-s0)*(1-s0) + (1-s1)*(1-s1) + (1-s2)*(1-s2))", "maximin": "least(s0, s1, s2)", "accuracy": "accuracy", "max_volume": "s0*s1*s2",
+        "expected_cost": "-(" + " + ".join(f"(c{y}0 + c{y}1 + c{y}2)/{_EVERY}*(c{y}{k}/(c{y}0 + c{y}1 + c{y}2))*{_COST[y][k]}" for y in range(3) for k in range(3)) + ")"}
 
 
-def _select_sql(where: str) -> str:
-    each = " UNION ALL ".join(f"SELECT '{k}' AS criterion, rule_id, round({e}, 9) AS value, s0, s1, s2 FROM surface {where}" for k, e in _OBJ.items())
-    return f"WITH {_SURFACE}, o AS ({each}) SELECT criterion, {n('rule_id', 'rule_id')}, {r('value', 'value')}, {r('s0', 's0')}, {r('s1', 's1')}, {r('s2', 's2')} FROM o QUALIFY row_number() OVER (PARTITION BY criterion ORDER BY value DESC, round(least(s0, s1, s2), 9) DESC, rule_id) = 1"
+def _select_sql(where: str, surface: str = "", costs: bool = True) -> str:
+    each = " UNION ALL ".join(f"SELECT '{k}' AS criterion, rule_id, CAST({e} AS DOUBLE) AS value, s0, s1, s2 FROM surface {where}" for k, e in _OBJ.items() if costs or k != "expected_cost")
+    return f"WITH {surface or _SURFACE}, o AS ({each}), t AS (SELECT * FROM o QUALIFY value >= max(value) OVER (PARTITION BY criterion) - 1e-12) SELECT criterion, {n('rule_id', 'rule_id')}, {r('value', 'value')}, {r('s0', 's0')}, {r('s1', 's1')}, {r('s2', 's2')} FROM t QUALIFY row_number() OVER (PARTITION BY criterion ORDER BY least(s0, s1, s2) DESC, rule_id) = 1"
 
 
 @query("select_points", _select_sql(""))
 def _(spark, d):
-    return su.select_points(surface8(spark, d))
+    return su.select_points(mesh(spark, d), costs=_COST)
 
 
 @query("select_constrained", _select_sql("WHERE s2 >= 0.5"))
 def _(spark, d):
-    return su.select_points(surface8(spark, d), {"s2": 0.5})
+    return su.select_points(mesh(spark, d), {"s2": 0.5}, _COST)
+
+
+@query("guarantee_curve", f"WITH {_SURFACE} SELECT {r('f', 'floor')}, {r('max(s0 + s1 + s2 - 1)', 'best_youden')}, {n('count(*)', 'n_rules')} FROM surface, (VALUES {', '.join(f'({f!r}::DOUBLE)' for f in su.FLOORS)}) t(f) WHERE s2 >= f GROUP BY f")
+def _(spark, d):
+    return su.guarantee_curve(mesh(spark, d))
+
+
+def _ordinal_sql(resolution: int) -> str:
+    cells = ", ".join(f"l.b{p} AS c{p}0, h.b{p} - l.b{p} AS c{p}1, n{p} - h.b{p} AS c{p}2" for p in range(3))
+    return f"""{SC}, {axis_sql('cx', 'sc', 'marker', resolution, '(SELECT 0.05::DOUBLE*greatest(max(marker) - min(marker), 1) FROM sc)')},
+mc AS (SELECT y, marker, count(*) AS n FROM sc GROUP BY 1, 2), b AS (SELECT k, t, {', '.join(f'coalesce(sum(n) FILTER (WHERE y = {p} AND marker < t), 0) AS b{p}' for p in range(3))} FROM cx, mc GROUP BY 1, 2), m AS (SELECT {', '.join(f'count(*) FILTER (WHERE y = {p}) AS n{p}' for p in range(3))} FROM sc),
+surface0 AS (SELECT l.k*(SELECT count(*) FROM cx) + h.k AS rule_id, l.t AS t1, h.t AS t2, {cells} FROM b l JOIN b h ON l.k <= h.k, m),
+surface AS (SELECT *, c00/(c00 + c01 + c02) AS s0, c11/(c10 + c11 + c12) AS s1, c22/(c20 + c21 + c22) AS s2, (c00 + c11 + c22)/{_EVERY} AS accuracy FROM surface0)"""
+
+
+@query("ordinal_surface", f"WITH {_ordinal_sql(200)} SELECT {n('rule_id', 'rule_id')}, {r('t1', 't1')}, {r('t2', 't2')}, {_CELLS}, {r('s0', 's0')}, {r('s1', 's1')}, {r('s2', 's2')} FROM surface")
+def _(spark, d):
+    return su.ordinal_surface(T.scored_sample(spark, d), "marker").select("rule_id", "t1", "t2", *su._COUNTS, "s0", "s1", "s2")
 
 
-@query("guarantee_curve", f"WITH {_SURFACE} SELECT {r('f', 'floor')}, {r('max(round(s0 + s1 + s2 - 1, 9))', 'best_youden')}, {n('count(*)', 'n_rules')} FROM surface, (VALUES (0.2::DOUBLE), (0.4::DOUBLE), (0.6::DOUBLE), (0.8::DOUBLE)) t(f) WHERE s2 >= f GROUP BY f")
+@query("ordinal_points", _select_sql("WHERE s1 >= 0.2", _ordinal_sql(200)))
 def _(spark, d):
-    return su.guarantee_curve(surface8(spark, d), [0.2, 0.4, 0.6, 0.8])
+    return su.select_points(su.ordinal_surface(T.scored_sample(spark, d), "marker"), {"s1": 0.2}, _COST)
 
 
-@query("ordinal_surface", f"""WITH {SC}, cut AS (SELECT k - 1 AS k, round(quantile_cont(marker, k/9.0::DOUBLE), 9) AS t FROM sc, range(1, 9) g(k) GROUP BY k), b AS (SELECT k, t, count(*) FILTER (WHERE y = 0 AND marker < t) AS b0, count(*) FILTER (WHERE y = 1 AND marker < t) AS b1, count(*) FILTER (WHERE y = 2 AND marker < t) AS b2 FROM sc, cut GROUP BY 1, 2),
-m AS (SELECT count(*) FILTER (WHERE y = 0) AS n0, count(*) FILTER (WHERE y = 1) AS n1, count(*) FILTER (WHERE y = 2) AS n2 FROM sc) SELECT {n('l.k', 'k1')}, {n('h.k', 'k2')}, {r('l.t', 't1')}, {r('h.t', 't2')}, {r('(n0 - h.b0)/n0', 's0')}, {r('(h.b1 - l.b1)/n1', 's1')}, {r('l.b2/n2', 's2')} FROM b l JOIN b h ON l.k <= h.k, m""".replace("quantile_cont(marker, k/9.0::DOUBLE)", "CASE k " + " ".join(f"WHEN {k} THEN quantile_cont(marker, {k / 9!r})" for k in range(1, 9)) + " END"))
+@query("ordinal_volume", None)
 def _(spark, d):
-    return su.ordinal_surface(T.scored_sample(spark, d), "marker", 8)
+    front = su.pareto_front(su.ordinal_surface(T.scored_sample(spark, d), "marker"))
+    return su.hypervolume(front).select(F.col("volume").alias("vus"), su.adjusted(F.col("volume")).alias("vus_adjusted"))
 
 
 # ---- grading ---------------------------------------------------------------------------------
