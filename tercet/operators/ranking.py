@@ -14,9 +14,9 @@ FLOOR = 1e-300
 
 
 def prepared(sample: DataFrame, p: list[str] = P) -> DataFrame:
-    """Row-normalised log scores with a floor, and their differences."""
+    """Row-normalised log scores with a floor, and their differences; null where a score is missing."""
     total = reduce(lambda a, b: a + b, [F.col(c) for c in p])
-    logs = sample.withColumns({f"l{i}": F.ln(F.greatest(F.col(c) / total, F.lit(FLOOR))) for i, c in enumerate(p)})
+    logs = sample.withColumns({f"l{i}": F.when(total.isNotNull(), F.ln(F.greatest(F.col(c) / total, F.lit(FLOOR)))) for i, c in enumerate(p)})
     return logs.withColumns({"d01": F.col("l0") - F.col("l1"), "d02": F.col("l0") - F.col("l2"), "d12": F.col("l1") - F.col("l2")})
 
 

@@ -16,6 +16,7 @@ from tercet.operators import pricing as pr
 from tercet.operators import ranking as ra
 from tercet.operators import resampling as rs
 from tercet.operators import surface as su
+from tercet.operators import trios
 from tercet.plans import views as V
 from tercet.plans.registry import _H, _L, _SURFACE, CLEAN, EX, PANEL, PT, SC, clean, high, low, mesh, n, panel, query, r
 from tercet.sources import tables as T
@@ -389,7 +390,7 @@ def _(spark, d):
 
 @query("vus_test", None)
 def _(spark, d):
-    return rs.tested_against_chance(ra.vus_with_error(ra.sampled_trios(T.scored_sample(spark, d))))
+    return rs.tested_against_chance(trios.exact_volume(T.scored_sample(spark, d)))
 
 
 @query("slope_tests", None)

@@ -15,6 +15,7 @@ from tercet.operators import models as mo
 from tercet.operators import ranking as ra
 from tercet.operators import relational as re_
 from tercet.operators import surface as su
+from tercet.operators import trios
 from tercet.plans import views as V
 from tercet.sources import tables as T
 
@@ -305,6 +306,11 @@ def _(spark, d):
 
 
 @query("vus_inference", None)
+def _(spark, d):
+    return trios.exact_volume(T.scored_sample(spark, d))
+
+
+@query("vus_sampled", None)
 def _(spark, d):
     return ra.vus_with_error(ra.sampled_trios(T.scored_sample(spark, d)))
 
