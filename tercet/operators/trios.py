@@ -15,7 +15,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tercet.operators.ranking import P, prepared
@@ -26,6 +27,7 @@ BOXES, BOX_POINTS = 8, 1024
 #: Pairs and points that are counted at once.
 LEAF_PAIRS, LEAF_POINTS = 1 << 18, 512
 UNIT = 1e9
+TASKS = 2048
 
 
 def score_points(sample: DataFrame, p: list[str] = P) -> DataFrame:
@@ -37,25 +39,39 @@ def score_points(sample: DataFrame, p: list[str] = P) -> DataFrame:
     return placed.groupBy("y", "u", "v").agg(F.count("*").alias("n"))
 
 
-def _steps(value: Column, edges: list[int]) -> Column:
-    return reduce(lambda s, e: s + (value >= e).cast("int"), edges, F.lit(0))
-
-
 def boxed(points: DataFrame) -> DataFrame:
-    """``points`` with their ``box``; only the boxes' edges reach the driver."""
+    """``points`` with their ``box``; only the boxes' edges reach the driver. Boxes are found in tasks, since as one column
+    expression they would swell every filter that Spark derives from the joins."""
     sizes = dict(points.groupBy("y").count().collect())  # three rows
     sides = {y: int(min(BOXES, max(1, np.ceil(np.sqrt(n / BOX_POINTS))))) for y, n in sizes.items()}
-    shares = {y: F.array(*[F.lit(k / s) for k in range(1, s)]) for y, s in sides.items() if s > 1}
-    if not shares:
-        return points.withColumn("box", F.lit(0))
-    strip = {y: sorted(set(points.filter(F.col("y") == y).agg(F.percentile_approx("u", q, F.lit(10_000))).first()[0])) for y, q in shares.items()}
-    own = reduce(lambda other, y: F.when(F.col("y") == y, _steps(F.col("u"), strip[y])).otherwise(other), strip, F.lit(0))
-    held = points.withColumn("__s", own)
-    cell = F.lit(0)
-    for y, q in shares.items():
-        for r in held.filter(F.col("y") == y).groupBy("__s").agg(F.percentile_approx("v", q, F.lit(10_000)).alias("e")).collect():  # a row a strip
-            cell = F.when((F.col("y") == y) & (F.col("__s") == r["__s"]), _steps(F.col("v"), sorted(set(r.e)))).otherwise(cell)
-    return held.withColumn("box", F.col("__s") * BOXES + cell).drop("__s")
+    strips, cells = {}, {}
+
+    def placed(use_cells: bool) -> DataFrame:
+        def place(batches):
+            for batch in batches:
+                y, u, v, n = (c.to_numpy() for c in batch.columns)
+                box = np.zeros(len(y), np.int32)
+                for k in np.unique(y).tolist():
+                    own = np.flatnonzero(y == k)
+                    strip = np.searchsorted(strips.get(k, []), u[own], "right")
+                    for t in np.unique(strip).tolist() if use_cells else ():
+                        at = own[strip == t]
+                        box[at] = np.searchsorted(cells.get((k, t), []), v[at], "right")
+                    box[own] += (strip * BOXES).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(box)], names=["y", "u", "v", "n", "box"])
+
+        return points.select(F.col("y").cast("int"), "u", "v", "n").mapInArrow(place, "y int, u long, v long, n long, box int")
+
+    def edges(frame: DataFrame, value: str, k: int) -> DataFrame:
+        return frame.agg(F.percentile_approx(value, F.array(*[F.lit(t / sides[k]) for t in range(1, sides[k])]), F.lit(10_000)).alias("e"))
+
+    wide = [k for k, s in sides.items() if s > 1]
+    for k in wide:
+        strips[k] = sorted(set(edges(points.filter(F.col("y") == k), "u", k).first().e))
+    for k in wide:
+        for r in edges(placed(False).filter(F.col("y") == k).groupBy("box"), "v", k).collect():  # a row a strip
+            cells[k, r.box // BOXES] = sorted(set(r.e))
+    return placed(True)
 
 
 def _decided(x: tuple, y: tuple, z: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +187,8 @@ def trio_counts(sample: DataFrame, p: list[str] = P) -> DataFrame:
             parts = [(0, x), (1, y), *((2, z) for z in rest)]
             return pd.concat([pd.DataFrame({"y": np.full(len(q.u), t, np.int32), "u": q.u, "v": q.v, "m": q.m}) for t, q in parts])
 
-        met = reduce(DataFrame.unionByName, roles).groupBy("xb", "yb").applyInPandas(count, "y int, u long, v long, m long")
+        tasks = min(len({o[:2] for o in opened}), TASKS)  # few bytes and much work: a number that Spark doesn't lower
+        met = reduce(DataFrame.unionByName, roles).repartition(tasks, "xb", "yb").groupBy("xb", "yb").applyInPandas(count, "y int, u long, v long, m long")
         out = out.join(met.groupBy("y", "u", "v").agg(F.sum("m").alias("m")), ["y", "u", "v"], "left")
     else:
         out = out.withColumn("m", F.lit(0).cast("long"))
