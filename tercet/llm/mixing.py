@@ -125,10 +125,18 @@ def counted(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, percent: int = 90, max_epochs: int = 1, weights: dict | None = None) -> DataFrame:
-    """The documents that the mixture chooses, once for every epoch that holds them, with their own columns."""
-    chosen = written(mixed(written(counted(docs), "counted"), percent, max_epochs, weights=weights).select(F.col("doc_id").alias("__id"), "epoch"), "chosen")
+    """The documents that the mixture chooses, once for every epoch that holds them, with their own columns.
+
+    Rows are numbered and written once, and chosen by that number: documents without a doc_id, or that share one, are chosen each
+    by itself.
+    """
+    row = "_keep_row"
+    while row in docs.columns:
+        row += "_"
+    held = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    chosen = written(mixed(written(counted(held, F.col(row)), "counted"), percent, max_epochs, weights=weights).select(F.col(row).alias("__chosen"), "epoch"), "chosen")
     few = chosen.count() <= MAX_IDS
-    return docs.join(F.broadcast(chosen) if few else chosen, F.col("doc_id").eqNullSafe(F.col("__id"))).select(*docs.columns)
+    return held.join(F.broadcast(chosen) if few else chosen, F.col(row) == F.col("__chosen")).select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
