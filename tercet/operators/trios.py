@@ -25,7 +25,7 @@ from tercet.session import ship_library
 #: Boxes along each coordinate, at most; points of a box that are aimed at.
 BOXES, BOX_POINTS = 8, 1024
 #: Pairs and points that are counted at once.
-LEAF_PAIRS, LEAF_POINTS = 1 << 18, 512
+LEAF_PAIRS, LEAF_POINTS = 1 << 20, 1024
 UNIT = 1e9
 TASKS = 2048
 

@@ -14,6 +14,8 @@ from tercet.operators import grading as gr
 from tercet.operators import models as mo
 from tercet.operators import ranking as ra
 from tercet.operators import relational as re_
+from tercet.operators import replicates as rp
+from tercet.operators import resampling as rs
 from tercet.operators import surface as su
 from tercet.operators import trios
 from tercet.plans import views as V
@@ -307,7 +309,7 @@ def _(spark, d):
 
 @query("vus_inference", None)
 def _(spark, d):
-    return trios.exact_volume(T.scored_sample(spark, d))
+    return rs.tested_against_chance(trios.exact_volume(T.scored_sample(spark, d)))
 
 
 @query("vus_sampled", None)
@@ -315,6 +317,22 @@ def _(spark, d):
     return ra.vus_with_error(ra.sampled_trios(T.scored_sample(spark, d)))
 
 
+def _two_markers(spark: SparkSession, d: str) -> DataFrame:
+    """The sample with its marker and a coarser score, as two markers of the same rows."""
+    s = T.scored_sample(spark, d)
+    return s.select("row_id", "y", F.round("marker", 2).alias("marker"), F.round("p2", 1).alias("coarse"))
+
+
+@query("volume_bootstrap", None)
+def _(spark, d):
+    return rp.bootstrap_volume(_two_markers(spark, d), ["marker", "coarse"], (0, 1, 2), 200)
+
+
+@query("volume_permutation", None)
+def _(spark, d):
+    return rp.permutation_test(_two_markers(spark, d), "marker", (0, 1, 2), 500)
+
+
 @query("order_constraint", f"WITH {SC}, m AS (SELECT row_id, least(p1 - p0, p2 - p1) AS g FROM sc) SELECT {r('avg(CAST(g > 0 AS DOUBLE))', 'share_ordered')}, {r('min(g)', 'worst_margin')} FROM m")
 def _(spark, d):
     return ra.order_check(T.scored_sample(spark, d)).drop("worst_row")
