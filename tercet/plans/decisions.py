@@ -70,7 +70,7 @@ def _(spark, d):
 @query("vus_audit", None)
 def _(spark, d):
     top = F.lit(ce.vus_ceiling(_priors(spark, d)))
-    found = ra.vus_ordinal(T.scored_sample(spark, d), "marker", 2, 1, 0, "decreasing")  # dearer goods are bought in larger numbers here
+    found = ra.vus_ordinal(T.scored_sample(spark, d), "marker", 2, 1, 0, "decreasing")  # the marker falls from small quantities (class 2) to large ones (class 0)
     return found.select("vus", top.alias("ceiling"), ce.verdict(F.col("vus"), top).alias("verdict"), ce.normalised(F.col("vus"), top).alias("fraction_of_attainable"), (F.col("vus") - top).alias("excess_over_ceiling"))
 
 
