@@ -11,6 +11,7 @@ from tercet.operators import demand as de
 from tercet.operators import experiment as ex
 from tercet.operators import features as fe
 from tercet.operators import grading as gr
+from tercet.operators import learners as le
 from tercet.operators import ordering as od
 from tercet.operators import pricing as pr
 from tercet.operators import ranking as ra
@@ -456,3 +457,61 @@ def _(spark, d):
 @query("r_loss", None)
 def _(spark, d):
     return de.r_loss(de.r_learner(de.crossfit_residuals(frame(spark, d))))
+
+
+# ---- boosted learners and price levels ---------------------------------------------------------
+
+#: Fewer rounds than a tuned model would take; every round is a pass a level.
+_GROW = {"rounds": 20, "depth": 3, "rate": 0.2, "subsample": 0.8}
+
+
+@query("conversion_boosted", None)
+def _(spark, d):
+    offers = pt(spark, d).withColumn("log_m", F.ln("m"))
+    fit = le.conversion(offers, ["score", "gain"], ("log_m",), "bought", F.col("row_id"), **_GROW)
+    return fit.applied(offers).select("row_id", "conversion", "elasticity")
+
+
+@query("arm_effects", None)
+def _(spark, d):
+    psi = le.augmented_arms(pt(spark, d), ["score", "gain"], "bought", "arm", [1 / 3] * 3, F.col("row_id"), **_GROW)
+    return le.arm_effects(psi, ["score", "gain"], list(M), F.col("row_id"), **_GROW).select("row_id", "psi0", "psi1", "psi2", "s0", "s1", "s2", "elasticity")
+
+
+_RISKS = ["risk", "base_premium"]
+
+
+@query("offset_pairs", None)
+def _(spark, d):
+    df = T.experiment(spark, d)
+    h, low = (le.offset_pair(df, _RISKS, a, F.col("quote_id"), reg=10.0, **_GROW).predict()[0] for a in ("H", "L"))
+    found = df.select("quote_id", h.alias("h"), low.alias("l"))
+    return found.select("quote_id", F.least("h", F.lit(0.0)).alias("log_rr_h"), F.greatest("l", F.lit(0.0)).alias("log_rr_l"))
+
+
+@query("weighted_arms", None)
+def _(spark, d):
+    df = T.experiment(spark, d)
+    m = le.inverse_weighted_arms(df, _RISKS, F.col("quote_id"), reg=10.0, **_GROW).predict()
+    found = df.select("quote_id", m.alias("m"))
+    return found.select("quote_id", (F.col("m")[0] - F.col("m")[1]).alias("log_rr_h"), (F.col("m")[2] - F.col("m")[1]).alias("log_rr_l"))
+
+
+@query("scalar_flip", None)
+def _(spark, d):
+    df = T.experiment(spark, d)
+    raw = le.scalar_flip(df, _RISKS, _Z, F.col("quote_id"), reg=10.0, min_weight=0.02, **_GROW).predict()[0]
+    return df.select("quote_id", raw.alias("raw")).select("quote_id", pr.softplus(F.col("raw")).alias("beta"))
+
+
+@query("moment_forest", None)
+def _(spark, d):
+    df = T.experiment(spark, d)
+    return df.select("quote_id", le.moment_forest(df, _RISKS, _Z, F.col("quote_id")).alias("beta"))
+
+
+@query("price_level_curves", None)
+def _(spark, d):
+    f = frame(spark, d)
+    fit = le.PriceLevels(options={"rounds": 10, "depth": 3, "rate": 0.3}).fit(f, F.concat_ws("|", "stock_code", "week"))
+    return fit.applied(f).select("stock_code", "week", "level", *[f"{c}{i}" for c in ("pi", "b", "d") for i in range(3)], "arc0", "arc1", "elasticity")
