@@ -1,4 +1,4 @@
-"""Demand models with controls: least squares from cross moments, Poisson and boosted trees by Spark ML, orthogonal scores.
+"""Demand models with controls: least squares from cross moments, Poisson and boosted trees by Spark ML, orthogonal scores (linear or boosted).
 
 Linear fits need one pass that sums cross moments in every task; a moment matrix has as many rows as columns and reaches the
 driver. Cross-fitting sums moments by fold in the same pass: leaving a fold out is a subtraction.
@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tercet.operators.boosting import boost, squared_by_fold
 from tercet.operators.features import CONTROLS, DISCOUNT, PRICE_FEATURES
 from tercet.operators.ordering import quantiles
 from tercet.operators.resampling import fold_of
@@ -153,6 +154,24 @@ def crossfit_residuals(df: DataFrame, k: int = 5, seed: str = "0", controls: lis
     return held.withColumns({"ry": F.col(Y) - left(p + 1), "rt": F.col(T) - left(p + 2)}).drop("__fold")
 
 
+def boosted_residuals(df: DataFrame, k: int = 5, seed: str = "0", controls: list[str] = CONTROLS, group: str = "stock_code", **options) -> DataFrame:
+    """``crossfit_residuals`` with boosted trees for both predictions: all folds and both targets grow in the same passes.
+
+    Rows without a quantity or price do not teach and have null residuals.
+    """
+    held = df.withColumn("__fold", fold_of(F.col(group), k, seed).cast("int"))
+    s = {r["__fold"]: r for r in held.groupBy("__fold").agg(*[f(c).alias(n + c) for c in (Y, T) for n, f in (("n", F.count), ("s", F.sum))]).collect()}  # a row a fold
+
+    def start(f: int, c: str) -> float:
+        rest = [r for g, r in s.items() if g != f or len(s) < 2]
+        return sum(r["s" + c] or 0.0 for r in rest) / max(sum(r["n" + c] for r in rest), 1)
+
+    folds = k if len(s) > 1 else 1
+    fit = boost(held, controls, squared_by_fold(2, folds), [F.col(Y), F.col(T), F.col("__fold")], [start(f, c) for f in range(folds) for c in (Y, T)], key=F.concat_ws("|", group, "week"), **options)
+    at = F.col("__fold") * 2 if folds > 1 else F.lit(0)
+    return held.withColumn("__m", fit.predict()).withColumns({"ry": F.col(Y) - F.col("__m")[at], "rt": F.col(T) - F.col("__m")[at + 1]}).drop("__m", "__fold")
+
+
 def theta(residuals: DataFrame, by: list[str] | None = None, extra: list[Column] | None = None) -> DataFrame:
     """Orthogonal slope of ``ry`` on ``rt`` with its robust error, from sums up to the fourth order; null below five rows or without variation."""
     y, t = F.col("ry"), F.col("rt")

@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 
 from tercet.operators import ceilings as ce
 from tercet.operators import demand as de
+from tercet.operators import effects as ef
 from tercet.operators import experiment as ex
 from tercet.operators import features as fe
 from tercet.operators import grading as gr
 from tercet.operators import learners as le
+from tercet.operators import logits as lo
+from tercet.operators import manifold as ma
 from tercet.operators import ordering as od
 from tercet.operators import pricing as pr
 from tercet.operators import ranking as ra
 from tercet.operators import resampling as rs
+from tercet.operators import stacking as st
 from tercet.operators import surface as su
 from tercet.plans import views as V
 from tercet.plans.registry import _H, _L, _SURFACE, CLEAN, EX, PANEL, PT, SC, clean, high, low, mesh, n, panel, query, r
@@ -515,3 +519,54 @@ def _(spark, d):
     f = frame(spark, d)
     fit = le.PriceLevels(options={"rounds": 10, "depth": 3, "rate": 0.3}).fit(f, F.concat_ws("|", "stock_code", "week"))
     return fit.applied(f).select("stock_code", "week", "level", *[f"{c}{i}" for c in ("pi", "b", "d") for i in range(3)], "arc0", "arc1", "elasticity")
+
+
+@query("crossfit_pairs", None)
+def _(spark, d):
+    found, fit = st.crossfit_pair(T.experiment(spark, d), _RISKS, "H", "customer_id", F.col("quote_id"), reg=10.0, **_GROW)
+    return found.select("quote_id", "fold", "raw", "calibrated", F.lit(fit.slope).alias("slope"))
+
+
+@query("stacked_pairs", None)
+def _(spark, d):
+    """Two learners of one log ratio, each read out of its group's fold, and the convex mixture of them."""
+    df = T.experiment(spark, d)
+    deep, _fit = st.crossfit_pair(df, _RISKS, "L", "customer_id", F.col("quote_id"), reg=10.0, **_GROW)
+    flat, _fit = st.crossfit_pair(df, _RISKS, "L", "customer_id", F.col("quote_id"), reg=10.0, rounds=20, depth=1, rate=0.2)
+    both = deep.join(flat.select("quote_id", F.col("raw").alias("flat")), "quote_id")
+    fit = st.stack(both, [F.col("raw"), F.col("flat")], F.col("arm") == "L", F.ln(F.col("pi_L") / F.col("pi_C")), "low")
+    return both.select("quote_id", "raw", "flat", fit.log_rr([F.col("raw"), F.col("flat")]).alias("stacked"), F.lit(fit.weights[0]).alias("weight"))
+
+
+@query("twoway_controls", None)
+def _(spark, d):
+    f = frame(spark, d)
+    fit = ef.two_way(f)
+    return fit.predict(f).select("stock_code", "week", "predicted", F.lit(fit.elasticity).alias("elasticity"))
+
+
+@query("hum_priorities", None)
+def _(spark, d):
+    """Five classes, the orders' priorities, scored by their price."""
+    o = T.table(spark, d, "orders")
+    at = F.col("o_totalprice") / 100_000
+    sample = o.select(F.col("o_orderkey").alias("row_id"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("y"), *[F.exp(-F.pow(at - k, 2) / 4).alias(f"p{k}") for k in range(5)])
+    return ma.hum(sample, [f"p{k}" for k in range(5)], "row_id")
+
+
+@query("conversion_linear", None)
+def _(spark, d):
+    offers = pt(spark, d).withColumn("log_m", F.ln("m"))
+    return lo.logit(offers, ["score", "gain"], "log_m", "bought").applied(offers).select("row_id", "conversion", "elasticity")
+
+
+@query("conversion_curved", None)
+def _(spark, d):
+    offers = pt(spark, d).withColumn("log_m", F.ln("m"))
+    fit = lo.logit(offers, ["score", "gain"], "log_m", "bought", curved=("score",), varying=("score", "gain"))
+    return fit.applied(offers).select("row_id", "conversion", "elasticity")
+
+
+@query("double_ml_boosted", None)
+def _(spark, d):
+    return de.theta(de.boosted_residuals(frame(spark, d), **_GROW)).select("n", (-F.col("theta")).alias("elasticity"), "se")

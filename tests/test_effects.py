@@ -85,3 +85,23 @@ def test_crossfit_leaves_the_group_out(spark):
     own = before.fold == before.fold[before.g == 3].iloc[0]
     assert np.allclose(before.raw[own], after.raw[own]) and not np.allclose(before.raw[~own], after.raw[~own])
     assert (before.calibrated <= 0).all() and len(before) == n
+
+
+def test_boosted_residuals_leave_the_fold_out(spark):
+    """Quantities moved in one fold move no prediction there; the elasticity is the planted one where price follows a control."""
+    from tercet.operators import demand as de
+
+    rng = np.random.default_rng(12)
+    n = 3000
+    d = pd.DataFrame({"stock_code": rng.integers(0, 30, n).astype(str), "week": np.arange(n), "x": rng.integers(0, 5, n).astype(float)})
+    d["log_price"] = np.where(d.x > 2, 1.0, 0.0) + rng.normal(0, 0.3, n)
+    d["log_qty"] = -1.5 * d.log_price + 2.0 * (d.x > 2) + rng.normal(0, 0.1, n)
+    df = spark.createDataFrame(d)
+    options = {"k": 3, "controls": ["x"], "rounds": 5, "depth": 2, "rate": 0.7}
+    held = de.boosted_residuals(df, **options)
+    assert abs(-de.theta(held).first().theta - 1.5) < 0.05
+    before = held.withColumn("m", F.col("log_qty") - F.col("ry")).withColumn("f", de.fold_of(F.col("stock_code"), 3, "0")).orderBy("week").toPandas()
+    moved = df.withColumn("log_qty", F.col("log_qty") + F.when(de.fold_of(F.col("stock_code"), 3, "0") == 1, 5.0).otherwise(0.0))
+    after = de.boosted_residuals(moved, **options).withColumn("m", F.col("log_qty") - F.col("ry")).orderBy("week").toPandas()
+    own = (before.f == 1).to_numpy()
+    assert np.allclose(before.m[own], after.m[own]) and not np.allclose(before.m[~own], after.m[~own])
