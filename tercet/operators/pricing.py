@@ -110,6 +110,13 @@ def isotonic_decreasing(v: list[Column], w: list[Column] | None = None) -> list[
     return out
 
 
+def running_levels(v: list[Column], downward: bool = False) -> list[Column]:
+    """Sums of the levels up to each one within a row, or from each one on if ``downward``."""
+    v = v[::-1] if downward else v
+    out = [_sum(v[: k + 1]) for k in range(len(v))]
+    return out[::-1] if downward else out
+
+
 def arc_elasticities(log_demand: list[Column], log_price: list[float]) -> list[Column]:
     """Elasticity between every two neighbouring levels."""
     return [-(log_demand[i + 1] - log_demand[i]) / (log_price[i + 1] - log_price[i]) for i in range(len(log_price) - 1)]

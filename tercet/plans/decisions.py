@@ -570,3 +570,10 @@ def _(spark, d):
 @query("double_ml_boosted", None)
 def _(spark, d):
     return de.theta(de.boosted_residuals(frame(spark, d), **_GROW)).select("n", (-F.col("theta")).alias("elasticity"), "se")
+
+
+@query("level_sums", f"WITH {PT} SELECT row_id, {r('p0', 'up0')}, {r('p0 + p1', 'up1')}, {r('p0 + p1 + p2', 'up2')}, {r('p2 + p1 + p0', 'down0')}, {r('p2 + p1', 'down1')}, {r('p2', 'down2')} FROM pt")
+def _(spark, d):
+    p = [F.col(c) for c in ra.P]
+    up, down = pr.running_levels(p), pr.running_levels(p, downward=True)
+    return pt(spark, d).select("row_id", *[c.alias(f"up{k}") for k, c in enumerate(up)], *[c.alias(f"down{k}") for k, c in enumerate(down)])
