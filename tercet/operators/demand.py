@@ -237,3 +237,13 @@ def r_loss(scored: DataFrame, eps: str = "elasticity") -> DataFrame:
     y, t, e = F.col("ry"), F.col("rt"), F.col(eps)
     s = scored.agg(F.avg((y + e * t) * (y + e * t)).alias("r_loss"), F.avg(y * y).alias("yy"), F.avg(t * t).alias("tt"), F.avg(t * y).alias("ty"))
     return s.select("r_loss", (F.col("yy") - F.col("ty") * F.col("ty") / F.greatest(F.col("tt"), F.lit(1e-12))).alias("constant_loss")).withColumn("skill", 1 - F.col("r_loss") / F.col("constant_loss"))
+
+
+def compared(scored: DataFrame, models: list[str]) -> DataFrame:
+    """A row for each column of predicted elasticities, in one pass: model, n, mean, sd, r_loss, constant_loss, skill. Rows with a null in
+    a model's column, ``ry`` or ``rt`` do not count for it."""
+    long = scored.select("ry", "rt", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).cast("double").alias("eps")) for m in models])).alias("m")).select("ry", "rt", "m.*").na.drop()
+    y, t, e = F.col("ry"), F.col("rt"), F.col("eps")
+    s = long.groupBy("model").agg(F.count("*").alias("n"), F.avg(e).alias("mean"), F.stddev_pop(e).alias("sd"), F.avg((y + e * t) * (y + e * t)).alias("r_loss"), F.avg(y * y).alias("yy"), F.avg(t * t).alias("tt"), F.avg(t * y).alias("ty"))
+    constant = F.col("yy") - F.col("ty") * F.col("ty") / F.greatest(F.col("tt"), F.lit(1e-12))
+    return s.select("model", "n", "mean", "sd", "r_loss", constant.alias("constant_loss"), (1 - F.col("r_loss") / constant).alias("skill"))

@@ -577,3 +577,12 @@ def _(spark, d):
     p = [F.col(c) for c in ra.P]
     up, down = pr.running_levels(p), pr.running_levels(p, downward=True)
     return pt(spark, d).select("row_id", *[c.alias(f"up{k}") for k, c in enumerate(up)], *[c.alias(f"down{k}") for k, c in enumerate(down)])
+
+
+@query("model_comparison", None)
+def _(spark, d):
+    """Orthogonal losses of three models of elasticity on the same cross-fitted residuals."""
+    f = frame(spark, d)
+    scored = de.r_learner(de.crossfit_residuals(f)).withColumnRenamed("elasticity", "r_learner")
+    fixed = scored.withColumns({"pooled": F.lit(de.pooled(f).elasticity), "two_way": F.lit(ef.two_way(f).elasticity)})
+    return de.compared(fixed, ["pooled", "two_way", "r_learner"])

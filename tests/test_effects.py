@@ -105,3 +105,16 @@ def test_boosted_residuals_leave_the_fold_out(spark):
     after = de.boosted_residuals(moved, **options).withColumn("m", F.col("log_qty") - F.col("ry")).orderBy("week").toPandas()
     own = (before.f == 1).to_numpy()
     assert np.allclose(before.m[own], after.m[own]) and not np.allclose(before.m[~own], after.m[~own])
+
+
+def test_compared_is_each_models_loss(spark):
+    from tercet.operators import demand as de
+
+    rng = np.random.default_rng(13)
+    d = pd.DataFrame(rng.normal(size=(50, 4)), columns=["ry", "rt", "a", "b"])
+    df = spark.createDataFrame(d).unionByName(spark.createDataFrame([(1.0, None, 2.0, 3.0)], "ry double, rt double, a double, b double"))
+    got = {r.model: r for r in de.compared(df, ["a", "b"]).collect()}
+    for m in "ab":
+        loss = ((d.ry + d[m] * d.rt) ** 2).mean()
+        constant = ((d.ry - d.rt * (d.ry @ d.rt) / (d.rt @ d.rt)) ** 2).mean()
+        assert got[m].n == 50 and np.allclose([got[m].r_loss, got[m].constant_loss, got[m].skill], [loss, constant, 1 - loss / constant])
