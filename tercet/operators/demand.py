@@ -120,9 +120,10 @@ def boosted(df: DataFrame, label: str, columns: list[str], weight: str | None =
     return predict
 
 
-def boosted_elasticity(df: DataFrame, delta: float = 0.05, **options) -> DataFrame:
-    """One boosted surface of log quantity on controls and price: ``df`` with ``predicted`` and ``elasticity`` by differencing."""
-    predict = boosted(df, Y, [*CONTROLS, *PRICE_FEATURES], **options)
+def boosted_elasticity(df: DataFrame, delta: float = 0.05, taught: DataFrame | None = None, **options) -> DataFrame:
+    """One boosted surface of log quantity on controls and price, fitted on ``taught`` (``df`` itself by default): ``df`` with ``predicted`` and
+    ``elasticity`` by differencing."""
+    predict = boosted(df if taught is None else taught, Y, [*CONTROLS, *PRICE_FEATURES], **options)
     kept = df.withColumns({f"__keep_{c}": F.col(c) for c in (T, *PRICE_FEATURES)})
 
     def back(moved: DataFrame) -> DataFrame:
@@ -187,8 +188,8 @@ def double_ml(df: DataFrame, k: int = 5, seed: str = "0") -> DataFrame:
     return theta(crossfit_residuals(df, k, seed)).select("n", (-F.col("theta")).alias("elasticity"), "se")
 
 
-def r_learner(residuals: DataFrame, columns: list[str] = CONTROLS, share: float = 0.05, trees: bool = False, **options) -> DataFrame:
-    """``residuals`` (ry, rt) with ``elasticity`` by ``columns``: the weighted regression of ry/rt with weights rt squared.
+def r_learner(residuals: DataFrame, columns: list[str] = CONTROLS, share: float = 0.05, trees: bool = False, onto: DataFrame | None = None, **options) -> DataFrame:
+    """``residuals`` (ry, rt), or ``onto``, with ``elasticity`` by ``columns``: the weighted regression of ry/rt with weights rt squared.
 
     Rows of the ``share`` of least weight do not teach. Linear by default, in moments of rt times the columns; boosted trees on request.
     """
@@ -197,13 +198,13 @@ def r_learner(residuals: DataFrame, columns: list[str] = CONTROLS, share: float
     taught = weighted.crossJoin(F.broadcast(floor)).filter(F.col("__w") > F.col("__floor"))
     if trees:
         predict = boosted(taught.withColumn("__label", F.col("ry") / F.col("rt")), "__label", columns, weight="__w", **options)
-        return predict(residuals, "__theta").withColumn("elasticity", -F.col("__theta")).drop("__theta")
+        return predict(residuals if onto is None else onto, "__theta").withColumn("elasticity", -F.col("__theta")).drop("__theta")
     scaled = taught.select("ry", "rt", *[(F.col(c) * F.col("rt")).alias(f"__x{i}") for i, c in enumerate(columns)])
     m = moments(scaled, ["rt", *[f"__x{i}" for i in range(len(columns))], "ry"])[0][1:, 1:]
     sd = np.sqrt(np.maximum(np.diag(m)[:-1], 1e-300))
     beta = np.linalg.pinv(m[:-1, :-1] / np.outer(sd, sd), rcond=1e-10, hermitian=True) @ (m[:-1, -1] / sd) / sd
     fit = Linear(float(beta[0]), dict(zip(columns, beta[1:].tolist(), strict=True)))
-    return residuals.withColumn("elasticity", -fit.index())
+    return (residuals if onto is None else onto).withColumn("elasticity", -fit.index())
 
 
 def _binned(scored: DataFrame, eps: str, groups: int) -> DataFrame:

@@ -18,9 +18,11 @@ from tercet.operators import manifold as ma
 from tercet.operators import ordering as od
 from tercet.operators import pricing as pr
 from tercet.operators import ranking as ra
+from tercet.operators import relational as re_
 from tercet.operators import resampling as rs
 from tercet.operators import stacking as st
 from tercet.operators import surface as su
+from tercet.operators import tuning as tu
 from tercet.plans import views as V
 from tercet.plans.registry import _H, _L, _SURFACE, CLEAN, EX, PANEL, PT, SC, clean, high, low, mesh, n, panel, query, r
 from tercet.sources import tables as T
@@ -586,3 +588,50 @@ def _(spark, d):
     scored = de.r_learner(de.crossfit_residuals(f)).withColumnRenamed("elasticity", "r_learner")
     fixed = scored.withColumns({"pooled": F.lit(de.pooled(f).elasticity), "two_way": F.lit(ef.two_way(f).elasticity)})
     return de.compared(fixed, ["pooled", "two_way", "r_learner"])
+
+
+# ---- search over settings ----------------------------------------------------------------------
+
+
+def scorer(spark, d, splits=5):
+    f = frame(spark, d)
+    weeks = tu.calendar(f)
+    return tu.Scorer.of(f, tu.Folds.of(weeks, tu.spans(len(weeks), splits)))
+
+
+def histories(spark, d, trials=40):
+    """Seeded searches of the two models in closed form, by the orthogonal loss."""
+    held = scorer(spark, d)
+    found = [tu.history(spark, m, tu.tune(held, m, trials)) for m in tu.CLOSED]
+    return found[0].unionByName(found[1])
+
+
+@query("tuning_history", None)
+def _(spark, d):
+    done = histories(spark, d).filter("state = 'complete'")
+    return re_.running_best(done, "model", "trial", "value")
+
+
+@query("tuned_models", None)
+def _(spark, d):
+    h = histories(spark, d)
+    top = re_.arg_best(h.filter("state = 'complete'"), "model", "trial", "value").select("model", "trial")
+    states = h.groupBy("model").agg(*[F.count(F.when(F.col("state") == s, 1)).alias(f"n_{s}") for s in ("complete", "pruned", "failed")])
+    return h.join(top, ["model", "trial"]).join(states, "model")
+
+
+@query("tuning_by_fits", None)
+def _(spark, d):
+    """A model without closed form: a fit a fold, the rule saving those of the trials it ends."""
+    return tu.history(spark, "poisson_glm", tu.tune(scorer(spark, d, 3), "poisson_glm", 6, "rmse", rule=tu.MedianRule(startup=2)))
+
+
+@query("objective_comparison", None)
+def _(spark, d):
+    return tu.objective_comparison(scorer(spark, d), "shrunk_per_product", ("rmse", "rloss", "rloss_vs_constant"))
+
+
+@query("nested_validation", None)
+def _(spark, d):
+    f = frame(spark, d)
+    return tu.nested(f, "pooled_loglog").unionByName(tu.nested(f, "shrunk_per_product"))
