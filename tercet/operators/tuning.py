@@ -30,7 +30,7 @@ from tercet.operators import effects as ef
 from tercet.operators import models as mo
 from tercet.operators.demand import Y, T, Linear
 from tercet.operators.features import CONTROLS
-from tercet.session import ship_library, written_step
+from tercet.session import dropped_step, ship_library, written_step
 
 METRICS = ("rmse", "rloss", "rloss_skill", "rloss_vs_constant", "avg_eps", "eps_sd", "oracle", "oracle_bias")
 #: Larger is better for these alone.
@@ -296,12 +296,12 @@ _TRAIN = ["n", *[f"{d}{s}" for d in ("", "d") for s in ("y", "t", "yy", "tt", "t
 _VALID = ["vn", "vy", "vt", "vyy", "vtt", "vty", "rr", "rs", "ss", "u", "uu"]
 
 
-def product_sums(scorer: Scorer) -> DataFrame:
-    """A row a fold and product with the sums that shrunk slopes are fitted on and graded by. Written, as it is read twice."""
+def product_sums(scorer: Scorer) -> tuple[DataFrame, str]:
+    """A row a fold and product with the sums that shrunk slopes are fitted on and graded by, written, as it is read twice; and where it lies."""
     folds, controls = scorer.folds, scorer.controls
     spark, truth = scorer.df.sparkSession, F.col(scorer.truth) if scorer.truth else F.lit(0.0)
     rows = scorer.df.select("stock_code", "week", F.col(Y).cast("double").alias("y"), F.col(T).cast("double").alias("t"), truth.cast("double").alias("u"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(controls)]).na.drop(subset=["y", "t", "u", *[f"x{i}" for i in range(len(controls))]])
-    placed, _ = written_step(rows.withColumn("segment", folds.segment()).select("stock_code", "week", "segment", "y", "t", "u", F.array(F.lit(1.0), *[F.col(f"x{i}") for i in range(len(controls))]).alias("x")), "placed")
+    placed, rows_at = written_step(rows.withColumn("segment", folds.segment()).select("stock_code", "week", "segment", "y", "t", "u", F.array(F.lit(1.0), *[F.col(f"x{i}") for i in range(len(controls))]).alias("x")), "placed")
     means = placed.groupBy("week").agg(F.avg("y").alias("my"), F.avg("t").alias("mt"))
     less = placed.join(means, placed.week.eqNullSafe(means.week)).withColumns({"dy": F.col("y") - F.col("my"), "dt": F.col("t") - F.col("mt")})
     first = less.groupBy("stock_code", "segment").agg(F.count("*").cast("double").alias("n"), *[F.sum(c).alias(d + s) for d in ("", "d") for s, c in (("y", F.col(d + "y")), ("t", F.col(d + "t")), ("yy", F.col(d + "y") * F.col(d + "y")), ("tt", F.col(d + "t") * F.col(d + "t")), ("ty", F.col(d + "t") * F.col(d + "y")))])
@@ -318,7 +318,9 @@ def product_sums(scorer: Scorer) -> DataFrame:
     terms = [F.lit(1.0), F.col("y"), F.col("t"), *[F.col(a) * F.col(b) for a, b in ("yy", "tt", "ty", "rr", "rs", "ss")], F.col("u"), F.col("u") * F.col("u")]
     valid = left.groupBy("fold", "stock_code").agg(*[F.sum(e).alias(c) for c, e in zip(_VALID, terms, strict=True)])
     both = train.unionByName(valid, allowMissingColumns=True).groupBy("fold", "stock_code").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in [*_TRAIN, *_VALID]])
-    return written_step(both.drop("stock_code"), "products")[0]
+    out = written_step(both.drop("stock_code"), "products")
+    dropped_step(spark, rows_at)
+    return out
 
 
 def _slopes(g: dict[str, np.ndarray], s: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -352,7 +354,11 @@ def _task_sums(stats: DataFrame, settings: list[dict], width: int, terms: Callab
 
 def shrunk_scores(scorer: Scorer, settings: list[dict], stats: DataFrame | None = None) -> Scores:
     """Metrics by setting and fold of ``shrunk_per_product``: two passes over products for all settings and folds."""
-    stats = product_sums(scorer) if stats is None else stats
+    if stats is None:
+        stats, place = product_sums(scorer)
+        out = shrunk_scores(scorer, settings, stats)
+        dropped_step(scorer.df.sparkSession, place)
+        return out
 
     def spread(g: dict[str, np.ndarray], k: int, j: int, s: dict) -> np.ndarray:
         sound, b, v = (a for a in _slopes(g, s))
@@ -515,7 +521,7 @@ def nested(df: DataFrame, model: str, objective: str = "rloss", trials: int = 25
         raise ValueError("too few weeks for nested folds")
     plan = Folds.of(weeks, [*outside, *[f for part in inside for f in part]])
     whole, rows, at = Scorer.of(df, plan, controls, truth), [], len(outside)
-    stats = product_sums(whole) if model == "shrunk_per_product" else None
+    stats, place = product_sums(whole) if model == "shrunk_per_product" else (None, None)
     for i, part in enumerate(inside):
         settings, first = sampled(model, trials, seed + i), at
         if model in CLOSED:
@@ -527,4 +533,6 @@ def nested(df: DataFrame, model: str, objective: str = "rloss", trials: int = 25
         grades = score(top["trial"], i) or {}
         rows.append((i, model, objective, json.dumps(top["settings"], sort_keys=True), top[objective], *[grades.get(m) for m in METRICS]))
         at += len(part)
+    if place:
+        dropped_step(df.sparkSession, place)
     return df.sparkSession.createDataFrame(rows, _NESTED)

@@ -25,6 +25,7 @@ from tercet.operators import surface as su
 from tercet.operators import tuning as tu
 from tercet.plans import views as V
 from tercet.plans.registry import _H, _L, _SURFACE, CLEAN, EX, PANEL, PT, SC, clean, high, low, mesh, n, panel, query, r
+from tercet.session import dropped_step, written_step
 from tercet.sources import tables as T
 
 M = (0.9, 1.0, 1.1)
@@ -593,16 +594,27 @@ def _(spark, d):
 # ---- search over settings ----------------------------------------------------------------------
 
 
-def scorer(spark, d, splits=5):
-    f = frame(spark, d)
+def on_written(spark, d, work):
+    """What ``work`` finds on the frame, written once for all its passes; what it finds must no longer read it."""
+    held, place = written_step(frame(spark, d), "frame")
+    found = work(held)
+    dropped_step(spark, place)
+    return found
+
+
+def scorer(f, splits=5):
     weeks = tu.calendar(f)
     return tu.Scorer.of(f, tu.Folds.of(weeks, tu.spans(len(weeks), splits)))
 
 
 def histories(spark, d, trials=40):
     """Seeded searches of the two models in closed form, by the orthogonal loss."""
-    held = scorer(spark, d)
-    found = [tu.history(spark, m, tu.tune(held, m, trials)) for m in tu.CLOSED]
+
+    def work(f):
+        held = scorer(f)
+        return [tu.history(spark, m, tu.tune(held, m, trials)) for m in tu.CLOSED]
+
+    found = on_written(spark, d, work)
     return found[0].unionByName(found[1])
 
 
@@ -623,15 +635,14 @@ def _(spark, d):
 @query("tuning_by_fits", None)
 def _(spark, d):
     """A model without closed form: a fit a fold, the rule saving those of the trials it ends."""
-    return tu.history(spark, "poisson_glm", tu.tune(scorer(spark, d, 3), "poisson_glm", 6, "rmse", rule=tu.MedianRule(startup=2)))
+    return on_written(spark, d, lambda f: tu.history(spark, "poisson_glm", tu.tune(scorer(f, 3), "poisson_glm", 6, "rmse", rule=tu.MedianRule(startup=2))))
 
 
 @query("objective_comparison", None)
 def _(spark, d):
-    return tu.objective_comparison(scorer(spark, d), "shrunk_per_product", ("rmse", "rloss", "rloss_vs_constant"))
+    return on_written(spark, d, lambda f: tu.objective_comparison(scorer(f), "shrunk_per_product", ("rmse", "rloss", "rloss_vs_constant")))
 
 
 @query("nested_validation", None)
 def _(spark, d):
-    f = frame(spark, d)
-    return tu.nested(f, "pooled_loglog").unionByName(tu.nested(f, "shrunk_per_product"))
+    return on_written(spark, d, lambda f: tu.nested(f, "pooled_loglog").unionByName(tu.nested(f, "shrunk_per_product")))
