@@ -1,14 +1,18 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
-Rows of the matrix are classes of documents with equal n-gram sets (copies are never multiplied),
-columns are n-grams in one global order: rare columns first, columns known to be heavy last, by
-weight. If two rows of sizes n and m reach the similarity, their overlap is at least t n, so they
-meet in the first n - ceil(t n) + 1 columns of each; only this block of the matrix goes through the
-Spark product (a join on the column). A pair that meets at places i and j of its rows overlaps in
-min(n - i, m - j) columns at most; pairs below the size-derived bound are discarded there. Every
-class also carries how many of its columns fall into each of COLUMN_BLOCKS hash ranges; the smaller
+Rows of the matrix are classes of documents with equal n-gram sets (copies are never multiplied); its
+columns are parts of sets. Sizes are cut into classes so that similar sets lie in one class or in two
+neighbouring ones. If the larger one has at most r n-grams, the two differ in at most
+h = 2r (1 - t) / (1 + t) of them. N-grams are dealt by hash over h + 1 parts or a few more: at most h parts
+can differ, so a set with more than h filled parts shares a whole filled part with every similar one, and the
+columns are (size class, part, what the set has there). The few sets with fewer filled parts also have
+their empty parts as columns, where they meet only each other. A column asks for several n-grams at
+once, so however frequent single n-grams become, columns stay light unless sets are nearly equal, and
+the matrix grows with the input.
+
+Every class also carries how many of its n-grams fall into each of COLUMN_BLOCKS hash ranges; the smaller
 counts of a pair add up to a bound of its overlap, and pairs below it are discarded. What is left is
-accumulated exactly over blocks of columns; a pair is dropped as soon as its count so far and what
+accumulated exactly over blocks of n-grams; a pair is dropped as soon as its count so far and what
 the smaller row still holds cannot reach the bound.
 
 Columns of up to LIGHT rows multiply all their rows. A heavier column never emits its pairs. First
@@ -19,10 +23,6 @@ matrices are multiplied column block by column block. A group returns the links
 forest, not all of them, so its output is linear in its rows. Every pair of different components is
 examined, so components are exact; nothing is capped or dropped.
 
-Which columns are heavy is only a matter of cost: any order that all rows share gives the same
-links. Each task counts columns in a fixed-size sketch; the heaviest MAX_HEAVY (a bound on what is
-broadcast) go last.
-
 Defined cases: null, empty or wordless text has an empty set, links with nothing and is its own
 component; fewer words than n make one n-gram; copies and repeated rows are one class; rows that
 share a doc_id but not a text are compared by their own texts, and so are rows without a doc_id; very
@@ -35,17 +35,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tercet.llm.common import forget, looked_up, partitions, release_memory, small_batches, sorted_positions, table, written
 from tercet.llm.graphs import components
 from tercet.llm.textkernel import Words, blocks, mix, shingle_sets
 
-#: Columns that a broadcast may hold at most (12 bytes each), and from how many rows on a column is heavy.
-MAX_HEAVY, HEAVY_ROWS = 400_000, 32
-#: Cells of a task's counting sketch.
-SKETCH = 1 << 22
+#: Classes that a task remembers, to write the columns of copies once.
+SEEN = 1 << 18
 #: Rows of ids that may be broadcast to fetch texts; beyond it they are shuffled.
 MAX_IDS = 1_000_000
 #: Members of one row block around a pivot.
@@ -58,8 +56,7 @@ COLUMNS = 4096
 #: Hash ranges of columns whose counts bound a pair's overlap.
 COLUMN_BLOCKS = 256
 
-SCAN = "doc_id long, th long, n long, fp long, counts binary, gram long, seen long"
-POSTINGS = "gram long, fp long, n int, place int"
+SCAN = "doc_id long, th long, n long, fp long, counts binary, grams array<long>"
 
 
 def set_hash(values: np.ndarray) -> int:
@@ -112,91 +109,102 @@ def bounded(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(bound, "a long, b long")
 
 
-def scan_sets(docs: DataFrame, n: int) -> DataFrame:
-    """Size and class of every document's set, and (rows with ``gram``) each task's frequent n-grams."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    parts = docs.rdd.getNumPartitions()
-    gathered = docs.coalesce(max(2 * spark.sparkContext.defaultParallelism, parts // 16))
-
-    names = [part.split()[0] for part in SCAN.split(", ")]
-
-    def batch_of(columns: list, rows: int):
-        filled = [c if c is not None else pa.nulls(rows, pa.binary() if name == "counts" else pa.int64()) for c, name in zip(columns, names, strict=True)]
-        return pa.RecordBatch.from_arrays(filled, names=names)
+def size_classes(percent: int, largest: int) -> np.ndarray:
+    """Last sizes of the classes up to ``largest`` and one beyond: a similar larger set is in the same class or the next."""
+    ends, low = [], 1
+    while not ends or ends[-1] < largest:
+        ends.append(max(low, 100 * low // percent))
+        low = ends[-1] + 1
+    return np.array([*ends, max(low, 100 * low // percent)], np.int64)
+
+
+def part_numbers(percent: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By size class of the larger set: how many n-grams may differ, and into how many parts sets are cut (some more where parts would be empty)."""
+    differ = 2 * ends * (100 - percent) // (100 + percent)
+    parts = differ + 1
+    lowest = np.concatenate(([0], ends[:-1])) + 1
+    empty = parts * np.exp(-lowest / parts)
+    return differ, parts + np.where(empty < 0.05, 0, np.ceil(2 * empty)).astype(np.int64)
+
+
+def columns_of(values: np.ndarray, place: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of each of a block's sets, end to end: values and offsets. Similar sets that are not equal share one."""
+    sizes = np.diff(place)
+    n_docs = len(sizes)
+    ends = size_classes(percent, int(sizes.max(initial=1)))
+    differ, parts = part_numbers(percent, ends)
+    hashed = mix(values.astype(np.uint64) + np.uint64(0x9FB21C651E98DF25))
+    doc = np.repeat(np.arange(n_docs), sizes)
+    order = np.argsort((doc.astype(np.uint64) << np.uint64(32)) | (hashed >> np.uint64(32)))
+    hashed, weight = hashed[order], mix(values[order].astype(np.uint64) ^ np.uint64(0x632BE59BD9B4E019))
+    found, owner = [], []
+    for step in (0, 1):  # as the larger set of a pair and as the smaller one of the next class
+        level = np.searchsorted(ends, sizes) + step
+        used = (sizes > 0) & (differ[level] > 0)
+        mine = used[doc]
+        if not mine.any():
+            continue
+        of, h, w = doc[mine], hashed[mine], weight[mine]
+        part = ((h >> np.uint64(32)) * parts[level[of]].astype(np.uint64)) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (part[1:] != part[:-1]))))
+        kind = (level[of[first]].astype(np.uint64) << np.uint64(40)) | part[first]
+        found.append(mix(np.add.reduceat(w, first) + mix(kind + np.uint64(1))))
+        owner.append(of[first])
+        filled = np.bincount(of[first], minlength=n_docs)
+        for d in np.flatnonzero(used & (filled <= differ[level])).tolist():
+            empty = np.setdiff1d(np.arange(parts[level[d]], dtype=np.uint64), part[first][of[first] == d])
+            found.append(mix(mix((np.uint64(level[d]) << np.uint64(40)) | empty) ^ np.uint64(0xD6E8FEB86659FD93)))
+            owner.append(np.full(len(empty), d))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(n_docs + 1, np.int64)
+    owners = np.concatenate(owner)
+    every = np.concatenate(found).astype(np.int64)[np.argsort(owners, kind="stable")]
+    return every, np.concatenate(([0], np.cumsum(np.bincount(owners, minlength=n_docs))))
+
+
+def scan_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Size and class of every document's set; with the first of a class in a task also its counts and columns ``grams``."""
+    small_batches(docs.sparkSession)
 
     def scan(batches):
-        cells, total, often = np.zeros(SKETCH, np.uint16), 0, []
+        seen: set[int] = set()
         for batch in batches:
-            keys, hashes = batch.column("doc_id"), batch.column("th")
             for low, high, data, off in blocks(batch.column("text")):
                 values, place = shingle_sets(Words(data, off, lower=True), n)
-                cell = values & (SKETCH - 1)
-                np.add.at(cells, cell, 1)
-                total += len(values)
-                hot = cells[cell] > 4 + 4 * (total // SKETCH)
-                if hot.any():
-                    often.append(values[hot])
-                count = high - low
-                yield batch_of([keys.slice(low, count), hashes.slice(low, count), pa.array(np.diff(place)), pa.array(set_hashes(values, place)), pa.array(block_counts(values, place), pa.binary()), None, None], count)
-                if len(often) > 64:
-                    grams, seen = np.unique(np.concatenate(often), return_counts=True)
-                    yield batch_of([None, None, None, None, None, pa.array(grams), pa.array(seen)], len(grams))
-                    often = []
+                fp = set_hashes(values, place)
+                fresh = np.zeros(len(fp), bool)
+                for r, key in enumerate(fp.tolist()):
+                    if place[r + 1] > place[r] and key not in seen:
+                        fresh[r] = True
+                        seen.add(key)
+                if len(seen) > SEEN:
+                    seen = set()
+                kept = np.repeat(fresh, np.diff(place))
+                own = np.concatenate(([0], np.cumsum(np.where(fresh, np.diff(place), 0))))
+                grams, at = columns_of(values[kept], own, percent)
+                counts = block_counts(values, place)
+                columns = [
+                    batch.column("doc_id").slice(low, high - low), batch.column("th").slice(low, high - low), pa.array(np.diff(place)), pa.array(fp),
+                    pa.array([c if f else None for c, f in zip(counts, fresh.tolist(), strict=True)], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(grams)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[part.split()[0] for part in SCAN.split(", ")])
         release_memory()
-        if often:
-            grams, seen = np.unique(np.concatenate(often), return_counts=True)
-            yield batch_of([None, None, None, None, None, pa.array(grams), pa.array(seen)], len(grams))
 
-    return written(gathered.mapInArrow(scan, SCAN), "sets")
-
-
-def heavy_columns(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The heaviest columns, at most MAX_HEAVY: sorted n-grams and their counts."""
-    rows = (
-        scanned.filter("gram is not null").groupBy("gram").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= HEAVY_ROWS)
-        .orderBy(F.col("seen").desc(), "gram").limit(MAX_HEAVY).toPandas()
-    )
-    grams, seen = rows["gram"].to_numpy(np.int64), rows["seen"].to_numpy(np.int64)
-    order = np.argsort(grams)
-    return grams[order], seen[order]
+    return written(docs.mapInArrow(scan, SCAN), "sets")
 
 
-def leading_columns(docs: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The block of the matrix that must hold a common column: (gram, fp, n, place)."""
-    held = docs.sparkSession.sparkContext.broadcast(heavy)
-
-    def lead(batches):
-        grams, seen = held.value
-        for batch in batches:
-            for _, _, data, off in blocks(batch.column("text")):
-                values, place = shingle_sets(Words(data, off, lower=True), n)
-                if not len(values):
-                    continue
-                sizes = np.diff(place)
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                if len(grams):
-                    at = np.minimum(np.searchsorted(grams, values), len(grams) - 1)
-                    weight = np.where(grams[at] == values, seen[at], 0)
-                    order = np.lexsort((values, weight, doc)) if weight.any() else slice(None)
-                    values = values[order]
-                wanted = sizes - -(-percent * sizes // 100) + 1
-                spot = np.arange(len(values)) - np.repeat(place[:-1], sizes)
-                kept = spot < np.repeat(wanted, sizes)
-                fp = set_hashes(values, place)  # they do not depend on the order inside a set
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values[kept]), pa.array(fp[doc[kept]]), pa.array(sizes[doc[kept]].astype(np.int32)), pa.array(spot[kept].astype(np.int32))],
-                    names=["gram", "fp", "n", "place"],
-                )
-        release_memory()
-
-    return docs.mapInArrow(lead, POSTINGS)
+def shared_columns(scanned: DataFrame) -> DataFrame:
+    """The columns that several classes have: (gram, fp, n). Rows are dealt by column once."""
+    postings = scanned.filter("counts is not null").select(F.explode("grams").alias("gram"), "fp", F.col("n").cast("int").alias("n"))
+    own = Window.partitionBy("gram")
+    met = postings.withColumns({"low": F.min("fp").over(own), "high": F.max("fp").over(own)}).filter("low < high")
+    return written(met.select("gram", "fp", "n").dropDuplicates(["gram", "fp"]), "matrix")
 
 
-def _possible(percent: int, n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Whether rows of n and m columns that first meet at places i and j can still be similar."""
-    overlap = F.least(n - i, m - j).cast("long")
-    return 100 * overlap >= percent * (n + m - overlap)
+def _possible(percent: int, n: Column, m: Column) -> Column:
+    """Whether sets of n and m n-grams can be similar."""
+    return 100 * F.least(n, m).cast("long") >= percent * F.greatest(n, m)
 
 
 def _reached(pivot: np.ndarray, row: np.ndarray, needed: int) -> bool:
@@ -359,23 +367,20 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFra
 def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Every row of ``docs(doc_id, text)``: doc_id, th (hash of the text), n, component_id, and the component's first document ``first``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    scanned = scan_sets(docs, n)
-    sets = scanned.filter("gram is null").select("doc_id", "th", "n", "fp")
+    scanned = scan_sets(docs, n, percent)
+    sets = scanned.select("doc_id", "th", "n", "fp")
     member = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")
     classes = sets.filter("n > 0").groupBy("fp").agg(F.min(member).alias("rep"), F.min("doc_id").alias("smallest"))
-    counts_of = scanned.filter("gram is null and n > 0").select("fp", "n", "counts").dropDuplicates(["fp"])
-    postings = written(leading_columns(docs, n, percent, heavy_columns(scanned)), "leading")
-    shared = postings.groupBy("gram").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("gram")
-    matrix = written(postings.join(shared, "gram", "left_semi").groupBy("gram", "fp").agg(F.first("n").alias("n"), F.first("place").alias("place")), "matrix")
-    forget(postings)
+    counts_of = scanned.filter("counts is not null").select("fp", "n", "counts").dropDuplicates(["fp"])
+    matrix = shared_columns(scanned)
     held = written(counts_of.join(matrix.select("fp").distinct(), "fp", "left_semi"), "blocks")
     heavy_grams = written(matrix.groupBy("gram").agg(F.count("*").alias("rows")).filter(F.col("rows") > LIGHT).select("gram"), "heavy-columns")
     light, heavy = matrix.join(heavy_grams, "gram", "left_anti"), matrix.join(heavy_grams, "gram", "left_semi")
 
-    possible = _possible(percent, F.col("n"), F.col("place"), F.col("n_"), F.col("place_"))
-    under = light.select("gram", F.col("fp").alias("fp_"), F.col("n").alias("n_"), F.col("place").alias("place_"))
+    possible = _possible(percent, F.col("n"), F.col("n_"))
+    under = light.select("gram", F.col("fp").alias("fp_"), F.col("n").alias("n_"))
     met = light.join(under, "gram").filter((F.col("fp_") < F.col("fp")) & possible).select(F.col("fp_").alias("a"), F.col("fp").alias("b"))
-    row = [F.col("fp").alias("fp_"), F.col("n").alias("n_"), F.col("place").alias("place_")]
+    row = [F.col("fp").alias("fp_"), F.col("n").alias("n_")]
     pivots = heavy.groupBy("gram").agg(F.min(F.struct("n", F.struct(*row).alias("r"))).alias("shortest"), F.min(F.struct(F.xxhash64("fp").alias("h"), F.struct(*row).alias("r"))).alias("any"))
     pivots = pivots.select("gram", F.explode(F.array("shortest.r", "any.r")).alias("r")).select("gram", "r.*")
     turned = heavy.join(pivots, "gram").filter((F.col("fp") != F.col("fp_")) & possible).select(F.col("fp_").alias("a"), F.col("fp").alias("b"))

@@ -544,3 +544,40 @@ def test_pipeline_on_no_documents(spark, no_documents):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
     assert docs.count() == 0
+
+
+@pytest.mark.parametrize("percent", [90, 80, 50])
+def test_similar_sets_share_a_column(percent):
+    """Whatever their sizes, two similar sets that differ have a common column, and sets of frequent n-grams that are not similar seldom do."""
+    from tercet.llm.ngram_join import columns_of
+
+    rng, met, apart = np.random.default_rng(percent), 0, 0
+    for _ in range(1500):
+        n = int(rng.integers(2, 150))
+        base = rng.choice(1 << 52, 2 * n, replace=False)
+        m = int(rng.integers(max(1, n * percent // 100), n + 1))
+        common = int(rng.integers(0, m + 1)) if rng.random() < 0.3 else min(m, -(-percent * (n + m) // (100 + percent)))
+        a, b = np.sort(base[:n]), np.sort(np.concatenate((base[:common], base[n : n + m - common])))
+        grams, place = columns_of(np.concatenate((a, b)), np.array([0, n, n + m]), percent)
+        shared = bool(np.intersect1d(grams[: place[1]], grams[place[1] :]).size)
+        if common <= m and 100 * common >= percent * (n + m - common) and not (n == m == common):
+            met += 1
+            assert shared
+        elif n > 40 and common < n / 4:
+            apart += shared
+    assert met > 500 and (percent < 80 or apart < 10)
+
+
+def test_ngram_join_of_frequent_ngrams(spark, monkeypatch):
+    """Texts made of a few n-grams that all of them hold in part: no column is so heavy that rows are multiplied in blocks."""
+    from tercet.llm import ngram_join
+
+    def none(*args):
+        raise AssertionError("rows of frequent n-grams were multiplied")
+
+    monkeypatch.setattr(ngram_join, "block_products", none)
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"p{k}q{j}c{choice}" for k, choice in enumerate(rng.integers(0, 2, 30)) for j in range(6))) for i in range(300)]
+    rows += [(300 + i, text + " end") for i, (_, text) in enumerate(rows[:20])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows, 3, 90) and [got[300 + i][1] for i in range(20)] == list(range(20))
