@@ -18,7 +18,7 @@ from tercet.operators import ceilings
 from tercet.operators.ceilings import CHANCE, hull_points
 from tercet.operators.ordering import quantiles
 from tercet.operators.ranking import prepared
-from tercet.session import ship_library
+from tercet.session import dropped_step, ship_library, written_step
 
 #: Cells of the largest table that one task sums up.
 CELLS = 1 << 27
@@ -33,6 +33,14 @@ def differences(sample: DataFrame) -> DataFrame:
     return prepared(sample).select("y", *[F.round(c, 6).alias(c) for c in ("d01", "d02", "d12")])
 
 
+def counted(sample: DataFrame) -> tuple[DataFrame, str]:
+    """Rows n of each distinct (y, d01, d02, d12), written once, and where they lie.
+
+    The differences are deep expressions: filters pushed below them repeat them inside each other until the code no longer compiles.
+    """
+    return written_step(differences(sample).groupBy("y", "d01", "d02", "d12").agg(F.count("*").alias("n")), "differences")
+
+
 def lattice(spark: SparkSession, n: int) -> DataFrame:
     """Barycentric weights (i, j, n-i-j)/n with their log ratios against the first class."""
     i = spark.range(n + 1).select(F.col("id").alias("i"))
@@ -45,10 +53,12 @@ def lattice(spark: SparkSession, n: int) -> DataFrame:
 
 def lattice_surface(sample: DataFrame, n: int = 96) -> DataFrame:
     """The surface on an even mesh of weights, log ratios clipped to twice the widest span of the scores (one at least)."""
-    span = differences(sample).agg(F.greatest(*[F.max(c) - F.min(c) for c in ("d01", "d02", "d12")], F.lit(1.0)).alias("__s"))
+    points, path = counted(sample)
+    span = points.agg(F.greatest(*[F.max(c) - F.min(c) for c in ("d01", "d02", "d12")], F.lit(1.0)).alias("__s"))
+    span = sample.sparkSession.createDataFrame(span.collect(), span.schema)
     rules = lattice(sample.sparkSession, n).crossJoin(F.broadcast(span))
     clipped = rules.withColumns({c: F.round(F.greatest(F.least(F.col(c), 2 * F.col("__s")), -2 * F.col("__s")), 9) for c in "ab"}).drop("__s")
-    return surface(sample, clipped)
+    return _surface(points, path, clipped)
 
 
 def sweep_axis(frame: DataFrame, value: str, resolution: int, pad: float) -> np.ndarray:
@@ -71,14 +81,14 @@ def weights_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def roc_surface(sample: DataFrame, resolution: int = 160) -> DataFrame:
     """The surface on every pair of ``resolution`` cuts of d01 and d02: i, j and what :func:`surface` gives."""
-    d = differences(sample)
+    d, path = counted(sample)
     ends = d.agg(*[(F.max(c) - F.min(c)).alias(c) for c in ("d01", "d02", "d12")]).first()
     pad = max(1.0, 2.0 * max((x or 0.0) for x in ends))
     first, second = (sweep_axis(d, c, resolution, pad) for c in ("d01", "d02"))
     i, j = (x.ravel() for x in np.meshgrid(np.arange(len(first)), np.arange(len(second)), indexing="ij"))
     w = weights_of(first[i], second[j])
     rules = pd.DataFrame({"rule_id": i * len(second) + j, "i": i, "j": j, "w0": w[:, 0], "w1": w[:, 1], "w2": w[:, 2], "a": first[i], "b": second[j]})
-    return surface(sample, sample.sparkSession.createDataFrame(rules))
+    return _surface(d, path, sample.sparkSession.createDataFrame(rules))
 
 
 def surface(sample: DataFrame, rules: DataFrame) -> DataFrame:
@@ -86,7 +96,13 @@ def surface(sample: DataFrame, rules: DataFrame) -> DataFrame:
 
     The rules, a parameter, reach the driver. Rows without a difference take no part.
     """
-    ship_library(sample.sparkSession)
+    return _surface(*counted(sample), rules)
+
+
+def _surface(points: DataFrame, path: str, rules: DataFrame) -> DataFrame:
+    """:func:`surface` of written points (:func:`counted`), which are deleted once they are counted into cells."""
+    spark = points.sparkSession
+    ship_library(spark)
     held = rules.select("rule_id", F.col("a").cast("double"), F.col("b").cast("double")).toPandas()
     ids, a, b = (held[c].to_numpy() for c in ("rule_id", "a", "b"))
     axes = [np.unique(x) for x in (a, b, b - a)]
@@ -94,17 +110,17 @@ def surface(sample: DataFrame, rules: DataFrame) -> DataFrame:
     size = [len(x) + 1 for x in axes]
     if max(size[0] * size[1], size[0] * size[2]) > CELLS:
         raise ValueError(f"{len(ids)} rules span more than {CELLS} cells")
-    shared = sample.sparkSession.sparkContext.broadcast(axes)
+    shared = spark.sparkContext.broadcast(axes)
 
     def count(batches):
         first, second, third = shared.value
         total: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            y, *d = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            y, *d, rows = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             p = [np.searchsorted(x, v, "right") for x, v in zip((first, second, third), d, strict=True)]  # cuts at or below
             for kind, other in ((0, p[1]), (1, p[2])):
                 key = ((y.astype(np.int64) * 2 + kind) * (len(first) + 1) + p[0]) * (max(len(second), len(third)) + 1) + other
-                total.append(np.unique(key, return_counts=True))
+                total.append(_merged([(key, rows)]))
             if sum(len(t[0]) for t in total) > 1 << 22:
                 total = [_merged(total)]
         if total:
@@ -112,7 +128,8 @@ def surface(sample: DataFrame, rules: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
     width = max(len(axes[1]), len(axes[2])) + 1
-    cells = differences(sample).na.drop().mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    cells, _ = written_step(points.na.drop().mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "cells")
+    dropped_step(spark, path)
 
     def look_up(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         y, kind = divmod(int(key[0]), 2)

@@ -134,3 +134,14 @@ def test_ordinal_rules(spark, direction):
             last = [m >= r.t2 for m in own] if direction == "increasing" else [m <= r.t1 for m in own]
             assert [getattr(r, f"c{y}{k}") for k in range(3)] == [sum(first), len(own) - sum(first) - sum(last), sum(last)]
     assert (got.t1 <= got.t2).all()
+
+
+def test_rules_read_counted_cells(spark):
+    """No surface keeps the score expressions in its plan, where pushed filters would repeat them inside each other."""
+    from tercet.operators import surface as su
+    from tercet.sources import tables as T
+
+    sample = T.scored_sample(spark, "/root/testdata/sf0.001")
+    for found in (su.lattice_surface(sample, 8), su.roc_surface(sample, 8)):
+        assert "exp(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert found.count() > 10
