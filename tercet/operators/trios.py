@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tercet.operators.ranking import P, prepared
-from tercet.session import ship_library
+from tercet.session import ship_library, written_step
 
 #: Boxes along each coordinate, at most; points of a box that are aimed at.
 BOXES, BOX_POINTS = 8, 1024
@@ -32,11 +32,13 @@ TASKS = 2048
 
 def score_points(sample: DataFrame, p: list[str] = P) -> DataFrame:
     """Distinct points of each class, y, u, v (whole numbers), with their numbers of rows n."""
-    whole = prepared(sample, p).select("y", *[F.round(F.col(f"l{k}") * UNIT).cast("long").alias(f"l{k}") for k in range(3)]).na.drop()
+    logs = prepared(sample, p).select("y", *[F.round(F.col(f"l{k}") * UNIT).cast("long").alias(f"l{k}") for k in range(3)])
+    # written once: the log scores are deep expressions, and filters pushed below them would repeat them inside each other
+    whole = written_step(logs.groupBy("y", "l0", "l1", "l2").agg(F.count("*").alias("n")), "points")[0].na.drop()
     a, b, c = F.col("l0") - F.col("l1"), F.col("l0") - F.col("l2"), F.col("l1") - F.col("l2")
     y = F.col("y")
-    placed = whole.filter(y.isin(0, 1, 2)).select("y", F.when(y == 2, b).otherwise(a).alias("u"), F.when(y == 0, b).otherwise(c).alias("v"))
-    return placed.groupBy("y", "u", "v").agg(F.count("*").alias("n"))
+    placed = whole.filter(y.isin(0, 1, 2)).select("y", F.when(y == 2, b).otherwise(a).alias("u"), F.when(y == 0, b).otherwise(c).alias("v"), "n")
+    return placed.groupBy("y", "u", "v").agg(F.sum("n").alias("n"))
 
 
 def boxed(points: DataFrame) -> DataFrame:

@@ -68,3 +68,11 @@ def test_perfect_adverse_and_missing(spark):
     assert none.vus is None
     odd = spark.createDataFrame([*perfect, (99, 1, None, 0.2, 0.3)], COLUMNS)
     assert trios.exact_volume(odd).first().n_trios == 1000
+
+
+def test_points_are_written_once(spark):
+    """Boxes and trios read the counted points, not the score expressions."""
+    from tercet.operators.trios import score_points
+    from tercet.sources import tables as T
+
+    assert "exp(" not in score_points(T.scored_sample(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString().lower()
