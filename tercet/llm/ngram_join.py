@@ -368,12 +368,13 @@ def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Every row of ``docs(doc_id, text)``: doc_id, th (hash of the text), n, component_id, and the component's first document ``first``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     scanned = scan_sets(docs, n, percent)
-    sets = scanned.select("doc_id", "th", "n", "fp")
     member = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")
-    classes = sets.filter("n > 0").groupBy("fp").agg(F.min(member).alias("rep"), F.min("doc_id").alias("smallest"))
     counts_of = scanned.filter("counts is not null").select("fp", "n", "counts").dropDuplicates(["fp"])
     matrix = shared_columns(scanned)
     held = written(counts_of.join(matrix.select("fp").distinct(), "fp", "left_semi"), "blocks")
+    sets = written(scanned.select("doc_id", "th", "n", "fp"), "classes")
+    classes = sets.filter("n > 0").groupBy("fp").agg(F.min(member).alias("rep"), F.min("doc_id").alias("smallest"))
+    forget(scanned)  # its columns are the largest step, and all of it that is still needed is written
     heavy_grams = written(matrix.groupBy("gram").agg(F.count("*").alias("rows")).filter(F.col("rows") > LIGHT).select("gram"), "heavy-columns")
     light, heavy = matrix.join(heavy_grams, "gram", "left_anti"), matrix.join(heavy_grams, "gram", "left_semi")
 
