@@ -1,7 +1,8 @@
 """Trees grown from histograms: boosting with offsets, own gradients and columns of one direction, and forests.
 
 Columns are cut into at most ``bins`` bins by approximate quantiles of one pass, which only chooses where a cut may lie. Rows are
-written once as bin numbers, targets and margins. Each level of the trees in growth is one pass: tasks sum gradient, hessian and
+written once as bin numbers, targets and margins; rows equal in all of these are written as one cell with the number of its rows that
+each round draws, which teaches the same (see ``_gathered``), so that few values make few cells, however many the rows. Each level of the trees in growth is one pass: tasks sum gradient, hessian and
 rows by (tree, node, column, bin), the sums meet by slot, and the driver reads at most SLOTS of them a pass to choose the cuts; no
 row reaches it. Every BLOCK rounds the margins are written anew, so that a pass applies BLOCK rounds of trees at most.
 
@@ -11,18 +12,22 @@ teach. Without such rows the model is its start. Sampling hashes the row's key,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tercet.operators.fitting import row_arrays
 from tercet.session import dropped_step, ship_library, written_step
 
 BLOCK, SLOTS = 10, 400_000
+#: Bytes of rows that a task looks through at once for equal ones, and cells that it holds.
+CHUNK, HELD_CELLS = 32 << 20, 200_000
 
 Gradients = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -136,22 +141,28 @@ class Trees:
     rounds: list[list[Tree]]
 
     def margins(self, x: np.ndarray) -> np.ndarray:
-        bins = binned(x, self.edges)
-        out = np.tile(self.start, (len(x), 1))
+        bins, back = binned(x, self.edges), None
+        if math.prod(len(e) + 2 for e in self.edges) < 2**62:
+            code = np.zeros(len(x), np.int64)
+            for f, e in enumerate(self.edges):
+                code = code * (len(e) + 2) + bins[:, f]
+            _, first, which = np.unique(code, return_index=True, return_inverse=True)
+            if 2 * len(first) <= len(x):  # rows of the same bins are read once
+                bins, back = bins[first], which
+        out = np.tile(self.start, (len(bins), 1))
         for trees in self.rounds:
             for c, tree in enumerate(trees):
                 out[:, c] += tree.read(bins)
-        return out
+        return out if back is None else out[back]
 
     def predict(self, then: Callable[[np.ndarray], np.ndarray] | None = None, columns: list[Column] | None = None) -> Column:
         """The margins, or ``then`` of them, as an array column; ``columns`` stand in for the model's own."""
 
-        @F.pandas_udf("array<double>")
-        def read(*given: pd.Series) -> pd.Series:
-            m = self.margins(np.column_stack([g.to_numpy(float, na_value=np.nan) for g in given]))
-            return pd.Series(list(m if then is None else then(m)))
+        def read(m: np.ndarray) -> np.ndarray:
+            found = self.margins(m)
+            return found if then is None else then(found)
 
-        return read(*[c.cast("double") for c in (columns or [F.col(c) for c in self.columns])])
+        return row_arrays(read, [c.cast("double") for c in (columns or [F.col(c) for c in self.columns])])
 
 
 # ---- training rows ------------------------------------------------------------------------------
@@ -186,6 +197,19 @@ def _uniform(key: np.ndarray, seed: int) -> np.ndarray:
     return (z >> np.uint64(11)) * 2.0**-53
 
 
+def _drawn(key: np.ndarray, seed: int, share: float, poisson: bool) -> np.ndarray:
+    """How often each row is drawn: a Poisson number of mean ``share``, or 1 with this chance."""
+    if poisson:
+        u, term, out = _uniform(key, seed), np.exp(-share), np.zeros(len(key))
+        below = term
+        for k in range(1, 20):
+            out += u >= below
+            term *= share / k
+            below += term
+        return out
+    return np.ones(len(key)) if share >= 1 else (_uniform(key, seed) < share).astype(float)
+
+
 @dataclass(frozen=True)
 class _Shape:
     columns: int
@@ -193,38 +217,120 @@ class _Shape:
     outputs: int
     bins: int
 
-    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys = batch.column(2).to_numpy()
-        return _matrix(batch.column(0), self.columns, np.uint8), _matrix(batch.column(1), 1 + self.targets + self.outputs, np.float64), keys
+    def read(self, batches):
+        """Bins, values, keys and draws of rows or of cells: rows have no draws (None), cells no keys."""
+        for batch in batches:
+            single = pc.is_null(batch.column(3))
+            for part, rows in ((batch.filter(single), True), (batch.filter(pc.invert(single)), False)):
+                if part.num_rows:
+                    draws = None if rows else _matrix(part.column(3), len(part.column(3)[0].as_py()) // 8, np.float64)
+                    yield part, _matrix(part.column(0), self.columns, np.uint8), _matrix(part.column(1), 1 + self.targets + self.outputs, np.float64), part.column(2).to_numpy(zero_copy_only=False) if rows else None, draws
 
 
-def _training_rows(df: DataFrame, columns: list[str], edges: list[np.ndarray], targets: list[Column], offset: list[Column], weight: Column, key: Column) -> DataFrame:
-    p, rest = len(columns), [weight, *targets, *offset]
-    asked = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)], *[c.cast("double").alias(f"v{i}") for i, c in enumerate(rest)], F.xxhash64(key).alias("key"))
-    sound = asked.na.drop(subset=[f"v{i}" for i in range(len(rest))]).filter("v0 > 0")
+def _training_rows(df: DataFrame, columns: list[str], edges: list[np.ndarray], targets: list[Column], start: list[float], offset: list[Column] | None, weight: Column | None, key: Column | None) -> tuple[DataFrame, Callable]:
+    """The rows that teach, and what packs their batches in tasks as (b, v, key): bins, and weight, targets and margins."""
+    p, rest = len(columns), [F.lit(1.0) if weight is None else weight, *targets, *(offset or [])]
+    asked = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)], *[c.cast("double").alias(f"v{i}") for i, c in enumerate(rest)], F.xxhash64(F.lit(0) if key is None else key).alias("key"))
+    sound, upto, shifted = asked.na.drop(subset=[f"v{i}" for i in range(len(rest))]).filter("v0 > 0"), p + 1 + len(targets), bool(offset)
 
     def pack(batches):
         for batch in batches:
-            values = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[:-1]]
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([_packed(binned(np.column_stack(values[:p]), edges)), _packed(np.column_stack(values[p:])), batch.columns[-1]], names=["b", "v", "key"])
+                values = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[:-1]]
+                own = values[upto:] if shifted else [np.zeros(batch.num_rows)] * len(start)
+                margins = [o + float(s) for o, s in zip(own, start, strict=True)]
+                yield pa.RecordBatch.from_arrays([_packed(binned(np.column_stack(values[:p]), edges)), _packed(np.column_stack([*values[p:upto], *margins])), batch.columns[-1]], names=["b", "v", "key"])
+
+    return sound, pack
 
-    return sound.mapInArrow(pack, "b binary, v binary, key long")
+
+def _equal(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each group of equal rows of a byte matrix, and every row's group."""
+    words = np.zeros((len(records), -(-records.shape[1] // 8) * 8), np.uint8)
+    words[:, : records.shape[1]] = records
+    h = np.zeros(len(records), np.uint64)
+    with np.errstate(over="ignore"):
+        for w in words.view(np.uint64).T:
+            h = (h ^ w) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    if not np.array_equal(records[first][which], records):  # two groups of one hash
+        _, first, which = np.unique(np.ascontiguousarray(records).view(f"V{records.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    return first, which
+
+
+def _gathered(rows: DataFrame, pack: Callable, shape: _Shape, seeds: list[int], share: float, poisson: bool) -> tuple[DataFrame, str]:
+    """The training rows as a written table (b, v, key, n): equal rows as cells without a key, whose ``n`` tells how many of them each of
+    the ``seeds`` draws. Rows stay single where cells would not take half their bytes. A cell may come in several parts."""
+    width, spark = shape.columns + 8 * (1 + shape.targets + shape.outputs), rows.sparkSession
+
+    def batch_of(records, keys=None, n=None):
+        packed = [_packed(records[:, : shape.columns]), _packed(records[:, shape.columns :])]
+        rest = [pa.array(keys), pa.nulls(len(keys), pa.binary())] if n is None else [pa.nulls(len(n), pa.int64()), _packed(n)]
+        return pa.RecordBatch.from_arrays([*packed, *rest], names=["b", "v", "key", "n"])
+
+    def pieces(records, keys=None, n=None):
+        for at in range(0, len(records), 50_000):
+            part = slice(at, at + 50_000)
+            yield batch_of(records[part], None if keys is None else keys[part], None if n is None else n[part])
+
+    def gather(batches):
+        cells, counts, waiting, held = np.zeros((0, width), np.uint8), np.zeros((0, len(seeds))), [], 0
+        for batch in _with_end(batches):
+            if batch is not None and batch.num_rows:
+                one = np.column_stack([_matrix(batch.column(0), shape.columns, np.uint8), _matrix(batch.column(1), width - shape.columns, np.uint8)])
+                whole = len(batch.schema) > 3
+                waiting.append((one, None if whole else batch.column(2).to_numpy(), _matrix(batch.column(3), len(seeds), np.float64) if whole else None))
+                held += len(one)
+            if not held or (batch is not None and held * width < CHUNK):
+                continue
+            new = np.concatenate([w[0] for w in waiting])
+            first, which = _equal(np.concatenate([cells, new]))
+            grown = len(first) - len(cells)
+            if waiting[0][2] is None:
+                keys = np.concatenate([w[1] for w in waiting])
+                if 2 * grown * (width + 8 * len(seeds)) > len(new) * (width + 8):
+                    yield from pieces(new, keys)
+                    waiting, held = [], 0
+                    continue
+                more = np.column_stack([_drawn(keys, s, share, poisson) for s in seeds])
+            else:
+                more = np.concatenate([w[2] for w in waiting])
+            every, both = np.concatenate([cells, new]), np.concatenate([counts, more])
+            cells, counts = every[first], np.column_stack([np.bincount(which, weights=c, minlength=len(first)) for c in both.T])
+            waiting, held = [], 0
+            if len(cells) > HELD_CELLS:
+                yield from pieces(cells, n=counts)
+                cells, counts = cells[:0], counts[:0]
+        if len(cells):
+            yield from pieces(cells, n=counts)
+
+    table = "b binary, v binary, key long, n binary"
+    found, path = written_step(rows.mapInArrow(lambda batches: gather(pack(batches)), table), "boost")
+    kinds = found.agg(F.count("key").alias("rows"), F.count("n").alias("cells")).first()
+    if kinds.rows or not kinds.cells:
+        return found, path
+    met, newer = written_step(found.repartition("b", "v").mapInArrow(gather, table), "boost")
+    dropped_step(spark, path)
+    return met, newer
+
+
+def _with_end(batches):
+    yield from batches
+    yield None
 
 
 def _moved(rows: DataFrame, shape: _Shape, done: list[list[Tree]]) -> DataFrame:
     """The rows with their margins after the trees in ``done``."""
 
     def move(batches):
-        for batch in batches:
-            if batch.num_rows:
-                bins, v, _ = shape.read(batch)
-                for trees in done:
-                    for c, tree in enumerate(trees):
-                        v[:, 1 + shape.targets + c] += tree.read(bins)
-                yield pa.RecordBatch.from_arrays([batch.column(0), _packed(v), batch.column(2)], names=["b", "v", "key"])
+        for part, bins, v, _, _ in shape.read(batches):
+            for trees in done:
+                for c, tree in enumerate(trees):
+                    v[:, 1 + shape.targets + c] += tree.read(bins)
+            yield pa.RecordBatch.from_arrays([part.column(0), _packed(v), part.column(2), part.column(3)], names=["b", "v", "key", "n"])
 
-    return rows.mapInArrow(move, "b binary, v binary, key long")
+    return rows.mapInArrow(move, "b binary, v binary, key long, n binary")
 
 
 # ---- growth -------------------------------------------------------------------------------------
@@ -232,7 +338,8 @@ def _moved(rows: DataFrame, shape: _Shape, done: list[list[Tree]]) -> DataFrame:
 
 @dataclass
 class _Growing:
-    """A tree in growth: the output it explains, how its rows are drawn, the columns it may use and the bounds of its nodes."""
+    """A tree in growth: the output it explains, how its rows are drawn (``turn``: which of the cells' draws is its own), the columns it may
+    use and the bounds of its nodes."""
 
     tree: Tree
     output: int
@@ -243,16 +350,10 @@ class _Growing:
     low: np.ndarray
     high: np.ndarray
 
-    def drawn(self, key: np.ndarray) -> np.ndarray | float:
-        if self.poisson:
-            u, term, out = _uniform(key, self.seed), np.exp(-self.share), np.zeros(len(key))
-            below = term
-            for k in range(1, 20):
-                out += u >= below
-                term *= self.share / k
-                below += term
-            return out
-        return 1.0 if self.share >= 1 else (_uniform(key, self.seed) < self.share).astype(float)
+    turn: int
+
+    def drawn(self, keys: np.ndarray | None, draws: np.ndarray | None) -> np.ndarray:
+        return _drawn(keys, self.seed, self.share, self.poisson) if draws is None else draws[:, min(self.turn, draws.shape[1] - 1)]
 
 
 def _sums(rows: DataFrame, shape: _Shape, gradients: Gradients, done: list[list[Tree]], growing: list[_Growing], level: int) -> np.ndarray:
@@ -262,19 +363,16 @@ def _sums(rows: DataFrame, shape: _Shape, gradients: Gradients, done: list[list[
 
     def add(batches):
         total = np.zeros((3, len(growing), shape.columns, per))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bins, v, keys = shape.read(batch)
+        for _, bins, v, keys, draws in shape.read(batches):
             m = v[:, 1 + shape.targets :]
             for trees in done:
                 for c, tree in enumerate(trees):
                     m[:, c] += tree.read(bins)
             g, h = gradients(m, v[:, 1 : 1 + shape.targets])
             for k, grown in enumerate(growing):
-                node, w = grown.tree.nodes(bins, level) - first, grown.drawn(keys)
+                node, w = grown.tree.nodes(bins, level) - first, grown.drawn(keys, draws)
                 at = np.flatnonzero((node >= 0) & (w > 0) & (h[:, grown.output] > 0))
-                w = np.broadcast_to(w, len(keys))[at]
+                w = w[at]
                 mine, base = bins[at], node[at] * shape.bins
                 parts = (g[at, grown.output] * w * v[at, 0], h[at, grown.output] * w * v[at, 0], w)
                 for f in np.flatnonzero(grown.usable).tolist():
@@ -334,9 +432,9 @@ def _split(grown: _Growing, sums: np.ndarray, level: int, signs: np.ndarray, reg
                 (grown.low if side == 0 else grown.high)[child] = middle
 
 
-def _new(depth: int, output: int, seed: int, share: float, poisson: bool, usable: np.ndarray) -> _Growing:
+def _new(depth: int, output: int, seed: int, share: float, poisson: bool, usable: np.ndarray, turn: int) -> _Growing:
     size = 2 ** (depth + 1) - 1
-    return _Growing(Tree(depth), output, seed, share, poisson, usable, np.full(size, -np.inf), np.full(size, np.inf))
+    return _Growing(Tree(depth), output, seed, share, poisson, usable, np.full(size, -np.inf), np.full(size, np.inf), turn)
 
 
 def boost(df: DataFrame, columns: list[str], gradients: Gradients, targets: list[Column], start: list[float], *, offset: list[Column] | None = None, weight: Column | None = None,
@@ -351,13 +449,14 @@ def boost(df: DataFrame, columns: list[str], gradients: Gradients, targets: list
     signs = np.array([(monotone or {}).get(c, 0) for c in columns])
     edges, outputs = column_edges(df, columns, bins), len(start)
     shape = _Shape(len(columns), len(targets), outputs, bins)
-    margins = [F.lit(float(s)) + (offset[i] if offset else 0.0) for i, s in enumerate(start)]
-    rows, path = written_step(_training_rows(df, columns, edges, targets, margins, weight if weight is not None else F.lit(1.0), key if key is not None else F.lit(0)), "boost")
+    asked = _training_rows(df, columns, edges, targets, start, offset, weight, key)
+    seeds = [seed * 1_000_003 + turn for turn in range(max(rounds, 1))]
+    rows, path = _gathered(*asked, shape, seeds if subsample < 1 else seeds[:1], subsample, False)
     rng, kept, block = np.random.default_rng(seed), [], []
     for turn in range(rounds):
         usable = np.zeros(len(columns), bool)
         usable[rng.permutation(len(columns))[: max(1, round(colsample * len(columns)))]] = True
-        growing = [_new(depth, c, seed * 1_000_003 + turn, subsample, False, usable) for c in range(outputs)]
+        growing = [_new(depth, c, seeds[turn], subsample, False, usable, turn) for c in range(outputs)]
         for level in range(depth):
             per = max(1, SLOTS // (2**level * len(columns) * bins))
             for at in range(0, outputs, per):
@@ -383,9 +482,11 @@ def forest(df: DataFrame, columns: list[str], target: Column, *, weight: Column
     ship_library(df.sparkSession)
     edges = column_edges(df, columns, bins)
     shape = _Shape(len(columns), 1, 1, bins)
-    rows, path = written_step(_training_rows(df, columns, edges, [target], [F.lit(0.0)], weight if weight is not None else F.lit(1.0), key if key is not None else F.lit(0)), "forest")
+    asked = _training_rows(df, columns, edges, [target], [0.0], None, weight, key)
+    seeds = [seed * 1_000_003 + k for k in range(trees)]
+    rows, path = _gathered(*asked, shape, seeds, max_samples, True)
     usable, signs, rng = np.ones(len(columns), bool), np.zeros(len(columns)), np.random.default_rng(seed)
-    growing = [_new(depth, 0, seed * 1_000_003 + k, max_samples, True, usable) for k in range(trees)]
+    growing = [_new(depth, 0, seeds[k], max_samples, True, usable, k) for k in range(trees)]
     least = [0.0] * trees
     for level in range(depth):
         per = max(1, SLOTS // (2**level * len(columns) * bins))

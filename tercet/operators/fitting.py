@@ -27,11 +27,23 @@ class Fit:
     converged: bool
 
 
-def fit_rows(df: DataFrame, values: list[Column]) -> tuple[DataFrame, str]:
-    """The values as doubles, written once and read by every pass; rows with a null or NaN are left out."""
+def fit_rows(df: DataFrame, values: list[Column], counted: bool = False) -> tuple[DataFrame, str]:
+    """The values as doubles, written once and read by every pass; rows with a null or NaN are left out. ``counted``: equal rows once, with
+    their number as the last value."""
     cast = [v.cast("double") for v in values]
     named = df.select(*[F.when(~F.isnan(c), c).alias(f"v{i}") for i, c in enumerate(cast)]).na.drop()
-    return written_step(named, "fit")
+    return written_step(named.groupBy(*named.columns).agg(F.count("*").cast("double").alias(f"v{len(cast)}")) if counted else named, "fit")
+
+
+def row_arrays(read: Callable[[np.ndarray], np.ndarray], values: list[Column]) -> Column:
+    """An array column: what ``read`` makes of the matrix of the values (NaN for null), a row each."""
+
+    @F.arrow_udf("array<double>")
+    def found(*given: pa.Array) -> pa.Array:
+        m = np.ascontiguousarray(read(np.column_stack([g.to_numpy(zero_copy_only=False).astype(float) for g in given])), float)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+
+    return found(*values)
 
 
 def loss_sums(rows: DataFrame, loss: Loss, tried: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:

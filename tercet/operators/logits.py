@@ -5,11 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tercet.operators.fitting import fit_rows, loss_sums, minimise
+from tercet.operators.fitting import fit_rows, loss_sums, minimise, row_arrays
 from tercet.operators.pricing import sigmoid
 from tercet.session import dropped_step, ship_library
 
@@ -46,14 +45,12 @@ class Logit:
         """``df`` with ``conversion`` and ``elasticity``, the slope in log price times the share that does not convert; null without a column."""
         model = self
 
-        @F.pandas_udf("array<double>")
-        def read(*given: pd.Series) -> pd.Series:
-            v = np.column_stack([g.to_numpy(float, na_value=np.nan) for g in given])
+        def read(v: np.ndarray) -> np.ndarray:
             slope = -(model.weights[-1 - len(model.varying)] + _standard(model, v)[:, model.varying] @ model.weights[len(model.weights) - len(model.varying) :])
-            return pd.Series(list(np.column_stack([model.constant + _design(model, v) @ model.weights, slope])))
+            return np.column_stack([model.constant + _design(model, v) @ model.weights, slope])
 
         values: list[Column] = [F.col(c).cast("double") for c in (*self.columns, self.price)]
-        moved = df.withColumn("__m", read(*values))
+        moved = df.withColumn("__m", row_arrays(read, values))
         whole = F.lit(True)
         for v in values:
             whole = whole & v.isNotNull()
@@ -72,21 +69,25 @@ def _design(model: Logit, v: np.ndarray) -> np.ndarray:
 
 
 def logit(df: DataFrame, columns: list[str], price: str, bought: str, curved: tuple[str, ...] = (), varying: tuple[str, ...] = (), c: float = 1.0, knots: int = 5) -> Logit:
-    """Ridge logistic regression (1 / (2 ``c``) times the squared weights of the standardised design). Rows with a null do not teach."""
+    """Ridge logistic regression (1 / (2 ``c``) times the squared weights of the standardised design). Rows with a null do not teach. Equal rows
+    are counted once before the passes, which see each with its number."""
     ship_library(df.sparkSession)
-    rows, path = fit_rows(df, [*[F.col(x) for x in columns], F.col(price), F.col(bought)])
+    rows, path = fit_rows(df, [*[F.col(x) for x in columns], F.col(price), F.col(bought)], counted=True)
     p = len(columns)
-    s = rows.agg(F.count("*").alias("n"), *[f(F.col(f"v{i}")).alias(f"{n}{i}") for i in range(p) for n, f in (("m", F.avg), ("s", F.stddev_pop), ("l", F.min), ("h", F.max))]).first()
+    k = F.col(f"v{p + 2}")
+    s = rows.agg(F.sum(k).alias("n"), *[f.alias(f"{n}{i}") for i in range(p) for n, f in (("m", F.sum(k * F.col(f"v{i}")) / F.sum(k)), ("l", F.min(f"v{i}")), ("h", F.max(f"v{i}")))]).first()
     if not s.n:
         raise ValueError("no rows without a null")
-    m, sd, low, high = (np.array([s[f"{n}{i}"] for i in range(p)], float) for n in "mslh")
+    m, low, high = (np.array([s[f"{n}{i}"] for i in range(p)], float) for n in "mlh")
+    spread = rows.agg(*[F.sqrt(F.sum(k * (F.col(f"v{i}") - float(m[i])) ** 2) / F.sum(k)).alias(f"s{i}") for i in range(p)]).first()
+    sd = np.array(spread, float)
     sd[sd <= 1e-12] = 1.0
     raw = Logit(columns, price, [columns.index(x) for x in curved], [columns.index(x) for x in varying], knots, low, high, m, sd, 0.0, np.zeros(0))
     size = p + len(curved) * (knots + 1) + 1 + len(varying)
 
     def spreads(_: np.ndarray, v: np.ndarray) -> tuple[float, np.ndarray]:
-        x = _design(raw, v)
-        return float(len(v)), np.concatenate([x.sum(0), (x * x).sum(0)])
+        x, k = _design(raw, v), v[:, -1]
+        return float(k.sum()), np.concatenate([k @ x, k @ (x * x)])
 
     n, both = loss_sums(rows, spreads, [np.zeros(2 * size)])[0]
     mean = both[:size] / n
@@ -94,10 +95,10 @@ def logit(df: DataFrame, columns: list[str], price: str, bought: str, curved: tu
     scale[scale <= 1e-9 * (1 + np.abs(mean))] = 1.0
 
     def loss(w: np.ndarray, v: np.ndarray) -> tuple[float, np.ndarray]:
-        x, y = (_design(raw, v) - mean) / scale, v[:, -1]
+        x, y, k = (_design(raw, v) - mean) / scale, v[:, -2], v[:, -1]
         eta = x @ w[1:] + w[0]
-        miss = 0.5 * (1 + np.tanh(eta / 2)) - y
-        return float((np.logaddexp(0, eta) - y * eta).sum()), np.concatenate([[miss.sum()], x.T @ miss])
+        miss = k * (0.5 * (1 + np.tanh(eta / 2)) - y)
+        return float(k @ (np.logaddexp(0, eta) - y * eta)), np.concatenate([[miss.sum()], x.T @ miss])
 
     fit = minimise(rows, loss, np.zeros(size + 1), np.repeat([0.0, 0.5 / c], [1, size]), tolerance=1e-11)
     dropped_step(df.sparkSession, path)

@@ -135,6 +135,11 @@ def vus_ordinal(sample: DataFrame, marker: str, first: int, middle: int, last: i
 PERMS = [(0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)]
 
 
+def _nine(c: Column) -> Column:
+    """Nine decimals. ``round`` would make a decimal of every sum, which is most of the work on trios."""
+    return F.rint(c * 1e9) / 1e9
+
+
 def sampled_trios(sample: DataFrame, repeats: int = 8, per_class: int = 2, seed: int = 17, p: list[str] = P) -> DataFrame:
     """A seeded random sample of trios (one row per class) of all rows: the six score sums, with the part they were drawn in.
 
@@ -147,7 +152,7 @@ def sampled_trios(sample: DataFrame, repeats: int = 8, per_class: int = 2, seed:
     dealt = logs.select("y", "row_id", "l0", "l1", "l2", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat")).withColumn("part", F.pmod(F.xxhash64("row_id", "repeat", F.lit(seed)), F.lit(parts)))
     x, y, z = (dealt.filter(F.col("y") == c).select("repeat", "part", *[F.col(f"l{k}").alias(f"{n}{k}") for k in range(3)]) for c, n in ((0, "x"), (1, "y"), (2, "z")))
     trios = x.join(y, ["repeat", "part"]).join(z, ["repeat", "part"])
-    return trios.select("repeat", "part", *[F.round(F.col(f"x{a}") + F.col(f"y{b}") + F.col(f"z{c}"), 9).alias(f"s{a}{b}{c}") for a, b, c in PERMS])
+    return trios.select("repeat", "part", *[_nine(F.col(f"x{a}") + F.col(f"y{b}") + F.col(f"z{c}")).alias(f"s{a}{b}{c}") for a, b, c in PERMS])
 
 
 def every_trio(sample: DataFrame, p: list[str] = P) -> DataFrame:
@@ -155,7 +160,7 @@ def every_trio(sample: DataFrame, p: list[str] = P) -> DataFrame:
     logs = prepared(sample, p)
     x, y, z = (logs.filter(F.col("y") == c).select(*[F.col(f"l{k}").alias(f"{n}{k}") for k in range(3)]) for c, n in ((0, "x"), (1, "y"), (2, "z")))
     trios = x.crossJoin(y).crossJoin(z).withColumns({"repeat": F.lit(1), "part": F.monotonically_increasing_id()})
-    return trios.select("repeat", "part", *[F.round(F.col(f"x{a}") + F.col(f"y{b}") + F.col(f"z{c}"), 9).alias(f"s{a}{b}{c}") for a, b, c in PERMS])
+    return trios.select("repeat", "part", *[_nine(F.col(f"x{a}") + F.col(f"y{b}") + F.col(f"z{c}")).alias(f"s{a}{b}{c}") for a, b, c in PERMS])
 
 
 def _with_error(trios: DataFrame, hits: dict[str, Column]) -> DataFrame:

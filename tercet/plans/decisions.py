@@ -418,8 +418,18 @@ def _(spark, d):
 # ---- demand models with controls ---------------------------------------------------------------
 
 
+def frame_step(spark, d):
+    """The features and where they lie. They and their panel are written once: features read the panel in five branches, and fits pass
+    over the features many times, where each pass would join, group and shuffle the lines anew."""
+    held, place = written_step(panel(spark, d), "panel")
+    found = written_step(fe.add_features(held), "frame")
+    dropped_step(spark, place)
+    return found
+
+
 def frame(spark, d):
-    return fe.add_features(panel(spark, d))
+    """The written features, which the result may still read."""
+    return frame_step(spark, d)[0]
 
 
 @query("pooled_controls", None)
@@ -472,16 +482,21 @@ def _(spark, d):
 _GROW = {"rounds": 20, "depth": 3, "rate": 0.2, "subsample": 0.8}
 
 
+def offers_of(spark, d):
+    """What conversion models read of the price test, written once for their passes; the result still reads it."""
+    return written_step(pt(spark, d).select("row_id", "arm", F.ln("m").alias("log_m"), "bought", "score", "gain"), "offers")[0]
+
+
 @query("conversion_boosted", None)
 def _(spark, d):
-    offers = pt(spark, d).withColumn("log_m", F.ln("m"))
+    offers = offers_of(spark, d)
     fit = le.conversion(offers, ["score", "gain"], ("log_m",), "bought", F.col("row_id"), **_GROW)
     return fit.applied(offers).select("row_id", "conversion", "elasticity")
 
 
 @query("arm_effects", None)
 def _(spark, d):
-    psi = le.augmented_arms(pt(spark, d), ["score", "gain"], "bought", "arm", [1 / 3] * 3, F.col("row_id"), **_GROW)
+    psi = le.augmented_arms(offers_of(spark, d), ["score", "gain"], "bought", "arm", [1 / 3] * 3, F.col("row_id"), **_GROW)
     return le.arm_effects(psi, ["score", "gain"], list(M), F.col("row_id"), **_GROW).select("row_id", "psi0", "psi1", "psi2", "s0", "s1", "s2", "elasticity")
 
 
@@ -559,13 +574,13 @@ def _(spark, d):
 
 @query("conversion_linear", None)
 def _(spark, d):
-    offers = pt(spark, d).withColumn("log_m", F.ln("m"))
+    offers = offers_of(spark, d)
     return lo.logit(offers, ["score", "gain"], "log_m", "bought").applied(offers).select("row_id", "conversion", "elasticity")
 
 
 @query("conversion_curved", None)
 def _(spark, d):
-    offers = pt(spark, d).withColumn("log_m", F.ln("m"))
+    offers = offers_of(spark, d)
     fit = lo.logit(offers, ["score", "gain"], "log_m", "bought", curved=("score",), varying=("score", "gain"))
     return fit.applied(offers).select("row_id", "conversion", "elasticity")
 
@@ -595,8 +610,8 @@ def _(spark, d):
 
 
 def on_written(spark, d, work):
-    """What ``work`` finds on the frame, written once for all its passes; what it finds must no longer read it."""
-    held, place = written_step(frame(spark, d), "frame")
+    """What ``work`` finds on the frame; what it finds must no longer read it."""
+    held, place = frame_step(spark, d)
     found = work(held)
     dropped_step(spark, place)
     return found

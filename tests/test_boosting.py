@@ -203,3 +203,18 @@ def test_price_levels(spark, constraint):
     assert out.groupby("level").size().between(990, 1010).all()
     if constraint != "none":
         assert (out.d0 >= out.d1 - 1e-9).all() and (out.d1 >= out.d2 - 1e-9).all()
+
+
+def test_equal_rows_teach_as_cells(spark, monkeypatch):
+    """Many rows of few values: passes read cells, and the trees are those of single rows."""
+    rows = spark.range(6000).select("id", *[(F.hash("id", F.lit(k)) % m).cast("double").alias(c) for k, m, c in ((1, 3, "a"), (2, 2, "b"), (3, 2, "y"))])
+    shape = bo._Shape(2, 1, 1, 64)
+    asked = bo._training_rows(rows, ["a", "b"], bo.column_edges(rows, ["a", "b"], 64), [F.col("y")], [0.0], None, None, F.col("id"))
+    held, _ = bo._gathered(*asked, shape, list(range(5)), 0.8, False)
+    assert held.filter("key is not null").count() == 0 and held.count() <= 5 * 3 * 3 * 4
+    options = {"rounds": 12, "depth": 2, "rate": 0.5, "subsample": 0.8, "key": F.col("id")}
+    few = bo.boost(rows, ["a", "b"], bo.squared, [F.col("y")], [0.0], **options)
+    monkeypatch.setattr(bo, "_gathered", lambda rows, pack, *rest: bo.written_step(rows.mapInArrow(pack, "b binary, v binary, key long").withColumn("n", F.lit(None).cast("binary")), "single"))
+    single = bo.boost(rows, ["a", "b"], bo.squared, [F.col("y")], [0.0], **options)
+    got = rows.select(few.predict()[0].alias("f"), single.predict()[0].alias("s")).toPandas()
+    assert np.allclose(got.f, got.s, atol=1e-9)
