@@ -23,17 +23,30 @@ def clean_transactions(txn: DataFrame) -> DataFrame:
 
 
 def build_panel(clean: DataFrame, min_weeks: int = 20, min_weekly_units: int = 1) -> DataFrame:
-    """Product-weeks with units, revenue, line and customer counts, and three price measures."""
+    """Product-weeks with units, revenue, line and customer counts, and three price measures.
+
+    A line gives its price and its customer apart; equal ones of a product-week are one row each, with the number of lines. Mode and
+    median are read from counted prices: kept as sets beside a distinct count, they would be handed on once a product, week and customer.
+    """
+    keys = ("stock_code", "week")
+    sold = clean.filter(F.col("stock_code").isNotNull() & F.col("week").isNotNull())
+    nothing = F.lit(None)
+    price = F.struct(F.col("price").alias("price"), nothing.cast(clean.schema["customer"].dataType).alias("customer"), F.col("quantity").alias("quantity"))
+    customer = F.struct(nothing.cast(clean.schema["price"].dataType).alias("price"), F.col("customer").alias("customer"), nothing.cast(clean.schema["quantity"].dataType).alias("quantity"))
+    apart = sold.select(*keys, F.inline(F.array(price, customer)))
+    value = F.sum(F.col("quantity") * F.col("price")).alias("revenue")
+    distinct = apart.groupBy(*keys, "price", "customer").agg(F.sum("quantity").alias("qty"), value, F.count("price").alias("n"))
+    prices = distinct.groupBy(*keys, "price").agg(F.sum("qty").alias("qty"), F.sum("revenue").alias("revenue"), F.sum("n").alias("n"), F.count("customer").alias("n_customers"))
+    common = F.min(F.when(F.col("price").isNotNull(), F.struct((-F.col("n")).alias("n"), "price")))
     weekly = (
-        clean.filter(F.col("stock_code").isNotNull() & F.col("week").isNotNull())
-        .groupBy("stock_code", "week")
+        prices.groupBy(*keys)
         .agg(
-            F.sum("quantity").alias("qty"),
-            F.sum(F.col("quantity") * F.col("price")).alias("revenue"),
-            F.count("*").alias("n_lines"),
-            F.countDistinct("customer").alias("n_customers"),
-            F.mode("price", True).alias("price_modal"),
-            F.median("price").alias("price_median"),
+            F.sum("qty").alias("qty"),
+            F.sum("revenue").alias("revenue"),
+            F.sum("n").alias("n_lines"),
+            F.sum("n_customers").alias("n_customers"),
+            common["price"].alias("price_modal"),
+            F.percentile("price", F.lit(0.5), F.col("n")).alias("price_median"),
         )
         .withColumn("price_unitvalue", F.col("revenue") / F.col("qty"))
         .filter(F.col("qty") >= min_weekly_units)
