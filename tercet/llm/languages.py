@@ -1,9 +1,10 @@
 """Language identification by Kneser-Ney letter models (see ``charmodel``).
 
 One pass over the labelled training documents counts the four-letter grams of each language, in each of
-two halves of the documents, inside tasks; the sums over all of them are one table. The models' numbers
-of entries are bounded by MODEL_GRAMS (over all languages): where there are more, the rarest grams, by
-a count found from a histogram, are left to the lower orders; no document is left out. A prediction is
+two halves of the documents, inside tasks; the sums over all of them are one table, of which no gram is
+left out. Up to MODEL_GRAMS of them (over all languages) the models are broadcast. Beyond that the models
+stay tables (see ``gramtables``): the most frequent grams' probabilities are broadcast, and documents meet
+all others by joins, with the same results. A prediction is
 the language of lowest cross-entropy a symbol. Its score is a softmax of the entropies whose sharpness
 is calibrated out of fold: about CALIBRATION_ROWS labelled training documents, chosen by a hash, are
 scored by models of the half that they are not in. The same rows give the score below which a
@@ -27,10 +28,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tercet.llm.charmodel import Languages, grams
+from tercet.llm.gramtables import Tables, entropies
 from tercet.llm.common import release_memory, small_batches, table, written
 from tercet.llm.textkernel import blocks
 
 FOLDS, HELD_OUT = 4, 2
+#: Grams of models that are broadcast, and of the frequent ones that are where models are tables.
 MODEL_GRAMS = 2_000_000
 CALIBRATION_ROWS, RISK = 10_000, 0.01
 #: Grams that a task holds before it hands them on.
@@ -109,12 +112,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def _fitted(rows: DataFrame) -> Languages:
-    """Models of ``rows(lang, gram, n)``, of the most frequent grams."""
-    sizes = rows.groupBy("n").count().orderBy(F.col("n").desc()).toArrow()  # one row a distinct count
-    upto = np.cumsum(sizes.column("count").to_numpy())
-    if len(upto) and upto[-1] > MODEL_GRAMS:
-        keep = int(np.searchsorted(upto, MODEL_GRAMS, "right"))
-        rows = rows.filter(F.col("n") >= (sizes.column("n")[max(keep - 1, 0)].as_py()))
+    """Models of ``rows(lang, gram, n)``, MODEL_GRAMS of them at most."""
     got = rows.select("lang", "gram", "n").toArrow()
     langs = got.column("lang").combine_chunks().dictionary_encode()
     which, keys, counts = langs.indices.to_numpy(), got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()
@@ -154,12 +152,16 @@ class Calibration:
         return found
 
 
+def _calibrating(docs: DataFrame) -> DataFrame:
+    own = labelled(docs)
+    share = min(1.0, CALIBRATION_ROWS / max(1, own.count()))
+    return own.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def calibrated(docs: DataFrame, halves: tuple[Languages, Languages], names: list[str]) -> Calibration:
     """From training documents, each scored by the models of the other half."""
-    spark, own = docs.sparkSession, labelled(docs)
-    share = min(1.0, CALIBRATION_ROWS / max(1, own.count()))
-    chosen = own.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    shared = spark.sparkContext.broadcast(halves)
+    chosen = _calibrating(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(halves)
 
     def score(batches):
         models = shared.value
@@ -173,6 +175,11 @@ def calibrated(docs: DataFrame, halves: tuple[Languages, Languages], names: list
         release_memory()
 
     got = chosen.select("text", "lang", "half").mapInArrow(score, "lang string, symbols double, bits array<double>").filter(F.col("lang").isin(names)).toArrow()  # about CALIBRATION_ROWS
+    return _scale(got, names)
+
+
+def _scale(got: pa.Table, names: list[str]) -> Calibration:
+    """From ``lang``, ``symbols`` and ``bits`` of documents."""
     if not got.num_rows:
         return Calibration()
     bits = np.array(got.column("bits").to_pylist()).reshape(got.num_rows, len(names))
@@ -180,45 +187,82 @@ def calibrated(docs: DataFrame, halves: tuple[Languages, Languages], names: list
     return Calibration.fitted(bits, got.column("symbols").to_numpy(), np.array([place[k] for k in got.column("lang").to_pylist()]))
 
 
-def fitted(docs: DataFrame) -> tuple[Languages, Calibration]:
-    """The models of all training documents, and how to score by them."""
-    found = counted(docs)
-    whole = _fitted(found.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+def fitted(found: DataFrame, docs: DataFrame) -> tuple[Languages, Calibration]:
+    """The models of all training documents, by their counts, and how to score by them."""
+    whole = _fitted(_of_all(found))
     halves = tuple(_fitted(found.filter(F.col("half") == k)) for k in (0, 1))
     if halves[0].names != whole.names or halves[1].names != whole.names:  # a language of one half alone can't be scored by the other
         return whole, Calibration()
     return whole, calibrated(docs, halves, whole.names)
 
 
+def _of_all(found: DataFrame) -> DataFrame:
+    return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def fitted_tables(found: DataFrame, docs: DataFrame) -> tuple[Tables, Calibration]:
+    """As :func:`fitted`, the models left as tables."""
+    whole = Tables(_of_all(found))
+    halves = [Tables(found.filter(F.col("half") == k)) for k in (0, 1)]
+    if any(m.names != whole.names for m in halves):
+        return whole, Calibration()
+    chosen = _calibrating(docs)
+    got = [entropies(chosen.filter(F.col("half") == 1 - k).select("text", "lang"), m).filter("symbols > 0").select("lang", F.col("symbols").cast("double").alias("symbols"), "bits").toArrow() for k, m in enumerate(halves)]
+    return whole, _scale(pa.concat_tables(got), whole.names)
+
+
+def _decided(ids: list, bits: np.ndarray, symbols: np.ndarray, names: list[str], scale: Calibration) -> pa.RecordBatch:
+    """Result rows from each document's bits a symbol under each language."""
+    n, labels = len(bits), np.array([*names, UNKNOWN], object)
+    known = (symbols > 0) & bool(names)
+    which, score, least = np.full(n, len(names)), np.zeros(n), np.full(n, np.nan)
+    if known.any():
+        which[known] = bits[known].argmin(axis=1)
+        score[known] = scale.scores(bits[known], symbols[known].astype(np.float64))
+        least[known] = bits[known].min(axis=1)
+    out = [ids, [fold(i) % FOLDS == HELD_OUT for i in ids], labels[which].tolist(), score, ~known | (score < scale.least)]
+    return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.bool_(), pa.string(), pa.float64(), pa.bool_()), strict=True)), pa.array(least, mask=~known)], names=["doc_id", "held_out", "lang_pred", "score", "rejected", "bits"])
+
+
 def predicted(docs: DataFrame, model: Languages, scale: Calibration) -> DataFrame:
     """One row a document: doc_id, held_out, lang_pred, score, rejected and the bits a symbol."""
     shared = docs.sparkSession.sparkContext.broadcast((model, scale))
 
     def predict(batches):
         model, scale = shared.value
-        names = np.array([*model.names, UNKNOWN], object)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for low, high, data, off in blocks(batch.column("text")):
-                bits = model.entropies(*(found := grams(data, off)))
-                n = len(bits)
-                known = (found[1] > 0) & bool(model.names)
-                which, score, least = np.full(n, len(model.names)), np.zeros(n), np.full(n, np.nan)
-                if known.any():
-                    which[known] = bits[known].argmin(axis=1)
-                    score[known] = scale.scores(bits[known], found[1][known].astype(np.float64))
-                    least[known] = bits[known].min(axis=1)
-                out = [ids[low:high], [fold(i) % FOLDS == HELD_OUT for i in ids[low:high]], names[which].tolist(), score, ~known | (score < scale.least)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.bool_(), pa.string(), pa.float64(), pa.bool_()), strict=True)), pa.array(least, mask=~known)], names=["doc_id", "held_out", "lang_pred", "score", "rejected", "bits"])
+                found = grams(data, off)
+                yield _decided(ids[low:high], model.entropies(*found), found[1], model.names, scale)
         release_memory()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(predict, RESULT)
+    return _texts(docs).mapInArrow(predict, RESULT)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def predicted_by_tables(docs: DataFrame, model: Tables, scale: Calibration) -> DataFrame:
+    """As :func:`predicted`, by models that are tables."""
+    names, shared = model.names, docs.sparkSession.sparkContext.broadcast(scale)
+
+    def decide(batches):
+        for batch in batches:
+            bits = np.array([b if b is not None else [np.nan] * len(names) for b in batch.column("bits").to_pylist()], np.float64).reshape(batch.num_rows, len(names))
+            yield _decided(batch.column("doc_id").to_pylist(), bits, batch.column("symbols").to_numpy(), names, shared.value)
+
+    return entropies(_texts(docs), model, MODEL_GRAMS).select("doc_id", "symbols", "bits").mapInArrow(decide, RESULT)
 
 
 def identified(docs: DataFrame) -> DataFrame:
     """Fit on the labelled documents outside the held-out fold, then predict all."""
     small_batches(docs.sparkSession)
-    return predicted(docs, *fitted(docs))
+    found = counted(docs)
+    if _of_all(found).count() > MODEL_GRAMS:
+        return predicted_by_tables(docs, *fitted_tables(found, docs))
+    return predicted(docs, *fitted(found, docs))
 
 
 def op13_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
