@@ -86,65 +86,80 @@ class Model:
         self._ready, self._held = None, self._no_room()
 
     def loss_and_gradients(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        p, root = self.p, WIDTH**0.5
-        x = p["E"][inputs]
-        xq = x[:, HEAD:]
-        q, k, v = xq @ p["Wq"], x @ p["Wk"], x @ p["Wv"]
-        s = q @ k.transpose(0, 2, 1) / root + _bias(p["R"]) + np.where(inputs == PAD, np.float32(-1e4), np.float32(0))[:, None, :]
-        s -= s.max(axis=2, keepdims=True)
-        a = np.exp(s)
-        a /= a.sum(axis=2, keepdims=True)
-        o = a @ v
-        h = xq + o @ p["Wo"]
-        z = h @ p["W1"] + p["b1"]
+        """Query and key weights act as one product, value and output weights as another; their gradients follow from the products'."""
+        p, root, n = self.p, np.float32(WIDTH**0.5), targets.size
+        ones = np.ones(SIDE, np.float32)  # a product sums rows of few columns faster than a reduction
+        meets, moves = p["Wq"] @ p["Wk"].T / root, p["Wv"] @ p["Wo"]
+        x = p["E"].take(inputs, axis=0)
+        flat_x, xq = x.reshape(-1, WIDTH), np.ascontiguousarray(x[:, HEAD:]).reshape(n, WIDTH)
+        qa = (xq @ meets).reshape(-1, STEP, WIDTH)
+        vo = (flat_x @ moves).reshape(x.shape)
+        s = qa @ x.transpose(0, 2, 1)
+        held = (inputs != PAD)[:, None, :]
+        if max(s.max(), -s.min()) + np.abs(p["R"]).max() > EXP_RANGE:
+            s += _bias(p["R"])
+            s += np.where(held, np.float32(0), np.float32(-1e4))
+            s -= s.max(axis=2, keepdims=True)
+            a = np.exp(s, out=s)
+        else:
+            a = np.exp(s, out=s)
+            a *= np.exp(_bias(p["R"]))
+            a *= held
+        a /= (a @ ones)[:, :, None]
+        h = (a @ vo).reshape(n, WIDTH)
+        h += xq
+        z = h @ p["W1"]
+        z += p["b1"]
         r = np.maximum(z, 0)
-        h2 = h + r @ p["W2"]
-        n = targets.size
-        flat, goal, prev = h2.reshape(n, WIDTH), targets.reshape(n), inputs[:, HEAD:].reshape(n)
-        weight = (goal != PAD).astype(np.float32)
-        c, m = goal // SIDE, goal % SIDE
-        lc = flat @ p["Uc"] + self.classes[prev]
-        pc = np.exp(lc - lc.max(axis=1, keepdims=True))
-        pc /= pc.sum(axis=1, keepdims=True)
-        by_class = np.argsort(c, kind="stable")
-        edges = np.searchsorted(c[by_class], np.arange(SIDE + 1))
-        groups = [(one, by_class[low:high]) for one, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if low < high]
-        lm = self.members[c, prev].astype(flat.dtype)
-        for one, rows_ in groups:
-            lm[rows_] += flat[rows_] @ p["Um"][one]
-        pm = np.exp(lm - lm.max(axis=1, keepdims=True))
-        pm /= pm.sum(axis=1, keepdims=True)
-        rows = np.arange(n)
-        total = weight.sum()
-        loss = -float((weight * (np.log(pc[rows, c] + 1e-30) + np.log(pm[rows, m] + 1e-30))).sum() / total)
-        pc[rows, c] -= 1
-        pm[rows, m] -= 1
-        pc *= (weight / total)[:, None]
-        pm *= (weight / total)[:, None]
-        g = {"Uc": flat.T @ pc}
-        g["Um"] = np.zeros_like(p["Um"])
-        dh2 = pc @ p["Uc"].T
-        for one, rows_ in groups:
-            g["Um"][one] = flat[rows_].T @ pm[rows_]
-            dh2[rows_] += pm[rows_] @ p["Um"][one].T
-        dh2 = dh2.reshape(h2.shape)
-        g["W2"] = r.reshape(n, HIDDEN).T @ dh2.reshape(n, WIDTH)
-        dz = (dh2 @ p["W2"].T) * (z > 0)
-        g["W1"], g["b1"] = h.reshape(n, WIDTH).T @ dz.reshape(n, HIDDEN), dz.sum(axis=(0, 1))
-        dh = dh2 + dz @ p["W1"].T
-        g["Wo"] = o.reshape(n, WIDTH).T @ dh.reshape(n, WIDTH)
-        do = dh @ p["Wo"].T
-        da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+        flat = r @ p["W2"]
+        flat += h
+        goal = targets.reshape(n)
+        order = np.argsort((goal // SIDE).astype(np.uint8), kind="stable")
+        order = order[goal[order] != PAD]
+        goal, prev, own = goal[order], inputs[:, HEAD:].reshape(n)[order], flat.take(order, axis=0)
+        c, m, rows, total = goal // SIDE, goal % SIDE, np.arange(len(goal)), np.float32(len(goal))
+        edges = np.searchsorted(c, np.arange(SIDE + 1))
+        groups = [(one, slice(low, high)) for one, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if low < high]
+        pc = own @ p["Uc"]
+        pc += self.classes.take(prev, axis=0)
+        pm = self.members.reshape(-1, SIDE).take(c * VOCAB + prev, axis=0).astype(own.dtype, copy=False)
+        for one, part in groups:
+            pm[part] += own[part] @ p["Um"][one]
+        loss = 0.0
+        for each, at in ((pc, c), (pm, m)):
+            each -= each.max(axis=1, keepdims=True)
+            np.exp(each, out=each)
+            each /= (each @ ones)[:, None]
+            loss -= float(np.log(each[rows, at] + np.float32(1e-30)).sum(dtype=np.float64)) / max(len(goal), 1)
+            each[rows, at] -= 1
+            each /= max(total, np.float32(1))
+        g = {"Uc": own.T @ pc, "Um": np.zeros_like(p["Um"])}
+        back = pc @ p["Uc"].T
+        for one, part in groups:
+            np.matmul(own[part].T, pm[part], out=g["Um"][one])
+            back[part] += pm[part] @ p["Um"][one].T
+        dh2 = np.zeros((n, WIDTH), own.dtype)
+        dh2[order] = back
+        g["W2"] = r.T @ dh2
+        dz = dh2 @ p["W2"].T
+        dz *= z > 0
+        g["W1"], g["b1"] = h.T @ dz, dz.sum(axis=0)
+        dh2 += dz @ p["W1"].T
+        dh = dh2.reshape(-1, STEP, WIDTH)
+        ds = dh @ vo.transpose(0, 2, 1)
+        dvo = (a.transpose(0, 2, 1) @ dh).reshape(-1, WIDTH)
+        ds -= ((ds * a) @ ones)[:, :, None]
+        ds *= a
         i, j = np.arange(STEP)[:, None] + HEAD, np.arange(SPAN)[None, :]
-        g["R"] = np.zeros_like(p["R"])
-        summed = ds.sum(axis=0)
-        np.add.at(g["R"], np.clip(i - j, 0, SPAN - 1)[j <= i], summed[j <= i])
-        dq, dk = ds @ k / root, ds.transpose(0, 2, 1) @ q / root
-        g["Wq"] = xq.reshape(n, WIDTH).T @ dq.reshape(n, WIDTH)
-        g["Wk"], g["Wv"] = (x.reshape(-1, WIDTH).T @ d.reshape(-1, WIDTH) for d in (dk, dv))
-        dx = dk @ p["Wk"].T + dv @ p["Wv"].T
-        dx[:, HEAD:] += dh + dq @ p["Wq"].T
+        g["R"] = np.bincount((i - j)[j <= i], weights=ds.sum(axis=0)[j <= i], minlength=SPAN).astype(np.float32)
+        dqa = (ds @ x).reshape(n, WIDTH)
+        dx = ds.transpose(0, 2, 1) @ qa
+        dmeets, dmoves = xq.T @ dqa / root, flat_x.T @ dvo
+        g["Wq"], g["Wk"] = dmeets @ p["Wk"], dmeets.T @ p["Wq"]
+        g["Wv"], g["Wo"] = dmoves @ p["Wo"].T, p["Wv"].T @ dmoves
+        dx += (dvo @ moves.T).reshape(x.shape)
+        dh2 += dqa @ meets.T
+        dx[:, HEAD:] += dh
         cell = inputs.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
         g["E"] = np.bincount(cell.ravel(), weights=dx.ravel(), minlength=VOCAB * WIDTH).reshape(VOCAB, WIDTH).astype(p["E"].dtype)
         return loss, g
@@ -169,9 +184,11 @@ class Model:
         """One further step of Adam, with the moments that :meth:`train` left."""
         first, second = self.moments
         for k, g in self.loss_and_gradients(inputs, targets)[1].items():
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.99 * second[k] + 0.01 * g * g
-            self.p[k] = self.p[k] - (rate * first[k] / (np.sqrt(second[k]) + 1e-8)).astype(np.float32)
+            first[k] *= np.float32(0.9)
+            first[k] += np.float32(0.1) * g
+            second[k] *= np.float32(0.99)
+            second[k] += np.float32(0.01) * g * g
+            self.p[k] = self.p[k] - np.float32(rate) * first[k] / (np.sqrt(second[k]) + np.float32(1e-8))
         self._ready = None
 
     def ready(self) -> tuple:

@@ -2,11 +2,9 @@
 
 Words are runs of bytes outside white space, A-Z lower-cased. Two passes read the texts. The first
 sums the bigrams of subword ids over all training documents, which are the model's offsets (see
-``attention``), and writes windows to learn from: of each document one in WINDOW_SHARE, chosen by a
-seeded number, and at least one. (All of them would cost some 2,500 CPU seconds a GB.) The attention
+``attention``), and writes all of their windows in a seeded order inside each block. The attention
 weights start from gradient steps on windows of SAMPLE_DOCS training documents chosen by a hash (a
-bounded start, made by one task) and then learn from the written windows of every training document:
-each task steps through its share from the same start, and the tasks' weights are averaged by their
+bounded start, made by one task) and then learn from every window of every training document: each task steps through its share from the same start, and the tasks' weights are averaged by their
 windows. Steps grow with the input; only sums by weight reach the driver.
 
 The second pass scores every token of every document once and takes the documents in lots of about
@@ -34,15 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tercet.llm.attention import BEGIN, END, SPAN, STEP, SUBWORDS, VOCAB, Model, windows
-from tercet.llm.common import new_path, release_memory, small_batches, table, written
+from tercet.llm.common import forget, new_path, release_memory, small_batches, table, written
 from tercet.llm.textkernel import Words, blocks
 
 LOT_BYTES = 24 << 20
 SAMPLE_DOCS, TRAIN_STEPS = 1000, 1200
 #: Windows of the sample that its task keeps, at random, at most (the start alone; nothing else is bounded).
 SAMPLE_WINDOWS = 100_000
-#: One window in so many of each training document gives gradients.
-WINDOW_SHARE = 32
+#: One window in so many of each training document gives gradients: all of them do.
+WINDOW_SHARE = 1
 #: Windows of a step in the whole pass, and the unit in which weights are summed (whole numbers, in any order).
 STEP_WINDOWS, UNIT = 192, 1 << 20
 FOLDS, HELD_OUT = 7, 2
@@ -208,7 +206,9 @@ def read_through(docs: DataFrame, ranks: str) -> tuple[np.ndarray, DataFrame]:
     met = found.filter("key is not null").groupBy("key").agg(F.sum("seen").alias("seen")).toArrow()
     out = np.zeros(VOCAB * VOCAB)
     out[met.column("key").to_numpy()] = met.column("seen").to_numpy()
-    return out.reshape(VOCAB, VOCAB), found.filter("n is not null").select("n", "held")
+    chosen = found.filter("n is not null").select("n", "held")
+    chosen._tercet_path = found._tercet_path
+    return out.reshape(VOCAB, VOCAB), chosen
 
 
 def lots(docs: DataFrame, model: Model, ranks: str) -> dict[int, DataFrame]:
@@ -338,6 +338,7 @@ def fitted(docs: DataFrame, ranks: str) -> Model:
     counts, chosen = read_through(docs, ranks)
     model = started(docs, Model(counts), ranks)
     learn_from_all(chosen, model)
+    forget(chosen)
     model.ready()
     return model
 
