@@ -1,13 +1,13 @@
 """Language-model scoring of whole documents by a causal self-attention model, beside a unigram base.
 
-Words are runs of bytes outside white space, A-Z lower-cased. Two passes read the texts. The first
+Words are runs of bytes outside white space, A-Z lower-cased. Three passes read the texts. The first
 sums the bigrams of subword ids over all training documents, which are the model's offsets (see
-``attention``), and writes all of their windows in a seeded order inside each block. The attention
-weights start from gradient steps on windows of SAMPLE_DOCS training documents chosen by a hash (a
-bounded start, made by one task) and then learn from every window of every training document: each task steps through its share from the same start, and the tasks' weights are averaged by their
+``attention``). The attention weights start from gradient steps on windows of SAMPLE_DOCS training
+documents chosen by a hash (a bounded start, made by one task). In the second pass they learn from every
+window of every training document, in a seeded order inside each block of texts: each task steps through its share from the same start, and the tasks' weights are averaged by their
 windows. Steps grow with the input; only sums by weight reach the driver.
 
-The second pass scores every token of every document once and takes the documents in lots of about
+The third pass scores every token of every document once and takes the documents in lots of about
 LOT_BYTES: each lot writes its distinct words with their training counts and its documents as places
 in that list, beside their scores. Counts are summed over all lots, joined back to every lot's own
 words, and meet the lot's documents again, so that no table of all words is ever broadcast, and a
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tercet.llm.attention import BEGIN, END, SPAN, STEP, SUBWORDS, VOCAB, Model, windows
-from tercet.llm.common import forget, new_path, release_memory, small_batches, table, written
+from tercet.llm.common import new_path, release_memory, small_batches, table, written
 from tercet.llm.textkernel import Words, blocks
 
 LOT_BYTES = 24 << 20
@@ -177,38 +177,26 @@ class _Lot:
 
 
 def read_through(docs: DataFrame, ranks: str) -> tuple[np.ndarray, DataFrame]:
-    """First pass over the training documents: how often each subword id follows each (VOCAB^2 sums at most),
-    and the windows to learn from, as a written table of arrays (``n`` windows, inputs and targets side by side)."""
-    share = WINDOW_SHARE
+    """First pass over the training documents: how often each subword id follows each (VOCAB^2 sums at most);
+    and those documents, all of which then teach."""
+    learned = _learned(docs)
 
     def read(batches):
         tool, seen = word_pieces(ranks), np.zeros(VOCAB * VOCAB, np.int64)
-        names = ["key", "seen", "n", "held"]
-        for number, batch in enumerate(batches):
-            for low, _, data, off in blocks(batch.column("text")):
+        for batch in batches:
+            for _, _, data, off in blocks(batch.column("text")):
                 ids, place = tool.pieces(Words(data, off, lower=True), data)
                 prev = np.concatenate(([BEGIN], ids[:-1]))
                 prev[place[:-1]] = BEGIN
                 seen += np.bincount(prev.astype(np.int64) * VOCAB + ids, minlength=VOCAB * VOCAB)
-                i, t, doc = windows(ids, place)
-                dice = np.random.default_rng((5, number, low)).random(len(i))
-                chosen = dice < 1 / share
-                order = np.lexsort((dice, doc))
-                chosen[order[np.r_[True, np.diff(doc[order]) != 0]]] = True  # every document has one at least
-                chosen = np.flatnonzero(chosen)[np.argsort(dice[chosen])]
-                both = np.concatenate((i[chosen], t[chosen]), axis=1).astype(np.int16)
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([len(both)], pa.int32()), pa.array([both.tobytes()], pa.binary())], names=names)
         met = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(seen[met]), pa.nulls(len(met), pa.int32()), pa.nulls(len(met), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(seen[met])], names=["key", "seen"])
         release_memory()
 
-    found = written(_learned(docs).mapInArrow(read, "key long, seen long, n int, held binary"), "learned")
-    met = found.filter("key is not null").groupBy("key").agg(F.sum("seen").alias("seen")).toArrow()
+    met = learned.mapInArrow(read, "key long, seen long").groupBy("key").agg(F.sum("seen").alias("seen")).toArrow()
     out = np.zeros(VOCAB * VOCAB)
     out[met.column("key").to_numpy()] = met.column("seen").to_numpy()
-    chosen = found.filter("n is not null").select("n", "held")
-    chosen._tercet_path = found._tercet_path
-    return out.reshape(VOCAB, VOCAB), chosen
+    return out.reshape(VOCAB, VOCAB), learned
 
 
 def lots(docs: DataFrame, model: Model, ranks: str) -> dict[int, DataFrame]:
@@ -287,11 +275,6 @@ def _dice(seed: int, n: int) -> np.ndarray:
     return np.random.default_rng((5, seed)).random(n)
 
 
-def _sides(both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs and targets of windows that were kept side by side."""
-    return both[:, :SPAN].astype(np.int32), both[:, SPAN:].astype(np.int32)
-
-
 def started(docs: DataFrame, model: Model, ranks: str) -> Model:
     """Gradient steps on windows of a bounded sample of the training documents, made by one task; the moments stay with the model."""
     near = min(1.0, 4 * (SAMPLE_DOCS + 10) / max(1, docs.count()))  # so that no task hands on more than it must
@@ -335,47 +318,56 @@ def started(docs: DataFrame, model: Model, ranks: str) -> Model:
 
 def fitted(docs: DataFrame, ranks: str) -> Model:
     """The model: offsets and attention from all training documents."""
-    counts, chosen = read_through(docs, ranks)
+    counts, learned = read_through(docs, ranks)
     model = started(docs, Model(counts), ranks)
-    learn_from_all(chosen, model)
-    forget(chosen)
+    learn_from_all(learned, model, ranks)
     model.ready()
     return model
 
 
-def learn_from_all(chosen: DataFrame, model: Model) -> None:
-    """Gradient steps over the windows ``chosen(n, held)`` of all documents; sets the model's weights to the tasks' average."""
-    held = chosen.sparkSession.sparkContext.broadcast(model)
+def learn_from_all(learned: DataFrame, model: Model, ranks: str) -> int:
+    """Gradient steps over the windows of all ``learned`` texts; sets the model's weights to the tasks' average and returns how many windows taught."""
+    held, share = learned.sparkSession.sparkContext.broadcast(model), WINDOW_SHARE
 
     def learn(batches):
-        lm, seen, waiting = copy.copy(held.value), 0, np.zeros((0, SPAN + STEP), np.int16)
+        tool, lm, seen, waiting = word_pieces(ranks), copy.copy(held.value), 0, np.zeros((0, SPAN + STEP), np.int32)
         if hasattr(lm, "moments"):
             lm.p, lm.moments = dict(lm.p), tuple({k: v.copy() for k, v in m.items()} for m in lm.moments)
-        for batch in batches:
-            parts = [np.frombuffer(raw, np.int16).reshape(n, SPAN + STEP) for n, raw in zip(batch.column("n").to_pylist(), batch.column("held").to_pylist(), strict=True)]
-            waiting = np.concatenate((waiting, *parts))
-            seen += sum(map(len, parts))
-            whole = len(waiting) - len(waiting) % STEP_WINDOWS
-            for at in range(0, whole, STEP_WINDOWS):
-                lm.follow(*_sides(waiting[at : at + STEP_WINDOWS]))
-            waiting = waiting[whole:]
+        for number, batch in enumerate(batches):
+            for low, _, data, off in blocks(batch.column("text")):
+                i, t, doc = windows(*tool.pieces(Words(data, off, lower=True), data))
+                dice = np.random.default_rng((5, number, low)).random(len(i))
+                order = np.argsort(dice)
+                if share > 1:
+                    chosen = dice < 1 / share
+                    by_doc = np.lexsort((dice, doc))
+                    chosen[by_doc[np.r_[True, np.diff(doc[by_doc]) != 0]]] = True  # every document has one at least
+                    order = order[chosen[order]]
+                seen += len(order)
+                waiting = np.concatenate((waiting, np.concatenate((i, t), axis=1)[order]))
+                whole = len(waiting) - len(waiting) % STEP_WINDOWS
+                for at in range(0, whole, STEP_WINDOWS):
+                    part = waiting[at : at + STEP_WINDOWS]
+                    lm.follow(part[:, :SPAN], part[:, SPAN:])
+                waiting = waiting[whole:].copy()
         if seen:
             if len(waiting):
-                lm.follow(*_sides(waiting))
+                lm.follow(waiting[:, :SPAN], waiting[:, SPAN:])
             weights = np.concatenate([lm.p[k].ravel() for k in lm.p]).astype(np.float64)
             sums = np.concatenate(([seen], np.rint(weights * UNIT).astype(np.int64) * seen))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)) - 1), pa.array(sums)], names=["slot", "total"])
         release_memory()
 
-    tasks = chosen.mapInArrow(learn, "slot long, total long")
+    tasks = learned.select("text").mapInArrow(learn, "slot long, total long")
     summed = tasks.groupBy("slot").agg(F.sum("total").alias("total")).toArrow().sort_by("slot").column("total").to_numpy()  # one row a weight
     if not len(summed):
-        return
+        return 0
     weights, at = summed[1:] / float(UNIT) / float(summed[0]), 0
     for k, v in model.p.items():
         model.p[k] = weights[at : at + v.size].reshape(v.shape).astype(np.float32)
         at += v.size
     model._ready = None
+    return int(summed[0])
 
 
 def scored_documents(docs: DataFrame, ranks: str | None = None) -> DataFrame:
