@@ -11,7 +11,9 @@ once, so however frequent single n-grams become, columns stay light unless sets
 the matrix grows with the input.
 
 Every class also carries how many of its n-grams fall into each of COLUMN_BLOCKS hash ranges; the smaller
-counts of a pair add up to a bound of its overlap, and pairs below it are discarded. What is left is
+counts of a pair add up to a bound of its overlap, and pairs below it are discarded. Sets of more than
+COUNTED n-grams, for which so few ranges say little, also carry a bit for each of two to four times as many
+ranges as they have n-grams: a range that only one of two sets fills is an n-gram that they do not share. What is left is
 accumulated exactly over blocks of n-grams; a pair is dropped as soon as its count so far and what
 the smaller row still holds cannot reach the bound.
 
@@ -19,7 +21,8 @@ Columns of up to LIGHT rows multiply all their rows. A heavier column never emit
 two pivot rows of it meet the others, and links are contracted into components. The columns that
 still hold several components are then multiplied in row blocks: rows in order of size, blocks of
 ROW_BLOCK, and for every two blocks whose sizes can be similar one group, in which two incidence
-matrices are multiplied column block by column block. A group returns the links of a spanning
+matrices are multiplied column block by column block. The same bounds come before the texts: a row gets
+its text in a group only if some row of another component may be similar to it there. A group returns the links of a spanning
 forest, not all of them, so its output is linear in its rows. Every pair of different components is
 examined, so components are exact; nothing is capped or dropped.
 
@@ -55,8 +58,10 @@ COLUMNS = 4096
 
 #: Hash ranges of columns whose counts bound a pair's overlap.
 COLUMN_BLOCKS = 256
+#: N-grams of a set up to which its counts alone bound its overlaps; larger sets have bits too.
+COUNTED = 512
 
-SCAN = "doc_id long, th long, n long, fp long, counts binary, grams array<long>"
+SCAN = "doc_id long, th long, n long, fp long, counts binary, bits binary, grams array<long>"
 
 
 def set_hash(values: np.ndarray) -> int:
@@ -91,6 +96,70 @@ def block_counts(values: np.ndarray, place: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in counts.astype(np.uint8)]
 
 
+def range_bits(values: np.ndarray) -> bytes | None:
+    """A bit for each hash range that a sorted set fills, where it has more than COUNTED n-grams; the ranges are a power of two."""
+    if len(values) <= COUNTED:
+        return None
+    filled = np.zeros(1 << int(2 * len(values) - 1).bit_length(), bool)
+    filled[values >> (52 - int(len(filled) - 1).bit_length())] = True
+    return np.packbits(filled).tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Packed bits as those of ``size`` bytes: ranges of fewer and wider cuts."""
+    return bits if len(bits) == size else np.packbits(np.unpackbits(bits).reshape(8 * size, -1).any(axis=1))
+
+
+def _similar(overlap: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * overlap >= percent * (n + m - overlap)
+
+
+def missed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs(a, b)`` that may be similar by their bits, from ``held(fp, n, bits)``; all whose sets have none."""
+    fine = held.filter("bits is not null").select("fp", "n", "bits")
+    left = fine.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    right = fine.select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+
+    def bound(batches):
+        for batch in batches:
+            kept = np.ones(batch.num_rows, bool)
+            n, m = batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist()
+            x, y = batch.column("bits_a"), batch.column("bits_b")
+            for r in np.flatnonzero(~(x.is_null().to_numpy(zero_copy_only=False) | y.is_null().to_numpy(zero_copy_only=False))).tolist():
+                one, other = (np.frombuffer(c[r].as_py(), np.uint8) for c in (x, y))
+                size = min(len(one), len(other))
+                one, other = folded(one, size), folded(other, size)
+                overlap = min(n[r] - int(np.bitwise_count(one & ~other).sum(dtype=np.int64)), m[r] - int(np.bitwise_count(other & ~one).sum(dtype=np.int64)))
+                kept[r] = _similar(overlap, n[r], m[r], percent)
+            mask = pa.array(kept)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+    return pairs.join(left, "a", "left").join(right, "b", "left").mapInArrow(bound, "a long, b long")
+
+
+def may_link(n: np.ndarray, counts: np.ndarray, bits: list[bytes | None], m: np.ndarray, counts_: np.ndarray, bits_: list[bytes | None], percent: int) -> np.ndarray:
+    """Whether each set of one row block (sizes, counts, bits) may be similar to each of another, by both bounds."""
+    unknown, unknown_ = (counts == 255).all(axis=1), (counts_ == 255).all(axis=1)
+    one, other = np.where(unknown[:, None], 0, counts), np.where(unknown_[:, None], 0, counts_)
+    shared = np.zeros((len(n), len(m)), np.float32)
+    for least in range(1, min(int(one.max(initial=0)), int(other.max(initial=0))) + 1):
+        shared += (one >= least).astype(np.float32) @ (other >= least).astype(np.float32).T
+    smaller = np.minimum(n[:, None], m[None, :])
+    overlap = np.where(unknown[:, None] | unknown_[None, :], smaller, np.minimum(shared.astype(np.int64), smaller))
+    fine, fine_ = (np.array([r for r, x in enumerate(b) if x is not None], np.int64) for b in (bits, bits_))
+    if len(fine) and len(fine_):
+        size = min(len(b[r]) for b, rows in ((bits, fine), (bits_, fine_)) for r in rows)
+        x, y = (np.stack([folded(np.frombuffer(b[r], np.uint8), size) for r in rows]) for b, rows in ((bits, fine), (bits_, fine_)))
+        both = np.zeros((len(fine), len(fine_)), np.float32)
+        for low in range(0, size, COLUMN_BLOCKS):
+            both += np.unpackbits(x[:, low : low + COLUMN_BLOCKS], axis=1).astype(np.float32) @ np.unpackbits(y[:, low : low + COLUMN_BLOCKS], axis=1).astype(np.float32).T
+        alone = np.bitwise_count(x).sum(axis=1, dtype=np.int64)[:, None] - both.astype(np.int64)
+        alone_ = np.bitwise_count(y).sum(axis=1, dtype=np.int64)[None, :] - both.astype(np.int64)
+        at = np.ix_(fine, fine_)
+        overlap[at] = np.minimum(overlap[at], np.minimum(n[fine][:, None] - alone, m[fine_][None, :] - alone_))
+    return _similar(overlap, n[:, None], m[None, :], percent)
+
+
 def bounded(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose bound by column blocks, from ``held(fp, n, counts)``, reaches the similarity."""
     left = held.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("counts").alias("c_a"))
@@ -103,10 +172,10 @@ def bounded(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
             shared = np.minimum(x, y).sum(axis=1, dtype=np.int64)
             unknown = (x == 255).all(axis=1) | (y == 255).all(axis=1)
             overlap = np.where(unknown, np.minimum(n, m), np.minimum(shared, np.minimum(n, m)))
-            kept = pa.array(100 * overlap >= percent * (n + m - overlap))
+            kept = pa.array(_similar(overlap, n, m, percent))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], names=["a", "b"])
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(bound, "a long, b long")
+    return missed(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(bound, "a long, b long"), held, percent)
 
 
 def size_classes(percent: int, largest: int) -> np.ndarray:
@@ -163,7 +232,7 @@ def columns_of(values: np.ndarray, place: np.ndarray, percent: int) -> tuple[np.
 
 
 def scan_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Size and class of every document's set; with the first of a class in a task also its counts and columns ``grams``."""
+    """Size and class of every document's set; with the first of a class in a task also its counts, bits and columns ``grams``."""
     small_batches(docs.sparkSession)
 
     def scan(batches):
@@ -186,6 +255,7 @@ def scan_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 columns = [
                     batch.column("doc_id").slice(low, high - low), batch.column("th").slice(low, high - low), pa.array(np.diff(place)), pa.array(fp),
                     pa.array([c if f else None for c, f in zip(counts, fresh.tolist(), strict=True)], pa.binary()),
+                    pa.array([range_bits(values[place[r] : place[r + 1]]) if f else None for r, f in enumerate(fresh.tolist())], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(grams)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[part.split()[0] for part in SCAN.split(", ")])
@@ -317,20 +387,62 @@ def product_links(first: _Rows, second: _Rows | None, percent: int) -> list[tupl
     return list(set(zip(label[moved].tolist(), every[moved].tolist(), strict=True)))
 
 
-def block_products(rows: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) among ``rows(gram, fp, n, component)`` that share a column but no component, by products of row blocks."""
+def block_rows(rows: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Row blocks of ``rows(gram, fp, n, component)`` by couples of them: (gram, block, block_, side, fp, component) of the
+    rows that may be similar to one of another component there, by the counts and bits of ``held``."""
     placed, before = sorted_positions(rows, [F.col("gram"), F.col("n"), F.col("fp")], "open-rows")
     blocked = placed.withColumn("block", ((F.col("_row") + looked_up(before, F.col("_pid"))) / ROW_BLOCK).cast("long")).select("gram", "block", "fp", "component", "n")
-    held = blocked.groupBy("gram", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("low"), F.max("component").alias("high"))
-    other = held.select("gram", *[F.col(c).alias(f"{c}_") for c in held.columns if c != "gram"])
+    spans = blocked.groupBy("gram", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("low"), F.max("component").alias("high"))
+    other = spans.select("gram", *[F.col(c).alias(f"{c}_") for c in spans.columns if c != "gram"])
     couples = written(
-        held.join(other, "gram").filter((F.col("block") <= F.col("block_")) & (100 * F.col("most") >= percent * F.col("least_")) & ((F.least("low", "low_") < F.greatest("high", "high_"))))
+        spans.join(other, "gram").filter((F.col("block") <= F.col("block_")) & (100 * F.col("most") >= percent * F.col("least_")) & ((F.least("low", "low_") < F.greatest("high", "high_"))))
         .select("gram", "block", "block_"),
         "couples",
     )
     left = blocked.join(couples, ["gram", "block"]).select("gram", "block", "block_", F.lit(0).alias("side"), "fp", "component")
     right = blocked.withColumnRenamed("block", "block_").join(couples.filter("block < block_"), ["gram", "block_"]).select("gram", "block", "block_", F.lit(1).alias("side"), "fp", "component")
-    both = left.unionByName(right).join(texts, "fp").select("gram", "block", "block_", "side", "fp", "component", "text")
+    both = left.unionByName(right).join(held.select("fp", "n", "counts", "bits"), "fp")
+    together = both.repartition(partitions(rows.sparkSession), "gram", "block", "block_").sortWithinPartitions("gram", "block", "block_", "side", "fp")
+    names = ["gram", "block", "block_", "side", "fp", "component"]
+
+    def choose(batches):
+        now, waiting = None, []
+
+        def done():
+            whole = pa.Table.from_batches(waiting)
+            first = np.flatnonzero(whole.column("side").to_numpy() == 0)
+            second = np.flatnonzero(whole.column("side").to_numpy() == 1) if now[1] != now[2] else first
+            n, component = whole.column("n").to_numpy(), whole.column("component").to_numpy()
+            counts = np.frombuffer(b"".join(whole.column("counts").to_pylist()), np.uint8).reshape(-1, COLUMN_BLOCKS)
+            bits = whole.column("bits").to_pylist()
+            met = may_link(n[first], counts[first], [bits[r] for r in first], n[second], counts[second], [bits[r] for r in second], percent)
+            met &= component[first][:, None] != component[second][None, :]
+            kept = np.zeros(len(n), bool)
+            kept[first] |= met.any(axis=1)
+            kept[second] |= met.any(axis=0)
+            return whole.select(names).filter(pa.array(kept)).combine_chunks().to_batches()
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in names[:3]])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                if low == high:
+                    continue
+                if waiting and tuple(keys[:, low].tolist()) != now:
+                    yield from done()
+                    waiting = []
+                now = tuple(keys[:, low].tolist())
+                waiting.append(batch.slice(low, high - low))
+        if waiting:
+            yield from done()
+        release_memory()
+
+    return written(together.mapInArrow(choose, "gram long, block long, block_ long, side int, fp long, component long"), "block-rows")
+
+
+def block_products(rows: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect what the products of couples of row blocks, ``rows`` of :func:`block_rows`, connect."""
+    both = rows.join(texts, "fp").select("gram", "block", "block_", "side", "fp", "component", "text")
     together = both.repartition(partitions(rows.sparkSession), "gram", "block", "block_").sortWithinPartitions("gram", "block", "block_", "side", "fp")
 
     def multiply(batches):
@@ -369,7 +481,7 @@ def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     scanned = scan_sets(docs, n, percent)
     member = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")
-    counts_of = scanned.filter("counts is not null").select("fp", "n", "counts").dropDuplicates(["fp"])
+    counts_of = scanned.filter("counts is not null").select("fp", "n", "counts", "bits").dropDuplicates(["fp"])
     matrix = shared_columns(scanned)
     held = written(counts_of.join(matrix.select("fp").distinct(), "fp", "left_semi"), "blocks")
     sets = written(scanned.select("doc_id", "th", "n", "fp"), "classes")
@@ -396,8 +508,9 @@ def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     open_rows = written(named_rows.join(several, "gram", "left_semi"), "open")
     named = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     if not open_rows.isEmpty():
-        texts = _texts_of(docs, open_rows.select("fp").distinct(), classes)
-        more = written(block_products(open_rows, texts, n, percent), "links")
+        rows = block_rows(open_rows, held, percent)
+        texts = _texts_of(docs, rows.select("fp").distinct(), classes)
+        more = written(block_products(rows, texts, n, percent), "links")
         forget(texts)
         # these links join whole components, so only components are labelled anew
         of = joined.select(F.col("node"), F.col("component").alias("label"))
